@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate
+from . import bytebpe, decontaminate, quality, rules, shard, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,45 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_byte_bpe)}
-ORACLE = {"op1_decontaminate": OP1_SQL}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfiles.read_tokens(spark, files)
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, _ = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return stats.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & F.col("kept_by_rules")).alias("kept"),
+    )
+
+
+SHARDS = 24
+
+
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard.interleave(_table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP10_SQL = f"""
+WITH t AS (SELECT list(x ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) AS r(b))),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, coalesce('s' || source, 'n') AS stratum, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
+s AS (SELECT doc_id, stratum, digest, CAST(strlen(text) + 8 AS BIGINT) AS size,
+      xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS BIGINT))),
+          lambda c, x: xor(c >> 8, (SELECT crc FROM t)[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d),
+r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id, size, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, digest, doc_id, size, text_crc32) - 1 AS position, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position * {SHARDS} // total AS INTEGER) AS shard,
+       position - (position * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_byte_bpe, op7_token_files, op9_rules, op10_shard)}
+ORACLE = {"op1_decontaminate": OP1_SQL, "op10_shard": OP10_SQL}
