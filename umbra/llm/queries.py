@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, quality, rules, shard, tokenfiles
+from . import bytebpe, decontaminate, quality, rules, shard, substring, suffixes, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +50,33 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokenfiles.read_tokens(spark, files)
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (win) WHERE doc_id > least)),
+left_ AS (SELECT d.doc_id, u.p, d.w[u.p] AS word FROM d, LATERAL (SELECT unnest(range(1, len(d.w) + 1)) AS p) AS u ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.p = u.p),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM left_ GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats, _ = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -77,7 +99,7 @@ WITH t AS (SELECT list(x ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_pre
 d AS (SELECT doc_id, source, coalesce(text, '') AS text, coalesce('s' || source, 'n') AS stratum, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
 s AS (SELECT doc_id, stratum, digest, CAST(strlen(text) + 8 AS BIGINT) AS size,
       xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS BIGINT))),
-          lambda c, x: xor(c >> 8, (SELECT crc FROM t)[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d),
+          lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, t),
 r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id, size, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM s),
 p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, digest, doc_id, size, text_crc32) - 1 AS position, count(*) OVER () AS total FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position * {SHARDS} // total AS INTEGER) AS shard,
@@ -86,5 +108,5 @@ FROM p
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_byte_bpe, op7_token_files, op9_rules, op10_shard)}
-ORACLE = {"op1_decontaminate": OP1_SQL, "op10_shard": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_byte_bpe, op6_suffixes, op7_token_files, op8_substring, op9_rules, op10_shard)}
+ORACLE = {"op1_decontaminate": OP1_SQL, "op8_substring": OP8_SQL, "op10_shard": OP10_SQL}
