@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -46,8 +48,14 @@ from .common import NULL_ID, narrow, pieces, scratch, text_bytes
 SHARD_BYTES = 32 << 20
 FRAME_BYTES = 1 << 20
 MAX_VOCAB_BYTES = 64 << 20
-#: Words that a worker remembers with their ids.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker remembers with their ids.
+REMEMBERED = 1_000_000
+#: How the vocabulary marks a token that ends a word. Fixed value.
+END_OF_WORD = "</w>"
+#: Pre-tokens in Latin-1: the tokenizer's own pattern with its classes spelt out.
+_LETTERS, _NUMBERS = ("".join(map(re.escape, (c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind))) for kind in "LN")
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
+LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+").findall
 TABLE_MAGIC, END_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
 
@@ -165,10 +173,11 @@ def read_documents(path: str, wanted: Iterable[int]) -> dict[int, list[np.ndarra
 
 
 class WordCoder:
-    """A tokenizers file, asked once for each distinct word.
+    """A tokenizers file whose pre-tokens are asked for once each.
 
-    No token of the tokenizer reaches over white space, and normalisation doesn't either, so a text's ids are the
-    ids of its parts between blanks and line breaks; other white space stays in the parts.
+    No token of the tokenizer reaches over a pre-token, and neither normalisation nor pre-tokens reach over a blank.
+    In Latin-1 text, which lower-casing leaves in normal form, pre-tokens are found here; every other part between blanks
+    and line breaks goes to the library as it is.
     """
 
     def __init__(self, data: bytes, end_id: int):
@@ -177,25 +186,59 @@ class WordCoder:
 
         self.coder = Tokenizer.from_buffer(data)
         self.coder.encode_special_tokens = True
-        self.end = end_id
         self.width = 2 if max(self.coder.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-        self.known: dict[str, list[int]] = {"": []}
+        self.end = self.packed([end_id])
+        #: Ids that end a pre-token.
+        self.ends = np.zeros(self.coder.get_vocab_size(with_added_tokens=True) + 1, bool)
+        for token, k in self.coder.get_vocab(with_added_tokens=True).items():
+            self.ends[k] = token.endswith(END_OF_WORD)
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def packed(self, ids) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        known = self.known
-        words = text.replace("\n", " ").split(" ")
-        if new := {x for x in words if x not in known}:
+    def learn(self, new: list[str]) -> None:
+        """Encodes pre-tokens, parted by blanks, in one call; a pre-token's ids end with an id that ends a word."""
+        ids = np.array(self.coder.encode(" ".join(new), add_special_tokens=False).ids, f"<u{self.width}")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(new):  # not a tokenizer of this kind: ask for each
+            self.known.update((x, self.packed(e.ids)) for x, e in zip(new, self.coder.encode_batch(new, add_special_tokens=False), strict=True))
+            return
+        data, at = ids.tobytes(), 0
+        for x, end in zip(new, (last * self.width).tolist(), strict=True):
+            self.known[x] = data[at:end]
+            at = end
+
+    def latin(self, text: str) -> bytes:
+        known, parts = self.known, LATIN_PARTS(text.lower())
+        if new := {x for x in parts if x not in known}:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = set(words)
-            some = list(new)
-            for word, found in zip(some, self.coder.encode_batch(some, add_special_tokens=False), strict=True):
-                known[word] = found.ids
-        ids: list[int] = []
-        for x in words:
-            ids += known[x]
-        ids.append(self.end)
-        return np.array(ids, f"<u{self.width}").tobytes()
+                new = set(parts)
+            self.learn(list(new))
+        return b"".join(map(known.__getitem__, parts))
+
+    def other(self, part: str) -> bytes:
+        if part not in self.odd:
+            if len(self.odd) > REMEMBERED // 10:
+                self.odd.clear()
+            self.odd[part] = self.packed(self.coder.encode(part, add_special_tokens=False).ids)
+        return self.odd[part]
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text and the end id."""
+        if _is_latin(text):
+            return self.latin(text) + self.end
+        return b"".join([*(self.latin(x) if _is_latin(x) else self.other(x) for x in text.replace("\n", " ").split(" ") if x), self.end])
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _MADE: dict[tuple, WordCoder] = {}
