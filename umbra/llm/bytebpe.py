@@ -19,10 +19,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -34,7 +34,7 @@ from .common import narrow
 
 MAX_VOCAB_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers with their ids.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: The letter that stands for each byte.
 LETTERS = {b: 0x100 + b for b in range(256)}
 
@@ -92,7 +92,7 @@ class ByteBpe:
         self.whole = {token: rank for rank, token in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, pre_tokens: set[str]) -> None:
         """Adds the ids of pre-tokens."""
@@ -102,13 +102,13 @@ class ByteBpe:
             if rank is None:
                 hard.append((x, lettered(raw)))
             else:
-                self.known[x] = (rank,)
+                self.known[x] = struct.pack("<I", rank)
         if hard:
             for (x, _), ids in zip(hard, self.model.encode([y for _, y in hard], num_threads=1), strict=True):
-                self.known[x] = tuple(ids)
+                self.known[x] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> array:
-        ids: list[int] = []
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         known = self.known
         parts = self.split(text)
         if new := {x for x in parts if x not in known}:
@@ -116,12 +116,10 @@ class ByteBpe:
                 known.clear()
                 new = set(parts)
             self.learn(new)
-        for x in parts:
-            ids += known[x]
-        return array("I", ids)
+        return b"".join(map(known.__getitem__, parts))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _MADE: dict[tuple, ByteBpe] = {}
@@ -152,7 +150,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_id", t
         for batch in batches:
             for part in _parts(batch):
                 found = [coder.encode(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
@@ -165,7 +163,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_col="ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent)
         for batch in batches:
-            out = pa.array([coder.decode(array("I", x or b"")) for x in batch.column(at).to_pylist()], pa.binary())
+            out = pa.array([coder.decode(x or b"") for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_col, BinaryType())]))
