@@ -181,8 +181,12 @@ def learn(stats: DataFrame, labels: DataFrame, *, id_col="doc_id", label_col="qu
     """Learns from at most ``max_rows`` labelled rows: those whose id has the smallest digest."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     names = list(ratios())
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    if (labelled := known.count()) > max_rows:  # no more leave the executors than are likely to be needed
+        share = max_rows / labelled
+        known = known.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int((share + 6 * (share / labelled) ** 0.5) * (1 << 32)))
     joined = stats.select("doc_id", *(x.alias(k) for k, x in ratios().items())).join(known, "doc_id")
-    taken = joined.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), *names).limit(max_rows).collect()
+    taken = joined.orderBy(digest, *names).limit(max_rows).collect()
     return learn_rules([({k: r[k] for k in names}, r["label"]) for r in taken], **options)
 
 
