@@ -5,7 +5,7 @@ of its source. Sorted by fractional rank, all sources advance in proportion, so
 consecutive runs whose counts differ by one at most gives shards that all match the mixture. Law: ``rows``.
 
 Scale: no window holds a source or all rows. Ranks are taken in two steps: digest ranges of each source (of about
-RUN rows) are counted, a running sum over these counts gives each range's first rank, and rows are numbered within a
+RUN rows, or the root of all rows if that is more) are counted, a running sum over these counts gives each range's first rank, and rows are numbered within a
 range; the same again for ranges of the fractional rank. So a source with a third of all rows is numbered by many
 tasks. Texts are dropped before the first shuffle.
 
@@ -16,12 +16,14 @@ are not kept together, the law is about counts; an empty table gives an empty re
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, saved
 
-RUN = 50_000
+RUN = 4_000
 
 
 def interleave(docs: DataFrame, shards: int, *, seed: int = 42, id_col="doc_id", text_col="text", source_col="source", run: int = RUN) -> DataFrame:
@@ -35,7 +37,7 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 42, id_col="doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     total = docs.count()
-    runs = pieces(total, run)
+    runs = pieces(total, max(run, math.isqrt(total)))
     order = [F.col(x) for x in ("digest", "doc_id", "size", "text_crc32")]
 
     rows = rows.withColumn("part", (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * runs / F.lit(1 << 32)).cast("int"))
