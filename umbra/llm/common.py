@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,12 @@ def text_bytes(df: DataFrame, text: Column | str = "text") -> int:
 def pieces(total_bytes: int, piece_bytes: int, least: int = 1) -> int:
     """How many pieces of about piece_bytes a total makes."""
     return max(least, -(-total_bytes // piece_bytes))
+
+
+def lean() -> None:
+    """Lets a Python worker give freed memory back: Arrow takes it from malloc, and malloc returns what it can."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

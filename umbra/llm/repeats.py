@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import NULL_ID, pieces, text_bytes
+from .common import NULL_ID, lean, pieces, text_bytes
 
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 #: Entries that a task gathers before it writes them out.
-GATHERED = 1_500_000
+GATHERED = 400_000
+#: Documents that a task takes apart at a time.
+TAKEN = 1000
 ROW = "bucket int, kind int, payload binary"
 #: Kinds of blobs: undecided or cover entries, repeated ranges, contexts, windows.
 ENTRIES, RANGES, CONTEXTS, WINDOWS = range(4)
@@ -148,6 +150,7 @@ def packed_documents(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = by_document(ids, buckets)
             order = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+            lean()
             for a, b in zip(at[:-1], at[1:], strict=True):
                 part = batch.take(pa.array(order[a:b]))
                 sink = pa.BufferOutputStream()
@@ -177,7 +180,7 @@ def _entries(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
-        for batch in batches:
+        for batch in (x.slice(k, TAKEN) for x in batches for k in range(0, x.num_rows, TAKEN)):
             ids, salts, texts = documents(batch)
             for a, b in A.chunked([len(x) for x in texts], plan.window):
                 docs = [plan.symbols(x) for x in texts[a:b]]
@@ -193,8 +196,11 @@ def _entries(plan: Plan):
                 if count >= GATHERED:
                     yield from _flush(plan, held)
                     held, count = [], 0
+                    lean()
         if held:
             yield from _flush(plan, held)
+        held = []
+        lean()
 
     return run
 
@@ -270,6 +276,7 @@ UNDECIDED = ["<u8", "<i8", "<u4", "<u4", "u1"]
 
 def _compare(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
+        lean()
         out = [(b, k, p) for b, k, p in zip(*(x.to_pylist() for x in table.columns), strict=True) if k == RANGES]
         sub, context, ids, salts, at, sizes = gathered(table, ENTRIES, ENTRY)
         if len(sub):
@@ -293,6 +300,7 @@ def _compare(plan: Plan):
 
 def _fetch(plan: Plan):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         out = ranges(plan, *gathered(right, RANGES, RANGE))
         sub, ids, salts, at, crowded = gathered(right, ENTRIES, UNDECIDED)
         if len(sub) and left.num_rows:
@@ -371,6 +379,7 @@ def _repeated(plan: Plan, *arrays):
 
 def _decide(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
+        lean()
         held = [gathered(table, RANGES, RANGE)]
         arrays = gathered(table, WINDOWS, ["<u8", "<u8", "<i8", "<u4", "<u4"])
         if len(arrays[0]):
@@ -422,6 +431,7 @@ def _decide_contexts(plan: Plan, sub, ids, salts, at, made):
 
 def _apply(plan: Plan, finish, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         ids, salts, start, end = gathered(right, RANGES, RANGE)
         order = np.lexsort((start, salts, ids))
         new = np.flatnonzero(np.r_[heads(ids[order], salts[order]), True]) if len(ids) else np.zeros(0, int)
