@@ -116,12 +116,13 @@ def split(buckets: np.ndarray, kind: int, arrays: list[np.ndarray]) -> list[tupl
 
 
 def by_print(prints: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of fingerprints."""
+    """Ranges of fingerprints, mixed anew: those of a cover are chosen for being small."""
+    prints = A.mixed(prints ^ np.uint64(A.MULTIPLIER))
     return ((prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def by_document(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return by_print(A.mixed(ids.view(np.uint64) + np.uint64(A.MULTIPLIER)), buckets)
+    return by_print(ids.view(np.uint64), buckets)
 
 
 # ---- documents
@@ -176,7 +177,18 @@ def cover(plan: Plan, values, starts, sizes, prints) -> np.ndarray:
     return np.concatenate(picked) if picked else np.zeros(0, np.int64)
 
 
+def lean_after(run):
+    """An iterator function whose worker gives its memory back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        lean()
+
+    return whole
+
+
 def _entries(plan: Plan):
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
@@ -199,8 +211,6 @@ def _entries(plan: Plan):
                     lean()
         if held:
             yield from _flush(plan, held)
-        held = []
-        lean()
 
     return run
 
