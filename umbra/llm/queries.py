@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, neardup, quality, rules, shard, substring, suffixes, tokenfiles
+from . import bytebpe, decontaminate, htmltext, neardup, quality, rules, shard, substring, suffixes, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.main_text(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -112,5 +117,5 @@ FROM p
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op4_quality, op5_byte_bpe, op6_suffixes, op7_token_files, op8_substring, op9_rules, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_html_text, op4_quality, op5_byte_bpe, op6_suffixes, op7_token_files, op8_substring, op9_rules, op10_shard)}
 ORACLE = {"op1_decontaminate": OP1_SQL, "op8_substring": OP8_SQL, "op10_shard": OP10_SQL}
