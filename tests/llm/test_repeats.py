@@ -74,9 +74,12 @@ def test_words_against_brute_force(shared, bucket_bytes):
 
 
 def test_carried_columns(docs):
-    out = substring.remove_repeats(docs, carry=["lang", "source", "n_chars"])
-    assert out.columns == ["doc_id", "n_words", "n_removed", "spans", "kept", "lang", "source", "n_chars"]
-    assert Counter((r.doc_id, r.source, r.n_chars) for r in out.collect()) == Counter((r.doc_id, r.source, r.n_chars) for r in docs.collect())
+    out = substring.remove_repeats(docs, carry=["lang", "source", "n_chars", "n_words"], same_if_untouched=True)
+    assert out.columns == ["doc_id", "n_words", "n_removed", "spans", "kept", "row"]
+    rows = out.collect()
+    assert Counter((r.doc_id, r.row.source, r.row.n_chars, r.row.n_words) for r in rows) == Counter((r.doc_id, r.source, r.n_chars, r.n_words) for r in docs.collect())
+    texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
+    assert all((r.doc_id, r.kept) in texts for r in rows if not r.n_removed) and any(r.n_removed for r in rows)
 
 
 def test_empty(none):

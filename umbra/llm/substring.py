@@ -8,7 +8,7 @@ id, and the words they cover are removed. The engine and its scale are described
 
 Defined cases: a null text has no words; texts of fewer than ``window`` words lose nothing; rows of an equal id never
 remove each other's words (a smaller id is asked for), so repeated rows get equal results; a null id counts as the
-smallest; an empty table gives an empty result; carried columns may have any names but those of the result.
+smallest; an empty table gives an empty result; carried columns may have any names.
 """
 
 from __future__ import annotations
@@ -44,12 +44,19 @@ def _kept(text: bytes, spans: list[list[int]]) -> tuple:
     return len(words), len(words) - len(out), [{"start": a, "end": b} for a, b in spans], b" ".join(out).decode()
 
 
-def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", carry: list[str] | None = None, window: int = WINDOW, bucket_bytes: int = repeats.BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (removed word ranges), kept (the words left, joined by one blank), and the
-    columns named in ``carry``."""
-    rows = narrow(docs, id_col, text_col) if not carry else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{x}`") for x in carry))
+def _kept_or_same(text: bytes, spans: list[list[int]]) -> tuple:
+    found = _kept(text, spans)
+    return found if spans else (*found[:3], text.decode())
+
+
+def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", carry: list[str] | None = None, same_if_untouched: bool = False, window: int = WINDOW, bucket_bytes: int = repeats.BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (removed word ranges), kept (the words left, joined by one blank; if
+    ``same_if_untouched``, the text as it was where nothing is removed) and, with ``carry``, row: a struct of these columns."""
+    rows = narrow(docs, id_col, text_col)
+    if carry:
+        rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{x}`") for x in carry)).alias("row"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     return repeats.repeated(
-        rows, window=window, sub=-(-window // 2), symbols=word_values, same_document=False, raw=False, finish=_kept,
+        rows, window=window, sub=-(-window // 2), symbols=word_values, same_document=False, raw=False, finish=_kept_or_same if same_if_untouched else _kept,
         result="n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string", kinds=[pa.int64(), pa.int64(), span, pa.string()], bucket_bytes=bucket_bytes,
     )
