@@ -57,7 +57,9 @@ def rows(docs):
     return out
 
 
-def test_classes_against_brute_force(spark, rows):
+@pytest.mark.parametrize("unit", [2000, 7])
+def test_classes_against_brute_force(spark, rows, unit, monkeypatch):
+    monkeypatch.setattr(neardup.open_members, "__defaults__", (unit,))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     want = brute_classes(rows)
     for bucket_bytes in (neardup.BUCKET_BYTES, 40_000):

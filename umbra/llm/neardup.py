@@ -9,10 +9,12 @@ Banding: 48 bands of 8 registers. Texts that agree on a band share a group; at s
 once in about 7,000 times. Verification: Jaccard similarity of the sets of shingles (64-bit hashes), exactly, >= 0.8.
 
 Classes, without all pairs of a group: equal texts are one member. First every member of a group is verified against the
-group's first member only, and links are joined to components. Then, in groups that still hold several components, the
-members outside the largest of them are verified against those members of other components that they share a group
-with. Pairs of members that are already known to be in one class are never verified, so a group of copies costs one
-comparison a copy, and no link between texts of one group that would join two classes is lost.
+group's first member only, and links are joined to components. Groups that share members make a crowd. In a crowd that
+still holds several components, the members outside its largest component meet all members of other components through
+an inverted index of shingles, which counts the shingles that two texts share for all pairs that share any; only links
+that join two components come out of it, one for each two components. So a group of copies costs one comparison a copy,
+and no link between texts of one crowd that would join two classes is lost. A crowd of over UNIT members is dealt to
+several tasks, each with a block of the members outside the largest component and a block of all.
 
 Scale: signatures are computed where texts are read. Bands, equal texts and pairs are shuffled as compact blobs by
 ranges of hashes; texts are shuffled once, compressed, to meet their pairs. Components are found by alternating star
@@ -31,18 +33,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import MULTIPLIER, mixed
 from .common import NULL_ID, lean, narrow, pieces, saved, text_bytes
-from .repeats import ROW, by_document, by_print, documents, first_rows, gathered, heads, packed_documents, rows, split, unpack, unpacked_documents
+from .repeats import ROW, by_document, by_print, documents, first_rows, gathered, heads, pack, packed_documents, rows, split, unpack, unpacked_documents
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, DEPTH = 48, 8
 BUCKET_BYTES = 16 << 20
 TAKEN = 500
+#: Members of a crowd that a task compares with as many others.
+UNIT = 2000
 BAND_ROWS, MEMBERS, PAIRS, TEXTS, GROUPS = range(5)
 
 
@@ -286,6 +290,119 @@ def _with_bucket(buckets: int):
     return run
 
 
+# ---- crowds that hold several components
+
+
+def open_members(pairs: DataFrame, roots: DataFrame, unit: int = UNIT) -> DataFrame:
+    """unit, side (0: outside the crowd's largest component; 1: any), member, root of all members of crowds with two
+    components or more; a member is in as many units as it has blocks to meet."""
+    crowds = components(pairs)
+    nodes = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct()
+    rooted = nodes.join(crowds.select(F.col("node").alias("member"), F.col("root").alias("crowd")), "member", "left").withColumn("crowd", F.coalesce("crowd", "member"))
+    rooted = rooted.join(roots.select(F.col("node").alias("member"), "root"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    sizes = rooted.groupBy("crowd", "root").count()
+    sizes = sizes.groupBy("crowd").agg(F.sum("count").alias("n"), F.max_by("root", F.struct("count", "root")).alias("largest"), F.max("count").alias("most")).where("n > most")
+    sizes = sizes.select("crowd", "largest", F.ceil((F.col("n") - F.col("most")) / unit).alias("minor_blocks"), F.ceil(F.col("n") / unit).alias("blocks"))
+    found = rooted.join(sizes, "crowd")
+    block = lambda n: F.pmod(F.xxhash64("member"), F.col(n))
+    side = lambda k, i, j: found.select("crowd", F.lit(k).alias("side"), "member", "root", "largest", i.alias("i"), j.alias("j"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    minor = side(0, block("minor_blocks"), F.lit(None).cast("long")).join(sizes.select("crowd", "blocks"), "crowd").where("root <> largest").withColumn("j", every("blocks"))
+    all_ = side(1, F.lit(None).cast("long"), block("blocks")).join(sizes.select("crowd", "minor_blocks"), "crowd").withColumn("i", every("minor_blocks"))
+    both = minor.select("crowd", "i", "j", "side", "member", "root").union(all_.select("crowd", "i", "j", "side", "member", "root"))
+    return both.select(F.xxhash64("crowd", "i", "j").alias("unit"), "side", "member", "root")
+
+
+def _fetch_sets(words: int, buckets: int):
+    """Members of units meet their texts and move, as sets of shingles, to their units."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
+        if not right.num_rows:
+            return rows([])
+        unit, side, member, root = (right.column(x).to_numpy() for x in ("unit", "side", "member", "root"))
+        wanted, texts = set(member.tolist()), {}
+        for part in unpacked_documents(left):
+            for i, _, x in zip(*documents(part), strict=True):
+                if (i := int(i)) in wanted and x:
+                    texts[i] = min(x, texts.get(i, x))
+        out = []
+        to = by_print(unit.view(np.uint64), buckets)
+        for bucket in np.unique(to).tolist():
+            own = np.flatnonzero(to == bucket)
+            order = np.argsort(member[own], kind="stable")
+            own = own[order]
+            sets, sizes = [], []
+            for k, m in enumerate(member[own].tolist()):
+                if k and member[own[k - 1]] == m:
+                    sizes.append(-1)  # the same set as the row before
+                else:
+                    sets.append(np.unique(shingles(texts.get(m, b""), words)))
+                    sizes.append(len(sets[-1]))
+            head = pack(unit[own], side[own].astype(np.int64), member[own], root[own], np.array(sizes, np.int64))
+            out.append((bucket, TEXTS, np.array([len(head)], "<u8").tobytes() + head + pack(np.concatenate(sets))))
+        return rows(out)
+
+    return run
+
+
+def _link_units(least: float):
+    """Links between components within each unit: one for each two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        by: dict[int, list[tuple[int, int, int, np.ndarray]]] = {}
+        for blob in table.column("payload").to_pylist():
+            cut = 8 + int(np.frombuffer(blob, "<u8", 1)[0])
+            unit, side, member, root, sizes = unpack(blob[8:cut], ["<i8"] * 5)
+            (values,) = unpack(blob[cut:], ["<u8"])
+            at, last = 0, values[:0]
+            for k, size in enumerate(sizes.tolist()):
+                if size >= 0:
+                    last, at = values[at : at + size], at + size
+                by.setdefault(int(unit[k]), []).append((int(side[k]), int(member[k]), int(root[k]), last))
+        links = [x for members in by.values() for x in joining(members, least)]
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def joining(members: list[tuple[int, int, int, np.ndarray]], least: float) -> list[tuple[int, int]]:
+    """members: (side, member, root, shingles). Pairs of similar members of different roots, one for each two roots."""
+    minor, others = [x for x in members if x[0] == 0], [x for x in members if x[0] == 1]
+    if not minor or not others:
+        return []
+    sizes = np.array([len(x[3]) for x in others])
+    roots = np.array([x[2] for x in others])
+    postings = np.concatenate([x[3] for x in others])
+    owners = np.repeat(np.arange(len(others)), sizes)
+    order = np.argsort(postings, kind="stable")
+    postings, owners = postings[order], owners[order]
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for _, member, root, own in minor:
+        low, high = np.searchsorted(postings, own, "left"), np.searchsorted(postings, own, "right")
+        shared = np.zeros(len(others), np.int64)
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            shared[owners[a:b]] += 1  # an owner has a shingle once
+        near = np.flatnonzero((shared >= least * (len(own) + sizes - shared)) & (shared > 0) & (roots != root))
+        for k in near.tolist():
+            found.setdefault((min(root, int(roots[k])), max(root, int(roots[k]))), (member, others[k][1]))
+    return list(found.values())
+
+
+def rejoined(packed: DataFrame, members: DataFrame, buckets: int, words: int, least: float) -> DataFrame:
+    """Links that join components of a crowd; saved in the shared folder."""
+    deal = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(by_document(x.column(2).to_numpy(), buckets)), *x.columns], ["bucket", *x.schema.names])
+
+    keyed = members.mapInArrow(run, "bucket int, unit long, side int, member long, root long")
+    sets = deal(packed).cogroup(deal(keyed)).applyInArrow(_fetch_sets(words, buckets), ROW)
+    return saved(deal(sets).applyInArrow(_link_units(least), "a long, b long"), "links")
+
+
 # ---- components
 
 
@@ -318,7 +435,6 @@ def _sum(edges: DataFrame) -> tuple:
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row for each document: doc_id and class_id, the smallest id of its class."""
-    spark = docs.sparkSession
     whole = narrow(docs, id_col, text_col)
     kind = whole.schema["doc_id"].dataType
     whole = whole.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
@@ -335,22 +451,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     links = verified(packed, pairs, buckets, words, least)
     roots = components(links)
 
-    rest = across(groups, roots)
-    more = verified(packed, rest.join(pairs, ["a", "b"], "left_anti"), buckets, words, least)
+    more = rejoined(packed, open_members(pairs, roots), buckets, words, least)
     if more.take(1):
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     found = members.join(roots, members.member == roots.node, "left").select("doc_id", F.coalesce("root", "member").alias("class_id"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).cast(kind).alias(c)
     return found.select(null("doc_id"), null("class_id"))
-
-
-def across(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a group's members in different components, one of them outside the group's largest component."""
-    rooted = groups.join(roots, groups.member == roots.node, "left").select("band", "member", F.coalesce("root", "member").alias("root"))
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("band")
-    rooted = saved(rooted.join(open_, "band"), "open")
-    sizes = rooted.groupBy("band", "root").count()
-    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    minor = rooted.join(largest, "band").where("root <> largest").select("band", F.col("member").alias("a"), F.col("root").alias("root_a"), "largest")
-    pairs = minor.join(rooted, "band").where((F.col("root_a") != F.col("root")) & ((F.col("root") == F.col("largest")) | (F.col("a") < F.col("member"))))
-    return pairs.select("a", F.col("member").alias("b")).distinct()
