@@ -72,41 +72,47 @@ def _boosted(spans: Column, text: Column, context: Column, entity: str) -> Colum
 
 def emails(text: Column, context: Column) -> Column:
     trimmed = lambda m: span(m["start"], m["start"] + F.length(F.rtrim(m["value"], F.lit(".-"))), "EMAIL_ADDRESS", 1.0, "email")
-    return F.transform(matches(text, EMAIL), trimmed)
+    return F.transform(matches(F.when(text.contains("@"), text), EMAIL), trimmed)
 
 
 def urls(text: Column, context: Column) -> Column:
-    return F.concat(find_spans(text, URL, "URL", 0.6, "url"), find_spans(text, BROKEN_URL, "URL", 0.6, "broken_url"))
+    some = F.when(F.lower(text).contains("www.") | text.contains("://"), text)
+    return F.concat(find_spans(some, URL, "URL", 0.6, "url"), find_spans(some, BROKEN_URL, "URL", 0.6, "broken_url"))
+
+
+def numeric(text: Column) -> Column:
+    """The text if it has two digits in a row, else null: most texts are spared the patterns of numbers."""
+    return F.when(text.rlike("[0-9][0-9]"), text)
 
 
 def ssns(text: Column, context: Column) -> Column:
-    return find_spans(text, SSN, "US_SSN", 0.5, "ssn")
+    return find_spans(numeric(text), SSN, "US_SSN", 0.5, "ssn")
 
 
 def cards(text: Column, context: Column) -> Column:
-    return F.transform(F.filter(matches(text, CARD), lambda m: luhn_valid(m["value"])), lambda m: span(m["start"], m["end"], "CREDIT_CARD", 1.0, "card"))
+    return F.transform(F.filter(matches(numeric(text), CARD), lambda m: luhn_valid(m["value"])), lambda m: span(m["start"], m["end"], "CREDIT_CARD", 1.0, "card"))
 
 
 def ips(text: Column, context: Column) -> Column:
-    return F.concat(find_spans(text, IPV4, "IP_ADDRESS", 0.6, "ip"), find_spans(text, IPV6, "IP_ADDRESS", 0.6, "ip"))
+    return F.concat(find_spans(numeric(text), IPV4, "IP_ADDRESS", 0.6, "ip"), find_spans(F.when(text.contains(":"), text), IPV6, "IP_ADDRESS", 0.6, "ip"))
 
 
 def phones(text: Column, context: Column) -> Column:
-    found = F.concat(*(find_spans(text, p, "PHONE_NUMBER", score, "phone") for p, score in PHONES))
+    found = F.concat(*(find_spans(numeric(text), p, "PHONE_NUMBER", score, "phone") for p, score in PHONES))
     return _boosted(found, text, context, "PHONE_NUMBER")
 
 
 def aadhaars(text: Column, context: Column) -> Column:
-    found = F.transform(matches(text, AADHAAR), lambda m: span(m["start"], m["end"], "IN_AADHAAR", F.when(verhoeff_valid(m["value"]), 0.35).otherwise(0.2), "aadhaar"))
+    found = F.transform(matches(numeric(text), AADHAAR), lambda m: span(m["start"], m["end"], "IN_AADHAAR", F.when(verhoeff_valid(m["value"]), 0.35).otherwise(0.2), "aadhaar"))
     return _boosted(found, text, context, "IN_AADHAAR")
 
 
 def dins(text: Column, context: Column) -> Column:
-    return _boosted(find_spans(text, DIN, "IN_DIN", 0.05, "din"), text, context, "IN_DIN")
+    return _boosted(find_spans(numeric(text), DIN, "IN_DIN", 0.05, "din"), text, context, "IN_DIN")
 
 
 def pans(text: Column, context: Column) -> Column:
-    return _boosted(find_spans(text, PAN, "IN_PAN", 0.3, "pan"), text, context, "IN_PAN")
+    return _boosted(find_spans(numeric(text), PAN, "IN_PAN", 0.3, "pan"), text, context, "IN_PAN")
 
 
 def births(text: Column, context: Column) -> Column:
@@ -122,7 +128,7 @@ def births(text: Column, context: Column) -> Column:
 
         return let(matches(text, BIRTH), lambda cues: let(matches(text, SENTENCE_END), lambda ends: F.transform(d, lambda s: scored(s, cues, ends))))
 
-    return F.when(text.rlike(DATES), F.when(text.rlike(BIRTH), let(dates, by_cue)).otherwise(_boosted(dates, text, context, "DATE_OF_BIRTH"))).otherwise(no_spans())
+    return F.when(numeric(text).rlike(DATES), F.when(text.rlike(BIRTH), let(dates, by_cue)).otherwise(_boosted(dates, text, context, "DATE_OF_BIRTH"))).otherwise(no_spans())
 
 
 Builder = Callable[[Column, Column], Column]
@@ -212,13 +218,14 @@ def detect(units: DataFrame, config: C.RunConfig | None = None, *, text_col: str
             c = F.col(k).eqNullSafe(F.col(f"_key_{k}"))
             same = c if same is None else same & c
         return units.join(renamed, same, "left").drop(*(f"_key_{k}" for k in keys))
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t", " ")
+    # The text is a column of its own, so that it is made once and not for each pattern.
+    rows = units.withColumn("_text", F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t", " "))
+    text = F.col("_text")
     context = F.coalesce(F.col(context_col).cast("array<string>"), F.array().cast("array<string>")) if context_col else F.array().cast("array<string>")
-    rows = units
     hits = pattern_hits(text, context, config)
     if names_too:
-        rows = rows.withColumn("_names", name_hits(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t", " "), config, ner))
+        rows = rows.withColumn("_names", name_hits(text, config, ner))
         hits = F.concat(hits, F.col("_names"))
     rows = rows.withColumn("spans", F.when(F.btrim(text) == "", no_spans()).otherwise(hits))
-    rows = rows.withColumn("spans", F.filter(F.transform("spans", edges(text)), passes(text, config)))
-    return rows.withColumn("spans", resolve_overlaps(prefer_rules(F.col("spans")))).drop("_names")
+    rows = rows.withColumn("spans", F.when(F.size("spans") == 0, F.col("spans")).otherwise(F.filter(F.transform("spans", edges(text)), passes(text, config))))
+    return rows.withColumn("spans", F.when(F.size("spans") < 2, F.col("spans")).otherwise(resolve_overlaps(prefer_rules(F.col("spans"))))).drop("_names", "_text")

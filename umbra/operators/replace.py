@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import config as C
 from ..functions import fakes
@@ -39,7 +40,7 @@ def spans_of(units: DataFrame, config: C.RunConfig) -> DataFrame:
     return rows.select(scope.alias("scope_id"), "doc_id", "unit_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.entity_type").alias("entity_type"), F.col("s.source").alias("source"), raw.alias("raw"), original.alias("original")).withColumn("key", norm_key(F.col("entity_type"), F.col("original")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fake(seed: pd.Series, scope: pd.Series, entity: pd.Series, key: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
     return pd.Series([fakes.fake(*x) for x in zip(seed, scope, entity, key, value, attempt, strict=True)])
 
