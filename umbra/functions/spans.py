@@ -50,6 +50,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(gaps, lambda g: let(found, lambda m: places(g, m)))).otherwise(empty)
 
 
+def given(text: Column, condition, body) -> Column:
+    """body(text) for texts that meet a condition, else no spans; both the text and the condition are computed once."""
+    return F.when(condition(text), body(text)).otherwise(no_spans())
+
+
 def find_spans(text: Column, pattern: str, entity: str, score: float, source: str) -> Column:
     """Matches of a pattern as spans."""
     return F.transform(matches(text, pattern), lambda m: span(m["start"], m["end"], entity, score, source))
@@ -67,12 +72,15 @@ def rank(entity: Column) -> Column:
 
 def resolve_overlaps(spans: Column) -> Column:
     """Longest first, then by type, score and place: a span stays if it overlaps none that stays. In order of start."""
-    keyed = F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("k1"), rank(s["entity_type"]).alias("k2"), (-s["score"]).alias("k3"), s["start"].alias("k4"), s.alias("s")))
-    keep = F.aggregate(
-        F.array_sort(keyed), no_spans(),
-        lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x["s"])), kept).otherwise(F.concat(kept, F.array(x["s"]))),
-    )
-    return F.when(F.size(spans) < 2, spans).otherwise(F.array_sort(keep))
+    def resolved(spans: Column) -> Column:
+        keyed = F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("k1"), rank(s["entity_type"]).alias("k2"), (-s["score"]).alias("k3"), s["start"].alias("k4"), s.alias("s")))
+        keep = F.aggregate(
+            F.array_sort(keyed), no_spans(),
+            lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x["s"])), kept).otherwise(F.concat(kept, F.array(x["s"]))),
+        )
+        return F.when(F.size(spans) < 2, spans).otherwise(F.array_sort(keep))
+
+    return let(spans, resolved)
 
 
 def value_of(text: Column, s: Column) -> Column:

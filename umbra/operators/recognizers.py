@@ -218,14 +218,19 @@ def detect(units: DataFrame, config: C.RunConfig | None = None, *, text_col: str
             c = F.col(k).eqNullSafe(F.col(f"_key_{k}"))
             same = c if same is None else same & c
         return units.join(renamed, same, "left").drop(*(f"_key_{k}" for k in keys))
-    # The text is a column of its own, so that it is made once and not for each pattern.
-    rows = units.withColumn("_text", F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t", " "))
-    text = F.col("_text")
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t", " ")
     context = F.coalesce(F.col(context_col).cast("array<string>"), F.array().cast("array<string>")) if context_col else F.array().cast("array<string>")
-    hits = pattern_hits(text, context, config)
+    rows = units
     if names_too:
         rows = rows.withColumn("_names", name_hits(text, config, ner))
-        hits = F.concat(hits, F.col("_names"))
-    rows = rows.withColumn("spans", F.when(F.btrim(text) == "", no_spans()).otherwise(hits))
-    rows = rows.withColumn("spans", F.when(F.size("spans") == 0, F.col("spans")).otherwise(F.filter(F.transform("spans", edges(text)), passes(text, config))))
-    return rows.withColumn("spans", F.when(F.size("spans") < 2, F.col("spans")).otherwise(resolve_overlaps(prefer_rules(F.col("spans"))))).drop("_names", "_text")
+
+    # Everything that is used more than once is bound by a lambda, so that no expression is computed again.
+    def verified(t: Column) -> Column:
+        hits = pattern_hits(t, context, config)
+        return let(F.concat(hits, F.col("_names")) if names_too else hits, lambda h: F.when(F.size(h) == 0, h).otherwise(let(F.filter(F.transform(h, edges(t)), passes(t, config)), settled)))
+
+    def settled(kept: Column) -> Column:
+        return F.when(F.size(kept) < 2, kept).otherwise(resolve_overlaps(prefer_rules(kept)))
+
+    blank = F.coalesce(F.btrim(F.col(text_col)) == "", F.lit(True))
+    return rows.withColumn("spans", F.when(blank, no_spans()).otherwise(let(text, verified))).drop("_names")
