@@ -43,6 +43,14 @@ def test_decontaminate_against_brute_force(spark, docs):
         assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in found)
 
 
+def test_the_bound_of_contamination_is_exact(spark):
+    """7 of 140 words are one in twenty; in floating point 0.05 * 140 is more than 7."""
+    words = " ".join(f"w{k}" for k in range(133))
+    docs = spark.createDataFrame([(1, words + " a b c d e f g"), (2, words + " x a b c d e f g")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in decontaminate.decontaminate(docs, bench).collect()} == {1: (140, 7, True), 2: (141, 7, False)}
+
+
 def test_decontaminate_empty(none, docs):
     bench = none.selectExpr("doc_id as item_id", "text")
     assert decontaminate.decontaminate(none, bench).count() == 0

@@ -112,10 +112,10 @@ _COMPILED: dict[str, list[WuManber]] = {}
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
-    window: int = WINDOW, share: float = 0.05, block_bytes: int = BLOCK_BYTES,
+    window: int = WINDOW, one_in: int = 20, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: n_words, n_hit, item_ids (sorted as strings), spans (hit word ranges),
-    contaminated (n_hit > 0 and n_hit >= share * n_words)."""
+    contaminated (n_hit > 0 and one_in * n_hit >= n_words)."""
     spark = docs.sparkSession
     out = narrow(docs, id_col, text_col)
     kind = out.schema["doc_id"].dataType.simpleString()
@@ -130,7 +130,7 @@ def decontaminate(
         out = out.mapInArrow(_scan(sent, uuid.uuid4().hex, last=k == blocks - 1), carried)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.col("items").alias("item_ids"), "spans").withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))
+        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))
     )
 
 
