@@ -7,6 +7,8 @@ run per image in Arrow batches, an image being small.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -194,15 +196,19 @@ def _value(words: pd.DataFrame, label: pd.Series) -> pd.DataFrame:
     same = words[(words.top < label.top + h) & (words.top + words.height > label.top) & (words.left >= right)].sort_values("left")
     taken, edge = [], right
     for k, w in same.iterrows():
-        if w.left - edge > 4 * h or _key(w.text) in _LABEL_WORDS or w.conf < 50:
+        if w.left - edge > 4 * h or w.conf < 50 or _key(w.text) in _LABEL_WORDS and taken:
             break
+        if _key(w.text) in _LABEL_WORDS:  # "Father's Name": the label goes on
+            edge = w.left + w.width
+            continue
         if _key(w.text):
             taken.append(k)
         edge = w.left + w.width
     if taken:
         return words.loc[taken]
     below = words[(words.top >= label.top + h) & (words.top - label.top - h <= 3 * h) & (words.left < right + 8 * h) & (words.left + words.width > label.left - 2 * h)]
-    below = below[~below.text.map(_key).isin(_LABEL_WORDS)]
+    labelled = words.line_id[words.text.map(_key).isin(_LABEL_WORDS)]
+    below = below[~below.line_id.isin(labelled)]
     return below[below.line_id == below.sort_values(["top", "left"]).line_id.iloc[0]] if len(below) else below
 
 
@@ -336,6 +342,93 @@ def texture(pixels: np.ndarray, cell: int = 16) -> list[tuple[int, int, int, int
 # ---- pixels
 
 
+def decode_png(content: bytes) -> np.ndarray | None:
+    """Pixels (height, width, channels) of a PNG of 8 bits a channel without interlacing; None for all else."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    at, data, palette, head = 8, b"", None, None
+    try:
+        while at < len(content):
+            size, kind = struct.unpack(">I4s", content[at : at + 8])
+            body = content[at + 8 : at + 8 + size]
+            at += 12 + size
+            if kind == b"IHDR":
+                head = struct.unpack(">IIBBBBB", body)
+            elif kind == b"PLTE":
+                palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT":
+                data += body
+        width, height, depth, colour, _, _, interlaced = head
+        channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+        if depth != 8 or interlaced:
+            return None
+        lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * channels)
+    except (struct.error, zlib.error, KeyError, TypeError, ValueError):
+        return None
+    out = np.zeros((height, width * channels), np.uint8)
+    above = np.zeros(width * channels, np.int32)
+    for y in range(height):
+        how, line = lines[y, 0], lines[y, 1:].astype(np.int32)
+        if how == 2:
+            line = line + above
+        elif how in (1, 3, 4):
+            for x in range(len(line)):
+                left = line[x - channels] if x >= channels else 0
+                corner = above[x - channels] if x >= channels else 0
+                up = above[x]
+                if how == 1:
+                    add = left
+                elif how == 3:
+                    add = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    pa, pb, pc = abs(p - left), abs(p - up), abs(p - corner)
+                    add = left if pa <= pb and pa <= pc else up if pb <= pc else corner
+                line[x] = (line[x] + add) & 255
+        above = line & 255
+        out[y] = above
+    px = out.reshape(height, width, channels)
+    return palette[px[..., 0]] if palette is not None and colour == 3 else px
+
+
+def encode_png(pixels: np.ndarray) -> bytes:
+    """A PNG of 8 bits a channel."""
+    height, width = pixels.shape[:2]
+    px = pixels.reshape(height, width, -1)
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[px.shape[2]]
+    raw = np.concatenate([np.zeros((height, 1), np.uint8), px.reshape(height, -1)], axis=1).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+RAW = "image_id string, height int, width int, channels int, data binary"
+
+
+def decoded(pictures: DataFrame, decode: Callable[[bytes], np.ndarray | None] = decode_png) -> DataFrame:
+    """Pictures (image_id, content) as raw images; what the decoder can't read has null data and is reported as skipped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for image_id, content in zip(b.image_id, b.content, strict=True):
+                px = decode(content) if content else None
+                out.append((image_id, None, None, None, None) if px is None else (image_id, *px.reshape(*px.shape[:2], -1).shape, px.tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data"])
+
+    return pictures.select("image_id", "content").mapInPandas(run, RAW)
+
+
+def encoded(images: DataFrame, encode: Callable[[np.ndarray], bytes] = encode_png) -> DataFrame:
+    """image_id and content of painted raw images, to be put back where they came from."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, encode(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c)))) for i, h, w, c, d in zip(b.image_id, b.height, b.width, b.channels, b.data, strict=True)]
+            yield pd.DataFrame(out, columns=["image_id", "content"])
+
+    return images.where("modified").select("image_id", "height", "width", "channels", "data").mapInPandas(run, "image_id string, content binary")
+
+
 def painted(pixels: np.ndarray, boxes: list[tuple[int, int, int, int]], pad: int = 4) -> np.ndarray:
     """A copy with opaque black boxes, padded and clipped to the image; an alpha channel stays opaque there."""
     out = pixels.copy()

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import host_of, is_public_host
 from ..operators import docpass, recognizers, replace
 from ..staging import saved
 
@@ -61,9 +60,3 @@ def report(redacted: DataFrame, config: C.RunConfig | None = None) -> DataFrame:
     unique = spans.where("entity_type <> 'URL'").agg(F.count_distinct("scope_id", "entity_type", "key").alias("unique_values_replaced"))
     # Each side is one row.
     return units.crossJoin(as_map("entity_type")).crossJoin(as_map("source")).crossJoin(unique)
-
-
-def rewrite_links(text, hosts: DataFrame | None = None):
-    """A link's text with its private host named as such: mail and site links that aren't public."""
-    host = F.coalesce(F.nullif(F.lower(F.regexp_extract(text, r"(?i)^(?:mailto:)?[\w.+-]+@([\w.-]+)$", 1)), F.lit("")), host_of(text))
-    return F.when(is_public_host(host), F.lit(None)).otherwise(host)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,26 @@ def sample(spark: SparkSession) -> DataFrame:
             rows.append((len(rows), cell, header.split()))
     marked = spark.createDataFrame(rows, "unit_id int, marked string, context array<string>")
     return from_marks(marked).join(marked.select("unit_id", "context"), "unit_id")
+
+
+#: An invented identity card: label or value, whether it is personal, and its place.
+CARD = (
+    ("INCOME TAX DEPARTMENT", False, (40, 30, 420, 60)), ("Name", False, (40, 110, 110, 135)), ("KAREN FOSTER", True, (140, 110, 340, 135)), ("Father's Name", False, (40, 160, 200, 185)),
+    ("GEORGE FOSTER", True, (230, 160, 430, 185)), ("Date of Birth", False, (40, 210, 190, 235)), ("28/07/1979", True, (230, 210, 370, 235)), ("Signature", False, (560, 330, 680, 355)),
+)
+
+
+def card(spark: SparkSession, width: int = 900, height: int = 520) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The card as a raw image (grey bars where words are), its words as a recogniser would give them, and gold boxes."""
+    pixels = np.full((height, width, 3), 235, np.uint8)
+    words = []
+    for text, _, (l, t, r, b) in CARD:
+        pixels[t:b, l:r] = 120
+        parts, step = text.split(), (r - l) / len(text)
+        at = 0
+        for part in parts:
+            words.append(("card", len(words), part, int(l + at * step), t, int(len(part) * step), b - t, 95.0))
+            at += len(part) + 1
+    image = spark.createDataFrame([("card", height, width, 3, pixels.tobytes())], "image_id string, height int, width int, channels int, data binary")
+    boxes = spark.createDataFrame([("card", text, pii, [float(x) for x in box]) for text, pii, box in CARD], "image_id string, text string, pii boolean, box array<double>")
+    return image, spark.createDataFrame(words, "image_id string, word_id int, text string, `left` int, top int, width int, height int, conf double"), boxes
