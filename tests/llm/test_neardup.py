@@ -75,6 +75,13 @@ def test_on_a_table(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()} == brute_classes(rows)
 
 
+def test_rows_of_one_id_share_a_class(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a), (9, a), (9, b), (12, b), (20, prose(3, 80)), (20, prose(3, 80))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in out) == [(1, 1), (9, 1), (9, 1), (12, 1), (20, 20), (20, 20)]
+
+
 def test_odd_tables(none, docs):
     assert neardup.near_duplicates(none).count() == 0
     assert neardup.near_duplicates(docs).count() == docs.count()

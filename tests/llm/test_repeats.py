@@ -59,7 +59,7 @@ def shared(docs):
     return docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(7), rows
 
 
-@pytest.mark.parametrize(("bucket_bytes", "period"), [(repeats.BUCKET_BYTES, 0), (30_000, 0), (60_000, 64)])
+@pytest.mark.parametrize(("bucket_bytes", "period"), [(repeats.BUCKET_BYTES, 0), (30_000, 0), (60_000, 64), (60_000, 57)])
 def test_bytes_against_brute_force(shared, bucket_bytes, period):
     df, rows = shared
     found = suffixes.remove_repeats(df, bucket_bytes=bucket_bytes, period=period).collect()
@@ -82,7 +82,30 @@ def test_carried_columns(docs):
     assert all((r.doc_id, r.kept) in texts for r in rows if not r.n_removed) and any(r.n_removed for r in rows)
 
 
+def test_longest_repeats(shared):
+    df, rows = shared
+    rows = [(d, t) for d, t in rows if d is not None and (not t or len(t) < 20_000)]
+    df = df.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want: dict[int, int] = {}
+    size = 13
+    while True:
+        where: dict[tuple, set] = {}
+        for d, t in rows:
+            w = (t or "").split()
+            for i in range(len(w) - size + 1):
+                where.setdefault(tuple(w[i : i + size]), set()).add(d)
+        found = {d for ds in where.values() if len(ds) > 1 for d in ds}
+        if not found:
+            break
+        want |= dict.fromkeys(found, size)
+        size *= 2
+    assert size > 52
+    for bucket_bytes in (repeats.BUCKET_BYTES, 40_000):
+        assert {r.doc_id: r.words for r in substring.longest_repeats(df, bucket_bytes=bucket_bytes).collect()} == want
+
+
 def test_empty(none):
+    assert substring.longest_repeats(none).count() == 0
     assert substring.remove_repeats(none).count() == 0
     assert suffixes.remove_repeats(none).count() == 0
 
@@ -113,6 +136,6 @@ def test_equal_windows_share_an_anchor(one, two, which):
 
 
 def test_difference_cover():
-    for period in (7, 64, 73):
+    for period in (7, 13, 21, 31, 57, 64, 73):
         members = anchors.positional(period, period).tolist()
         assert {(a - b) % period for a in members for b in members} == set(range(period))

@@ -125,9 +125,14 @@ def anchors(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: i
     return np.flatnonzero(chosen)
 
 
+#: Perfect difference sets by period: each non-zero remainder is a difference of two members once. Fixed values.
+PERFECT = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
+
+
 def positional(n: int, period: int) -> np.ndarray:
     """Places below n whose remainder by the period is in a difference cover: each difference of two remainders occurs
-    between two members of the cover. The cover is 0..r and the multiples of r + 1, with r about the root of the period."""
+    between two members of the cover. Without a perfect one, the cover is 0..r and the multiples of r + 1, with r about
+    the root of half the period."""
     r = max(1, int(np.ceil(np.sqrt(period / 2))))
-    members = np.unique(np.concatenate([np.arange(r + 1), np.arange(0, period, r + 1)]) % period)
+    members = np.array(PERFECT[period]) if period in PERFECT else np.unique(np.concatenate([np.arange(r + 1), np.arange(0, period, r + 1)]) % period)
     return np.flatnonzero(np.isin(np.arange(n) % period, members))

@@ -22,8 +22,8 @@ contractions of the links, as tables in the shared folder; the driver holds none
 
 Defined cases: words are runs between Unicode white space of the lower-cased text; a text of one to four words is one
 shingle; a null text or one without words is a class of its own; a null id counts as the smallest id (and is written
-back as null); repeated rows and equal ids give one row for each row, and rows of one id that hold different texts share
-a class; an empty table gives an empty result; other columns are ignored.
+back as null); repeated rows and equal ids give one row for each row, rows of one id share a class whatever their texts, and
+of several texts of one id the smallest in bytes is what is verified; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -442,13 +442,15 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     packed = packed_documents(whole, buckets)
     signed = whole.mapInArrow(_sign(buckets, words, bands, depth), ROW)
     found = saved(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_group(), "kind int, a long, b long"), "groups")
-    # Rows of one id share a class, whatever their texts.
     members = found.where(F.col("kind") == MEMBERS).select(F.col("a").alias("doc_id"), F.col("b").alias("member"))
     groups = found.where(F.col("kind") == GROUPS).select(F.col("a").alias("band"), F.col("b").alias("member"))
 
     first = groups.groupBy("band").agg(F.min("member").alias("a"))
     pairs = groups.join(first, "band").where("member <> a").select("a", F.col("member").alias("b")).distinct()
-    links = verified(packed, pairs, buckets, words, least)
+    # Rows of one id share a class, whatever their texts.
+    several = members.groupBy("doc_id").agg(F.min("member").alias("one"), F.max("member").alias("two")).where("one <> two").select("doc_id")
+    same = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("member").alias("b"))
+    links = verified(packed, pairs, buckets, words, least).union(same)
     roots = components(links)
 
     more = rejoined(packed, open_members(pairs, roots), buckets, words, least)

@@ -60,6 +60,8 @@ class Plan:
     buckets: int
     #: Period of a positional difference cover; 0: the content-defined cover.
     period: int = 0
+    #: Whether the first of equal windows is reported too.
+    both: bool = False
 
     @property
     def before(self) -> int:
@@ -228,6 +230,14 @@ def later(plan: Plan, first: np.ndarray, ids: np.ndarray, salts: np.ndarray, at:
     return other
 
 
+def reported(plan: Plan, new: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The rows to report: those that come later and, where asked for, the rows of groups that have any such."""
+    if not plan.both or not len(new):
+        return known
+    group = np.cumsum(new) - 1
+    return (np.bincount(group, weights=known) > 0)[group]
+
+
 def heads(*keys: np.ndarray) -> np.ndarray:
     """Where sorted keys change."""
     out = np.ones(len(keys[0]), bool)
@@ -247,8 +257,10 @@ def _flush(plan: Plan, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     sub, context, ids, salts, at, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((at, salts, ids, context, sub))
     sub, context, ids, salts, at, sizes = (x[order] for x in (sub, context, ids, salts, at, sizes))
-    known = later(plan, first_rows(heads(sub, context)), ids, salts, at)
+    new = heads(sub, context)
+    known = later(plan, first_rows(new), ids, salts, at)
     out = split(by_print(sub[~known], plan.buckets), ENTRIES, [x[~known] for x in (sub, context, ids, salts, at, sizes)])
+    known = reported(plan, new, known)
     out += ranges(plan, *_around(plan, ids[known], salts[known], at[known], sizes[known]))
     if out:
         yield rows(out).to_batches()[0]
@@ -294,7 +306,8 @@ def _compare(plan: Plan):
             sub, context, ids, salts, at, sizes = (x[order] for x in (sub, context, ids, salts, at, sizes))
             new = heads(sub, context)
             known = later(plan, first_rows(new), ids, salts, at)
-            out += ranges(plan, *_around(plan, ids[known], salts[known], at[known], sizes[known]))
+            told = reported(plan, new, known)
+            out += ranges(plan, *_around(plan, ids[told], salts[told], at[told], sizes[told]))
             group = np.cumsum(heads(sub)) - 1
             contexts = np.bincount(group, weights=new).astype(np.int64)[group]
             open_ = ~known & (contexts > 1)
@@ -370,18 +383,20 @@ def _windows(plan: Plan, texts, wanted, at) -> list[tuple[int, int, bytes]]:
     if not held:
         return []
     one, two, ids, salts, start = (np.concatenate(x) for x in zip(*held, strict=True))
-    known, (one, two, ids, salts, start) = _repeated(plan, one, two, ids, salts, start)
-    out = ranges(plan, ids[known], salts[known], start[known], start[known] + np.uint32(plan.window))
+    known, told, (one, two, ids, salts, start) = _repeated(plan, one, two, ids, salts, start)
+    out = ranges(plan, ids[told], salts[told], start[told], start[told] + np.uint32(plan.window))
     return out + split(by_print(one[~known], plan.buckets), WINDOWS, [x[~known] for x in (one, two, ids, salts, start)])
 
 
 def _repeated(plan: Plan, *arrays):
-    """Sorts windows; which of them come after an equal one."""
+    """Sorts windows; which of them come after an equal one, and which are to be reported."""
     one, two, ids, salts, start = arrays
     order = np.lexsort((start, salts, ids, two, one))
     arrays = [x[order] for x in arrays]
     one, two, ids, salts, start = arrays
-    return later(plan, first_rows(heads(one, two)), ids, salts, start), arrays
+    new = heads(one, two)
+    known = later(plan, first_rows(new), ids, salts, start)
+    return known, reported(plan, new, known), arrays
 
 
 # ---- step 4
@@ -393,8 +408,8 @@ def _decide(plan: Plan):
         held = [gathered(table, RANGES, RANGE)]
         arrays = gathered(table, WINDOWS, ["<u8", "<u8", "<i8", "<u4", "<u4"])
         if len(arrays[0]):
-            known, (_, _, ids, salts, start) = _repeated(plan, *arrays)
-            held.append((ids[known], salts[known], start[known], start[known] + np.uint32(plan.window)))
+            _, told, (_, _, ids, salts, start) = _repeated(plan, *arrays)
+            held.append((ids[told], salts[told], start[told], start[told] + np.uint32(plan.window)))
         if plan.raw:
             sub, ids, salts, at, made = gathered(table, CONTEXTS, ["<u8", "<i8", "<u4", "<u4", f"V{plan.context}"])
             if len(sub):
@@ -427,8 +442,9 @@ def _decide_contexts(plan: Plan, sub, ids, salts, at, made):
         key = A.mixed(prints.at(ok * width + offset, plan.window))
         order = np.lexsort((key, group[ok]))
         rows_ = ok[order]
-        first = rows_[first_rows(heads(group[rows_], key[order]))]
-        hit = rows_[(ids[rows_] != ids[first]) | (plan.same_document & ((salts[rows_] != salts[first]) | (at[rows_] != at[first])))]
+        new = heads(group[rows_], key[order])
+        first = rows_[first_rows(new)]
+        hit = rows_[reported(plan, new, (ids[rows_] != ids[first]) | (plan.same_document & ((salts[rows_] != salts[first]) | (at[rows_] != at[first]))))]
         low[hit] = np.minimum(low[hit], offset)
         high[hit] = offset
     some = high >= 0
@@ -464,10 +480,10 @@ def _apply(plan: Plan, finish, schema: pa.Schema):
     return run
 
 
-def repeated(docs: DataFrame, *, window: int, sub: int, symbols, same_document: bool, raw: bool, finish, result: str, kinds: list[pa.DataType], crowd: int = 64, bucket_bytes: int = BUCKET_BYTES, period: int = 0) -> DataFrame:
+def repeated(docs: DataFrame, *, window: int, sub: int, symbols, same_document: bool, raw: bool, finish, result: str, kinds: list[pa.DataType], crowd: int = 64, bucket_bytes: int = BUCKET_BYTES, period: int = 0, both: bool = False) -> DataFrame:
     """docs: doc_id, text and columns to carry. finish(text, spans): the values of ``result``, a DDL string of columns
     between doc_id and the carried ones; ``kinds`` are their Arrow types."""
-    plan = Plan(window, sub, symbols, same_document, raw, crowd, pieces(text_bytes(docs), bucket_bytes), period)
+    plan = Plan(window, sub, symbols, same_document, raw, crowd, pieces(text_bytes(docs), bucket_bytes), period, both)
     names = ["doc_id", *(x.split()[0] for x in result.split(", ")), *docs.columns[2:]]
     carried = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:]]
     ddl = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", result, *carried])

@@ -6,6 +6,10 @@ extended to the 13 words asked for (and to all 19 around them, which decides mos
 isn't repeated go no further. What survives are the windows of 13 words that also start in a document with a smaller
 id, and the words they cover are removed. The engine and its scale are described in ``repeats``.
 
+Longer windows can't change what is removed, as each window of 13 in a longer repeated one is repeated itself.
+``longest_repeats`` goes on where they matter: passages that survive at one length alone are looked at at twice that
+length, until no candidate survives, and each document learns the longest length at which it shares a passage.
+
 Defined cases: a null text has no words; texts of fewer than ``window`` words lose nothing; rows of an equal id never
 remove each other's words (a smaller id is asked for), so repeated rows get equal results; a null id counts as the
 smallest; an empty table gives an empty result; carried columns may have any names.
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import narrow
+from .common import narrow, saved
 
 WINDOW = 13
 
@@ -60,3 +64,33 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", carry:
         rows, window=window, sub=-(-window // 2), symbols=word_values, same_document=False, raw=False, finish=_kept_or_same if same_if_untouched else _kept,
         result="n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string", kinds=[pa.int64(), pa.int64(), span, pa.string()], bucket_bytes=bucket_bytes,
     )
+
+
+def _spans(text: bytes, spans: list[list[int]]) -> tuple:
+    words = text.split()
+    return ([b" ".join(words[a:b]).decode() for a, b in spans],)
+
+
+def longest_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window: int = WINDOW, bucket_bytes: int = repeats.BUCKET_BYTES) -> DataFrame:
+    """doc_id and words: the longest of ``window``, 2 ``window``, 4 ``window``, ... at which a window of the document also
+    starts in a document with another id. Documents that share none aren't listed.
+
+    Level by level: what survives at a length (in all documents that share it) are passages, and only those of at least
+    twice the length are candidates at the next. Each level is a table in the shared folder; the loop ends when none survive.
+    """
+    level, size, found = narrow(docs, id_col, text_col), window, None
+    while True:
+        rows = repeats.repeated(
+            level, window=size, sub=-(-size // 2), symbols=word_values, same_document=False, raw=False, finish=_spans,
+            result="passages array<string>", kinds=[pa.list_(pa.string())], bucket_bytes=bucket_bytes, both=True,
+        )
+        kept = saved(rows.where(F.size("passages") > 0).select("doc_id", F.explode("passages").alias("text")), "level")
+        if not kept.take(1):
+            break
+        here = kept.select("doc_id", F.lit(size).cast("long").alias("words"))
+        found = here if found is None else found.union(here)
+        size *= 2
+        level = kept.where(F.size(F.split("text", " ")) >= size)
+    if found is None:
+        return narrow(docs, id_col, text_col).select("doc_id", F.lit(window).cast("long").alias("words")).limit(0)
+    return found.groupBy("doc_id").agg(F.max("words").alias("words"))
