@@ -80,39 +80,38 @@ def urls(text: Column, context: Column) -> Column:
     return F.concat(find_spans(some, URL, "URL", 0.6, "url"), find_spans(some, BROKEN_URL, "URL", 0.6, "broken_url"))
 
 
-def numeric(text: Column) -> Column:
-    """The text if it has two digits in a row, else null: most texts are spared the patterns of numbers."""
-    return F.when(text.rlike("[0-9][0-9]"), text)
-
-
 def ssns(text: Column, context: Column) -> Column:
-    return find_spans(numeric(text), SSN, "US_SSN", 0.5, "ssn")
+    return find_spans(text, SSN, "US_SSN", 0.5, "ssn")
 
 
 def cards(text: Column, context: Column) -> Column:
-    return F.transform(F.filter(matches(numeric(text), CARD), lambda m: luhn_valid(m["value"])), lambda m: span(m["start"], m["end"], "CREDIT_CARD", 1.0, "card"))
+    return F.transform(F.filter(matches(text, CARD), lambda m: luhn_valid(m["value"])), lambda m: span(m["start"], m["end"], "CREDIT_CARD", 1.0, "card"))
+
+
+def ipv4s(text: Column, context: Column) -> Column:
+    return find_spans(F.when(text.rlike(r"[0-9]\.[0-9]"), text), IPV4, "IP_ADDRESS", 0.6, "ip")
 
 
-def ips(text: Column, context: Column) -> Column:
-    return F.concat(find_spans(numeric(text), IPV4, "IP_ADDRESS", 0.6, "ip"), find_spans(F.when(text.contains(":"), text), IPV6, "IP_ADDRESS", 0.6, "ip"))
+def ipv6s(text: Column, context: Column) -> Column:
+    return find_spans(F.when(text.contains(":"), text), IPV6, "IP_ADDRESS", 0.6, "ip")
 
 
 def phones(text: Column, context: Column) -> Column:
-    found = F.concat(*(find_spans(numeric(text), p, "PHONE_NUMBER", score, "phone") for p, score in PHONES))
+    found = F.concat(*(find_spans(text, p, "PHONE_NUMBER", score, "phone") for p, score in PHONES))
     return _boosted(found, text, context, "PHONE_NUMBER")
 
 
 def aadhaars(text: Column, context: Column) -> Column:
-    found = F.transform(matches(numeric(text), AADHAAR), lambda m: span(m["start"], m["end"], "IN_AADHAAR", F.when(verhoeff_valid(m["value"]), 0.35).otherwise(0.2), "aadhaar"))
+    found = F.transform(matches(text, AADHAAR), lambda m: span(m["start"], m["end"], "IN_AADHAAR", F.when(verhoeff_valid(m["value"]), 0.35).otherwise(0.2), "aadhaar"))
     return _boosted(found, text, context, "IN_AADHAAR")
 
 
 def dins(text: Column, context: Column) -> Column:
-    return _boosted(find_spans(numeric(text), DIN, "IN_DIN", 0.05, "din"), text, context, "IN_DIN")
+    return _boosted(find_spans(text, DIN, "IN_DIN", 0.05, "din"), text, context, "IN_DIN")
 
 
 def pans(text: Column, context: Column) -> Column:
-    return _boosted(find_spans(numeric(text), PAN, "IN_PAN", 0.3, "pan"), text, context, "IN_PAN")
+    return _boosted(find_spans(text, PAN, "IN_PAN", 0.3, "pan"), text, context, "IN_PAN")
 
 
 def births(text: Column, context: Column) -> Column:
@@ -128,27 +127,32 @@ def births(text: Column, context: Column) -> Column:
 
         return let(matches(text, BIRTH), lambda cues: let(matches(text, SENTENCE_END), lambda ends: F.transform(d, lambda s: scored(s, cues, ends))))
 
-    return F.when(numeric(text).rlike(DATES), F.when(text.rlike(BIRTH), let(dates, by_cue)).otherwise(_boosted(dates, text, context, "DATE_OF_BIRTH"))).otherwise(no_spans())
+    return F.when(text.rlike(DATES), F.when(text.rlike(BIRTH), let(dates, by_cue)).otherwise(_boosted(dates, text, context, "DATE_OF_BIRTH"))).otherwise(no_spans())
 
 
 Builder = Callable[[Column, Column], Column]
-#: Recognisers by name, each with the types it finds.
-REGISTRY: dict[str, tuple[frozenset[str], Builder]] = {
-    "email": (frozenset(["EMAIL_ADDRESS"]), emails), "url": (frozenset(["URL"]), urls), "ssn": (frozenset(["US_SSN"]), ssns), "card": (frozenset(["CREDIT_CARD"]), cards),
-    "ip": (frozenset(["IP_ADDRESS"]), ips), "phone": (frozenset(["PHONE_NUMBER"]), phones), "aadhaar": (frozenset(["IN_AADHAAR"]), aadhaars), "din": (frozenset(["IN_DIN"]), dins),
-    "pan": (frozenset(["IN_PAN"]), pans), "birth_date": (frozenset(["DATE_OF_BIRTH"]), births),
+#: Recognisers by name: the types each finds, its builder, and whether what it finds has two digits in a row.
+REGISTRY: dict[str, tuple[frozenset[str], Builder, bool]] = {
+    "email": (frozenset(["EMAIL_ADDRESS"]), emails, False), "url": (frozenset(["URL"]), urls, False), "ipv6": (frozenset(["IP_ADDRESS"]), ipv6s, False),
+    "ssn": (frozenset(["US_SSN"]), ssns, True), "card": (frozenset(["CREDIT_CARD"]), cards, True), "phone": (frozenset(["PHONE_NUMBER"]), phones, True), "aadhaar": (frozenset(["IN_AADHAAR"]), aadhaars, True),
+    "din": (frozenset(["IN_DIN"]), dins, True), "pan": (frozenset(["IN_PAN"]), pans, True), "birth_date": (frozenset(["DATE_OF_BIRTH"]), births, True), "ipv4": (frozenset(["IP_ADDRESS"]), ipv4s, False),
 }
 
 
-def register(name: str, entities, builder: Builder) -> None:
-    """Adds or replaces a recogniser: builder(text, context) gives an array of spans."""
-    REGISTRY[name] = frozenset(entities), builder
+def register(name: str, entities, builder: Builder, two_digits: bool = False) -> None:
+    """Adds or replaces a recogniser: builder(text, context) gives an array of spans. With ``two_digits`` it sees a null
+    text where no two digits stand in a row."""
+    REGISTRY[name] = frozenset(entities), builder, two_digits
 
 
 def pattern_hits(text: Column, context: Column, config: C.RunConfig) -> Column:
-    """Hits of all registered recognisers whose types are asked for."""
-    wanted = [b(text, context) for kinds, b in REGISTRY.values() if kinds & set(config.entities)]
-    return F.concat(no_spans(), *wanted)
+    """Hits of all registered recognisers whose types are asked for. The test for digits is made once for a text."""
+    wanted = [(b, digits_too) for kinds, b, digits_too in REGISTRY.values() if kinds & set(config.entities)]
+    plain = [b(text, context) for b, digits_too in wanted if not digits_too]
+    counted = [b for b, digits_too in wanted if digits_too]
+    if counted:
+        plain.append(F.when(text.rlike("[0-9][0-9]"), F.concat(no_spans(), *(b(text, context) for b in counted))).otherwise(no_spans()))
+    return F.concat(no_spans(), *plain)
 
 
 def name_hits(text: Column, config: C.RunConfig, ner: Callable | None = names.gazetteer) -> Column:

@@ -78,7 +78,7 @@ def pii_hits_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SELECT + _places(IP_RE))
 def pii_hits_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir, lambda t, c: F.filter(recognizers.ips(t, c), lambda s: ~value_of(t, s).contains(":")))
+    return _hits(spark, sf_dir, recognizers.ipv4s)
 
 
 @query(_SELECT + _places(CARD_RE) + f" WHERE {LUHN}")
