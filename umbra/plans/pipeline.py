@@ -55,8 +55,16 @@ def report(redacted: DataFrame, config: C.RunConfig | None = None) -> DataFrame:
     """One row: units, units_with_pii, counts by type and by source, unique values. Never an original value."""
     config = config or C.RunConfig()
     spans = replace.spans_of(redacted, config)
-    as_map = lambda column: spans.groupBy(column).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"by_{column}"))
-    units = redacted.agg(F.count("*").alias("units"), F.count_if(F.size("spans") > 0).alias("units_with_pii"))
-    unique = spans.where("entity_type <> 'URL'").agg(F.count_distinct("scope_id", "entity_type", "key").alias("unique_values_replaced"))
-    # Each side is one row.
-    return units.crossJoin(as_map("entity_type")).crossJoin(as_map("source")).crossJoin(unique)
+    figure = lambda kind, key, n: [F.lit(kind).alias("kind"), key.cast("string").alias("key"), n.cast("long").alias("n")]
+    none = F.lit(None)
+    rows = redacted.agg(*figure("units", none, F.count("*"))).union(redacted.agg(*figure("units_with_pii", none, F.count_if(F.size("spans") > 0))))
+    for column in ("entity_type", "source"):
+        rows = rows.union(spans.groupBy(column).agg(F.count("*").alias("n")).select(*figure(column, F.col(column), F.col("n"))))
+    rows = rows.union(spans.where("entity_type <> 'URL'").agg(*figure("unique", none, F.count_distinct("scope_id", "entity_type", "key"))))
+    # A few dozen rows, gathered to one.
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n")))
+    many = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))))
+    return rows.agg(
+        one("units").alias("units"), one("units_with_pii").alias("units_with_pii"), many("entity_type").alias("by_entity_type"), many("source").alias("by_source"),
+        one("unique").alias("unique_values_replaced"),
+    )

@@ -172,10 +172,11 @@ def replacement_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recognizers.detect(pipeline.as_units(table(spark, sf_dir, "documents")), PATTERNS_ONLY, names_too=False)
     config = C.RunConfig(scope="corpus")
     made = replace.replacements(replace.spans_of(found, config), config)
-    one = made.groupBy("entity_type", "key").agg(F.count_distinct("fake").alias("n")).agg(F.count_if(F.col("n") > 1).cast("int").alias("keys_with_several_fakes"))
-    two = made.groupBy(F.lower("fake").alias("f")).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).cast("int").alias("fakes_of_several_keys"))
-    three = made.agg(F.count_if((F.col("entity_type") == "CREDIT_CARD") & checksums.luhn_valid(F.col("fake"))).cast("int").alias("valid_cards"))
-    return one.crossJoin(two).crossJoin(three)  # one row each
+    one = made.groupBy("entity_type", "key").agg(F.count_distinct("fake").alias("n")).where("n > 1").select(F.lit("key").alias("kind"))
+    two = made.groupBy(F.lower("fake").alias("f")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("fake").alias("kind"))
+    three = made.where((F.col("entity_type") == "CREDIT_CARD") & checksums.luhn_valid(F.col("fake"))).select(F.lit("card").alias("kind"))
+    count = lambda kind, name: F.count_if(F.col("kind") == kind).cast("int").alias(name)
+    return one.union(two).union(three).agg(count("key", "keys_with_several_fakes"), count("fake", "fakes_of_several_keys"), count("card", "valid_cards"))
 
 
 # ---- on small invented tables
