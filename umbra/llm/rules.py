@@ -164,8 +164,9 @@ def learn_rules(rows: list[tuple[dict, int]], *, precision: float = 0.95, longes
         cuts = {}
         for name in bad[0]:
             values = sorted({x[name] for x in bad} | {x[name] for x in good[: 50 * steps]})
-            picked = sorted({values[k * (len(values) - 1) // steps] for k in range(steps + 1)})
-            cuts[name] = picked[:-1]
+            # Thresholds stand halfway between values that occur, so neither side is cut close.
+            between = [(a + b) / 2 for a, b in zip(values, values[1:])]  # noqa: B905
+            cuts[name] = sorted({between[k * (len(between) - 1) // steps] for k in range(steps + 1)}) if between else []
         rule = _grow(bad, good, cuts, longest)
         while len(rule) > 1 and _worth(rule[:-1], bad2, good2) >= _worth(rule, bad2, good2):
             rule = rule[:-1]
