@@ -28,8 +28,11 @@ def _order() -> Window:
     return Window.partitionBy("doc_id").orderBy("unit_id")
 
 
-def vocabulary(units: DataFrame) -> DataFrame:
-    """doc_id, word: the words that a document writes in lower case, outside mail and site addresses."""
+def vocabulary(units: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """doc_id, word: the words that a document writes in lower case, outside mail and site addresses. ``of`` names the
+    documents (doc_id) whose words are wanted; the texts of others aren't looked at."""
+    if of is not None:
+        units = units.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
     return units.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(LOWER_WORD), F.lit(0))).alias("word")).distinct()
 
 
@@ -59,7 +62,7 @@ def drop_vocabulary_names(units: DataFrame) -> DataFrame:
     """Without recognised names whose words are all ordinary words of the document or of the language."""
     named = units.select("doc_id", "unit_id", "text", F.explode(F.filter("spans", lambda s: (s["source"] == C.NER) & s["entity_type"].isin(*NAMES))).alias("s"))
     named = named.select("doc_id", "unit_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), value_of(F.col("text"), F.col("s")).alias("value"))
-    drop = vocabulary_spans(named, vocabulary(units)).where("is_vocabulary").groupBy("doc_id", "unit_id").agg(F.collect_set(F.struct("start", "end")).alias("_drop"))
+    drop = vocabulary_spans(named, vocabulary(units, named)).where("is_vocabulary").groupBy("doc_id", "unit_id").agg(F.collect_set(F.struct("start", "end")).alias("_drop"))
     out = units.join(drop, ["doc_id", "unit_id"], "left")
     gone = lambda s: F.coalesce(F.array_contains("_drop", F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.lit(False)) & (s["source"] == C.NER)
     return out.withColumn("spans", F.filter("spans", lambda s: ~gone(s))).drop("_drop")
@@ -194,13 +197,14 @@ def short_forms(units: DataFrame, known: DataFrame) -> DataFrame:
     lists = C.NAME_WORDS | C.ROLES | C.PUBLIC_BODIES | C.GENERIC
     first = first.where(long_enough & F.col("word").rlike(r"^[A-Za-z][A-Za-z-]*$") & (F.col("word") != F.col("key")) & ~F.col("key").isin(*sorted(lists)) & ~F.arrays_overlap(stems(F.col("key")), _literals(C.DICTIONARY)))
     people = known.where("entity_type = 'PERSON'").select("doc_id", F.explode(F.split("key", " ")).alias("key")).distinct()
-    first = first.join(people, ["doc_id", "key"], "left_anti").join(vocabulary(units).withColumnRenamed("word", "key"), ["doc_id", "key"], "left_anti")
+    first = first.join(people, ["doc_id", "key"], "left_anti").join(vocabulary(units, first).withColumnRenamed("word", "key"), ["doc_id", "key"], "left_anti")
     both = bare.select("doc_id", F.lower("bare").alias("key"), "full", "unit_id", "start").unionByName(first.select("doc_id", "key", "full", "unit_id", "start"))
     return both.groupBy("doc_id", "key").agg(F.min_by("full", F.struct("unit_id", "start")).alias("full"))
 
 
-def propagate_short_forms(units: DataFrame, known: DataFrame) -> DataFrame:
-    rows = mentions(units, short_forms(units, known), ["full"], guard_links=True)
+def propagate_short_forms(units: DataFrame, short: DataFrame) -> DataFrame:
+    """Mentions of short forms that overlap no span, as spans that stand for the full name."""
+    rows = mentions(units, short, ["full"], guard_links=True)
     out = _attach(units, rows, span(F.col("start"), F.col("end"), "ORGANIZATION", 0.7, C.SHORT_FORM, F.col("full")))
     out = out.withColumn("_extra", F.filter("_extra", lambda m: ~F.exists("spans", lambda o: overlaps(o, m))))
     return out.withColumn("spans", F.when(F.size("_extra") > 0, by_start(F.concat("spans", "_extra"))).otherwise(F.col("spans"))).drop("_extra")
@@ -229,7 +233,7 @@ def run(units: DataFrame, stage=lambda df, name: df) -> tuple[DataFrame, DataFra
     units = stage(units, "addresses")
     known = stage(known_names(units), "known")
     units = stage(propagate_known(units, known), "known_names")
-    units = stage(propagate_short_forms(units, known), "short_forms")
+    units = stage(propagate_short_forms(units, stage(short_forms(units, known), "short")), "short_forms")
     return join_split_names(units, known), known
 
 
