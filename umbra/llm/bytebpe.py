@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import narrow
+from .common import lean_after, narrow
 
 MAX_VOCAB_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers with their ids.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: The letter that stands for each byte.
 LETTERS = {b: 0x100 + b for b in range(256)}
 
@@ -145,6 +145,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_id", t
     sent = _vocabulary(docs.sparkSession, vocabulary, pattern)
     rows = narrow(docs, id_col, text_col)
 
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent)
         for batch in batches:
@@ -160,6 +161,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_col="ids",
     sent = _vocabulary(encoded.sparkSession, vocabulary, pattern)
     at = encoded.columns.index(ids_col)
 
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(sent)
         for batch in batches:

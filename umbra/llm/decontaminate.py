@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, pieces, text_bytes
+from .common import lean_after, narrow, pieces, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
@@ -135,6 +135,7 @@ def decontaminate(
 
 
 def _scan(sent, key: str, last: bool):
+    @lean_after
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _COMPILED:
             _COMPILED.clear()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import MULTIPLIER, mixed
-from .common import NULL_ID, lean, narrow, pieces, saved, text_bytes
+from .common import NULL_ID, lean, lean_after, narrow, pieces, saved, text_bytes
 from .repeats import ROW, by_document, by_print, documents, first_rows, gathered, heads, pack, packed_documents, rows, split, unpack, unpacked_documents
 
 WORDS = 5
@@ -109,6 +109,7 @@ def band_hashes(kept: np.ndarray, bands: int, depth: int) -> np.ndarray:
 
 
 def _sign(buckets: int, words: int, bands: int, depth: int):
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             band_of, key_of, id_of, members = [], [], [], []
@@ -283,6 +284,7 @@ def verified(packed: DataFrame, pairs: DataFrame, buckets: int, words: int, leas
 
 
 def _with_bucket(buckets: int):
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             yield pa.RecordBatch.from_arrays([pa.array(by_document(x.column(0).to_numpy(), buckets)), x.column(0), x.column(1)], ["bucket", "a", "b"])
@@ -394,6 +396,7 @@ def rejoined(packed: DataFrame, members: DataFrame, buckets: int, words: int, le
     """Links that join components of a crowd; saved in the shared folder."""
     deal = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
 
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             yield pa.RecordBatch.from_arrays([pa.array(by_document(x.column(2).to_numpy(), buckets)), *x.columns], ["bucket", *x.schema.names])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, saved
+from .common import lean_after, narrow, saved
 
 DIM = 256
 SUMS = 32
@@ -76,6 +76,7 @@ def features(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id and x, the statistics."""
     rows = narrow(docs, id_col, text_col)
 
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
@@ -120,6 +121,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _sums(rows: DataFrame, of) -> list[np.ndarray]:
     """Adds up, over all rows, the arrays that ``of`` makes of (x, y): one partial sum a partition."""
 
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -183,6 +185,7 @@ def score(x: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (0 to 1)."""
     sent = x.sparkSession.sparkContext.broadcast(model)
 
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sent.value
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import NULL_ID, lean, pieces, text_bytes
+from .common import NULL_ID, lean, lean_after, pieces, text_bytes
 
 BUCKET_BYTES = 16 << 20
 #: Entries that a task gathers before it writes them out.
@@ -145,6 +145,7 @@ def documents(batch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 def packed_documents(docs: DataFrame, buckets: int) -> DataFrame:
     """The rows in compressed blobs by document bucket."""
 
+    @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -179,16 +180,6 @@ def cover(plan: Plan, values, starts, sizes, prints) -> np.ndarray:
     return np.concatenate(picked) if picked else np.zeros(0, np.int64)
 
 
-def lean_after(run):
-    """An iterator function whose worker gives its memory back at the end."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        lean()
-
-    return whole
-
-
 def _entries(plan: Plan):
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
