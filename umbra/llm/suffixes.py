@@ -7,8 +7,8 @@ what surrounds them, precomputed for the sample; long ties are settled by these
 Only classes that part within 100 bytes, at the edges of repeated passages, are read and compared.
 
 The default cover is defined by content (see ``anchors``), about 3 % of all positions. ``period`` chooses the
-positional difference cover of the named construction instead: same results, but four to six times the entries; see
-the README for figures.
+positional difference cover of the named construction instead: same results, but four to eight times the entries; see
+the README.
 
 Defined cases: a null text is empty; texts of fewer than ``length`` bytes lose nothing; rows that share id and text get
 equal results and don't remove each other's bytes; rows that share only the id follow each other in the order of a
