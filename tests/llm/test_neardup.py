@@ -69,6 +69,17 @@ def test_classes_against_brute_force(spark, rows, unit, monkeypatch):
         assert got == want
 
 
+def test_passages_repeated_more_often_in_one_text(spark):
+    rows = []
+    for k in range(80):
+        passage, rest = prose(3000 + k, 60), prose(4000 + k, 140)
+        rows += [(2 * k, f"{passage} {rest}"), (2 * k + 1, " ".join([passage] * (20, 100)[k % 2] + [near(rest, k, k % 4)]))]
+    want = brute_classes(rows)
+    assert sum(a != b for a, b in want.items()) > 70
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in found} == want
+
+
 def test_on_a_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in d.collect()]

@@ -1,12 +1,13 @@
 """MinHash near-dedup: ProbMinHash signatures of weighted word shingles, banding, verification, classes.
 
-Signature: each distinct shingle of a text (5 words; weight 1 + ln of its count) is a Poisson process with its weight as
-rate, drawn from the shingle alone. Its arrivals fall on random registers, and a register keeps the shingle that arrives
-first. A shingle stops as soon as its next arrival is later than all of the text's registers. Two texts agree on a
-register with the probability Jaccard similarity of their weighted shingles.
+Signature: each distinct shingle of a text (5 words) is a Poisson process with its weight as rate, drawn from the shingle
+alone. Its arrivals fall on random registers, and a register keeps the shingle that arrives first. A shingle stops as soon
+as its next arrival is later than all of the text's registers. Two texts agree on a register with the probability Jaccard
+similarity of their weighted shingles. A text is signed with weight 1 for each distinct shingle, so that this is the
+similarity that decides, and again with weight 1 + ln of its count if any shingle repeats.
 
-Banding: 48 bands of 8 registers. Texts that agree on a band share a group; at similarity 0.8 a pair misses all bands
-once in about 6,700 times where no shingle repeats. Verification: Jaccard similarity of the sets of shingles (64-bit hashes), exactly, >= 0.8.
+Banding: 48 bands of 8 registers. Texts that agree on a band, by either signature, share a group; at similarity 0.8 a pair
+misses all bands once in about 6,700 times, whatever repeats. Verification: Jaccard similarity of the sets of shingles (64-bit hashes), exactly, >= 0.8.
 
 Classes, without all pairs of a group: equal texts are one member. First every member of a group is verified against the
 group's first member only, and links are joined to components. Groups that share members make a crowd. In a crowd that
@@ -108,6 +109,16 @@ def band_hashes(kept: np.ndarray, bands: int, depth: int) -> np.ndarray:
     return out
 
 
+def banded(docs: list[np.ndarray], bands: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, band) hashes: those of the sets of shingles and, where they differ, those of the weighted shingles."""
+    sets = [np.unique(x) for x in docs]
+    plain = band_hashes(signatures(sets, bands * depth), bands, depth)
+    more = np.array([k for k, x in enumerate(docs) if len(sets[k]) < len(x)], np.int64)
+    weighted = band_hashes(signatures([docs[k] for k in more], bands * depth), bands, depth)
+    differ = weighted != plain[more]
+    return np.r_[np.repeat(np.arange(len(docs)), bands), more[np.nonzero(differ)[0]]], np.r_[plain.reshape(-1), weighted[differ]]
+
+
 def _sign(buckets: int, words: int, bands: int, depth: int):
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +134,10 @@ def _sign(buckets: int, words: int, bands: int, depth: int):
                 order = order[heads(keys[order, 0], keys[order, 1])]
                 order = order[[len(found[k]) > 0 for k in order]] if len(order) else order
                 if len(order):
-                    kept = signatures([found[k] for k in order], bands * depth)
-                    band_of.append(band_hashes(kept, bands, depth).reshape(-1))
-                    key_of.append(np.repeat(keys[order, 0], bands))
-                    id_of.append(np.repeat(ids[order], bands))
+                    at, band = banded([found[k] for k in order], bands, depth)
+                    band_of.append(band)
+                    key_of.append(keys[order[at], 0])
+                    id_of.append(ids[order[at]])
             out = []
             if band_of:
                 band, key, ids = (np.concatenate(x) for x in (band_of, key_of, id_of))
