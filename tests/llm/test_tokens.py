@@ -68,6 +68,15 @@ def test_token_files(spark, docs, shard_bytes, monkeypatch):
     assert {k: v[0].tolist() for k, v in got.items() if k != 6} == {33: some[33]} and len(got[6]) == 2
 
 
+def test_added_tokens_are_matched_as_by_default():
+    coder = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own = tokenfiles.WordCoder(open(P.path("word_bpe_49k.json"), "rb").read(), 2)
+    texts = ["Hello <|endoftext|> world", "a<|startoftext|>b\n日本 é<|endoftext|>", "<|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext |> 日本<|ENDOFTEXT|>", "endoftext|> <|", "plain world"]
+    for x in [*texts, *texts]:
+        assert own.encode(x) == struct.pack(f"<{len(ids := coder.encode(x, add_special_tokens=False).ids) + 1}H", *ids, 2)
+    assert coder.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+
+
 def test_reader_takes_only_needed_frames_and_checks(tmp_path):
     path = tmp_path / "x.zst"
     with path.open("wb") as f:

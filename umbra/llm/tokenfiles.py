@@ -177,7 +177,8 @@ class WordCoder:
 
     No token of the tokenizer reaches over a pre-token, and neither normalisation nor pre-tokens reach over a blank.
     In Latin-1 text, which lower-casing leaves in normal form, pre-tokens are found here; every other part between blanks
-    and line breaks goes to the library as it is.
+    and line breaks goes to the library as it is. A text that holds an added token (<|endoftext|>) goes there whole, and
+    added tokens are matched as the library does by default.
     """
 
     def __init__(self, data: bytes, end_id: int):
@@ -185,7 +186,12 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_buffer(data)
+        # Parts are found in texts without added tokens, and must not become one by lower-casing.
         self.coder.encode_special_tokens = True
+        added = self.coder.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added]
+        #: Added tokens that aren't found in texts as they are: then every text goes to the library.
+        self.always = any(x.normalized or not x.special for x in added)
         self.width = 2 if max(self.coder.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         self.end = self.packed([end_id])
         #: Ids that end a pre-token.
@@ -226,8 +232,17 @@ class WordCoder:
             self.odd[part] = self.packed(self.coder.encode(part, add_special_tokens=False).ids)
         return self.odd[part]
 
+    def whole(self, text: str) -> bytes:
+        self.coder.encode_special_tokens = False
+        try:
+            return self.packed(self.coder.encode(text, add_special_tokens=False).ids)
+        finally:
+            self.coder.encode_special_tokens = True
+
     def encode(self, text: str) -> bytes:
         """The ids of a text and the end id."""
+        if self.always or any(x in text for x in self.added):
+            return self.whole(text) + self.end
         if _is_latin(text):
             return self.latin(text) + self.end
         return b"".join([*(self.latin(x) if _is_latin(x) else self.other(x) for x in text.replace("\n", " ").split(" ") if x), self.end])
