@@ -99,6 +99,48 @@ def test_rules_on_held_out_rows(spark):
     assert sum(r.kept_by_rules for r in bad) <= 0.1 * len(bad)
 
 
+def test_labels_without_documents_change_nothing(spark):
+    d = "/root/testdata/sf0.01"
+    stats = rules.saved(rules.statistics(spark.read.parquet(f"{d}/documents.parquet")), "test")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    other = spark.range(10**9, 10**9 + 2_000_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    odd = spark.createDataFrame([(0, None), (None, 0), (None, 1)], "doc_id long, quality int")
+    found = rules.learn(stats, labels)
+    assert found and rules.learn(stats, labels.union(other).union(odd)) == found
+
+
+def test_more_labels_than_rows_to_learn_from(spark):
+    stats = rules.statistics(spark.range(600).selectExpr("id as doc_id", "repeat('ab ', int(id)) || if(id % 4 = 0, '# # # # # #', '') as text").repartition(6))
+    labels = spark.range(600).selectExpr("id as doc_id", "if(id % 4 = 0, 0, 1) as quality")
+    seen = []
+    assert rules.learn(stats, labels, max_rows=150) == rules.learn(stats.repartition(3), labels.repartition(2), max_rows=150) != []
+    real, rules.learn_rules = rules.learn_rules, lambda rows, **_: seen.extend(rows)
+    try:
+        rules.learn(stats, labels, max_rows=150)
+    finally:
+        rules.learn_rules = real
+    first = sorted(range(600), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())[:150]
+    assert [y for _, y in seen] == [int(k % 4 != 0) for k in first]
+
+
+def test_thresholds_come_from_all_rows():
+    rows = [({"a": float(k)}, 1) for k in range(9000)] + [({"a": 9000.0 + k}, 0) for k in range(60)]
+    assert rules.learn_rules(rows) == [(rules.Condition("a", True, 9000.0),)]  # between 8999 and 9001: 9000 is among the rows to prune by
+
+
+def test_verdict_against_brute_force(spark):
+    """Which documents the registered query keeps, by the rules' own reading of each row."""
+    d = "/root/testdata/sf0.01"
+    stats, found = rules.judge(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    values = stats.select("doc_id", "n_words", "n_repeat_words", *(x.alias(f"r_{k}") for k, x in rules.ratios().items())).collect()
+    want = {}
+    for r in values:
+        row = {k: r[f"r_{k}"] for k in rules.ratios()}
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        want[r.doc_id] = not failed and not any(rules.covers(x, row) for x in found)
+    assert found and {r.doc_id: r.kept for r in queries.op9_rules(spark, d).collect()} == want
+
+
 def test_rules_empty(none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     out, found = rules.judge(none, labels)

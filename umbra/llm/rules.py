@@ -8,10 +8,12 @@ the list into one ordered conditional expression: the first rule that holds reje
 
 Scale: statistics are computed within each row, so there is no shuffle of texts. The one shuffle is the join of
 statistics (a dozen numbers a row) with the labels. The learner runs on the driver on at most ``max_rows`` labelled
-rows, those with the smallest digests of their id: a documented bound, alike at every size.
+documents, those with the smallest digests of their id: a documented bound, taken after the join, alike at every size
+and whatever other ids the labels have.
 
-Defined cases: a null or empty text has no words: all counts are 0. A null label is no label. Repeated rows and equal
-ids each give a row. Without labels of both kinds the list is empty and keeps all. Words are runs of characters other
+Defined cases: a null or empty text has no words: all counts are 0. A null label is no label; of several labels of an id
+the least counts, and of several texts of an id the one with the least statistics is learnt from. Labels without a
+document change nothing. Repeated rows and equal ids each give a row. Without labels of both kinds the list is empty and keeps all. Words are runs of characters other
 than blank and the five ASCII white space controls.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,66 +131,90 @@ def covers(rule: Rule, row: dict) -> bool:
     return all(c.holds(row) for c in rule)
 
 
-def _grow(bad: list[dict], good: list[dict], cuts: dict[str, list[float]], longest: int) -> Rule:
+def _best(table: np.ndarray, bad: np.ndarray, names: list[str]) -> tuple[Condition | None, float]:
+    """The condition of most gain over all thresholds that lie halfway between two values that occur."""
+    base = math.log2(bad.sum() / len(bad))
+    best, gain = None, 1e-9
+    for k, name in enumerate(names):
+        order = np.argsort(table[:, k], kind="stable")
+        values, below = table[order, k], np.cumsum(bad[order])
+        cuts = np.flatnonzero(values[1:] > values[:-1])
+        if not len(cuts):
+            continue
+        for above in (True, False):
+            p = (below[-1] - below[cuts] if above else below[cuts]).astype(float)
+            of = len(bad) - 1 - cuts if above else cuts + 1
+            worth = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / of) - base), 0.0)
+            at = int(worth.argmax())
+            if worth[at] > gain + 1e-9:
+                best, gain = Condition(name, above, float((values[cuts[at]] + values[cuts[at] + 1]) / 2)), worth[at]
+    return best, gain
+
+
+def _grow(table: np.ndarray, bad: np.ndarray, names: list[str], longest: int) -> Rule:
     rule: Rule = ()
-    while good and len(rule) < longest:
-        base = math.log2(len(bad) / (len(bad) + len(good)))
-        best, gain = None, 0.0
-        for name, values in cuts.items():
-            for value in values:
-                above_bad = sum(x[name] > value for x in bad)
-                above_good = sum(x[name] > value for x in good)
-                for above, p, n in ((True, above_bad, above_good), (False, len(bad) - above_bad, len(good) - above_good)):
-                    if p and (g := p * (math.log2(p / (p + n)) - base)) > gain + 1e-9:
-                        best, gain = Condition(name, above, value), g
+    while bad.any() and not bad.all() and len(rule) < longest:
+        best, _ = _best(table, bad, names)
         if best is None:
             break
         rule += (best,)
-        bad, good = [x for x in bad if best.holds(x)], [x for x in good if best.holds(x)]
+        inside = _covered(rule[-1:], table, names)
+        table, bad = table[inside], bad[inside]
     return rule
 
 
-def _worth(rule: Rule, bad: list[dict], good: list[dict]) -> float:
-    p, n = sum(covers(rule, x) for x in bad), sum(covers(rule, x) for x in good)
-    return (p - n) / (p + n) if p + n else -1.0
+def _covered(rule: Rule, table: np.ndarray, names: list[str]) -> np.ndarray:
+    out = np.ones(len(table), bool)
+    for c in rule:
+        values = table[:, names.index(c.name)]
+        out &= values > c.value if c.above else values <= c.value
+    return out
 
 
-def learn_rules(rows: list[tuple[dict, int]], *, precision: float = 0.95, longest: int = 4, most: int = 24, least: int = 2, steps: int = 40) -> list[Rule]:
-    """Rules that cover rows of label 0. rows: statistics and label, in an order that doesn't depend on either."""
-    grow, prune = [x for k, x in enumerate(rows) if k % 3], [x for k, x in enumerate(rows) if not k % 3]
-    part = lambda some, label: [x for x, y in some if y == label]
-    bad, good, bad2, good2 = part(grow, 0), part(grow, 1), part(prune, 0), part(prune, 1)
+def _worth(rule: Rule, table: np.ndarray, bad: np.ndarray, names: list[str]) -> float:
+    held = bad[_covered(rule, table, names)]
+    return (2 * held.sum() - len(held)) / len(held) if len(held) else -1.0
+
+
+def learn_rules(rows: list[tuple[dict, int]], *, precision: float = 0.95, longest: int = 4, least: int = 2) -> list[Rule]:
+    """Rules that cover rows of label 0. rows: statistics and label, in an order that doesn't depend on either.
+    Every value that occurs in a row may become a threshold; the list ends when the next rule isn't precise enough."""
+    if not rows:
+        return []
+    names = list(rows[0][0])
+    table, bad = np.array([[x[k] for k in names] for x, _ in rows], float), np.array([y == 0 for _, y in rows])
+    prune = np.arange(len(rows)) % 3 == 0
     rules: list[Rule] = []
-    if not good:
-        return rules
-    while bad and len(rules) < most:
-        cuts = {}
-        for name in bad[0]:
-            values = sorted({x[name] for x in bad} | {x[name] for x in good[: 50 * steps]})
-            # Thresholds stand halfway between values that occur, so neither side is cut close.
-            between = [(a + b) / 2 for a, b in zip(values, values[1:])]  # noqa: B905
-            cuts[name] = sorted({between[k * (len(between) - 1) // steps] for k in range(steps + 1)}) if between else []
-        rule = _grow(bad, good, cuts, longest)
-        while len(rule) > 1 and _worth(rule[:-1], bad2, good2) >= _worth(rule, bad2, good2):
+    while (bad & ~prune).any() and (~bad & ~prune).any():
+        rule = _grow(table[~prune], bad[~prune], names, longest)
+        while len(rule) > 1 and _worth(rule[:-1], table[prune], bad[prune], names) >= _worth(rule, table[prune], bad[prune], names):
             rule = rule[:-1]
-        p, n = (sum(covers(rule, x) for x in some) for some in (bad + bad2, good + good2))
-        if not rule or p < least or p < precision * (p + n):
+        inside = _covered(rule, table, names)
+        if not rule or (p := (bad & inside).sum()) < least or p < precision * inside.sum():
             break
         rules.append(rule)
-        bad, bad2 = ([x for x in some if not covers(rule, x)] for some in (bad, bad2))
+        left = ~(bad & inside)
+        table, bad, prune = table[left], bad[left], prune[left]
     return rules
 
 
 def learn(stats: DataFrame, labels: DataFrame, *, id_col="doc_id", label_col="quality", max_rows: int = MAX_ROWS, **options) -> list[Rule]:
-    """Learns from at most ``max_rows`` labelled rows: those whose id has the smallest digest."""
+    """Learns from at most ``max_rows`` labelled documents: those whose id has the smallest digest."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     names = list(ratios())
-    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    if (labelled := known.count()) > max_rows:  # no more leave the executors than are likely to be needed
-        share = max_rows / labelled
-        known = known.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int((share + 6 * (share / labelled) ** 0.5) * (1 << 32)))
     joined = stats.select("doc_id", *(x.alias(k) for k, x in ratios().items())).join(known, "doc_id")
-    taken = joined.orderBy(digest, *names).limit(max_rows).collect()
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    joined = saved(
+        joined.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row"), F.min("label").alias("label"))
+        .select("row.*", "label", digest.alias("digest"), F.conv(F.substring(digest, 1, 3), 16, 10).cast("int").alias("part")), "labelled"
+    )
+    # Counts of ranges of digests tell, exactly, beyond which range no row can be among the first ``max_rows``.
+    held, last = 0, -1
+    for part, n in sorted(map(tuple, joined.groupBy("part").count().collect())):
+        if held >= max_rows:
+            break
+        held, last = held + n, part
+    taken = joined.where(F.col("part") <= last).orderBy("digest", *names).limit(max_rows).collect()
     return learn_rules([({k: r[k] for k in names}, r["label"]) for r in taken], **options)
 
 
