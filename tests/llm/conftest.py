@@ -17,6 +17,7 @@ def texts() -> list:
     out += [None, "", " ", "\n\n", "word", "one two three", "ÀÉ ñ 日本語 🎉 don't\x00x\x1cy a\u0085b c", out[3], out[3], None, ""]
     out += [out[5][:150] + " changed " + out[5][150:], "lead " + out[6][40:] + " tail"]
     out += ["spam spam spam eggs\n" * 60, prose(99, 6000), "x" * 30_000, "a b " * 3000]
+    out += ["Ends <|endoftext|> and <|startoftext|>begins", "日本<|endoftext|>語 <|ENDOFTEXT|>"]
     return out
 
 

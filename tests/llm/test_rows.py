@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from umbra.llm import decontaminate, quality, queries, rules, shard
+from umbra.llm import common, decontaminate, quality, queries, rules, shard
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -199,6 +199,18 @@ def test_interleave_keeps_the_mixture(spark):
     assert all(abs(n - total[s] / 10) <= 1.5 for (_, s), n in out.items())
 
 
+def test_many_small_sources_and_a_hot_one_are_dealt_evenly(spark):
+    """Every row of 20,000 sources of one row has the fraction 1/2; a source with a third of all rows is one stratum."""
+    d = spark.range(30_000).selectExpr("id as doc_id", "'x' as text", "if(id < 20000, cast(id as string), 'hot') as source")
+    rows = d.selectExpr("doc_id", "if(source = 'hot', doc_id / 10000, 0.5D) as fraction")
+    sizes = [r["count"] for r in common.dealt(rows, ["fraction", "doc_id"], 10, "test").groupBy("part").count().collect()]
+    assert max(sizes) < 6000
+    out = shard.interleave(d, 24, run=3000).collect()
+    by = Counter(r.shard for r in out)
+    assert len(out) == 30_000 and max(by.values()) - min(by.values()) <= 1
+    assert all(sorted(r.slot for r in out if r.shard == k) == list(range(by[k])) for k in by)
+
+
 def test_digest_columns(spark):
     r = queries.op1_decontaminate(spark, "/root/testdata/sf0.001").where("n_items = 0").first()
     assert r.items_sha256 == hashlib.sha256(b"").hexdigest()

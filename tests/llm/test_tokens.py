@@ -4,9 +4,12 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from umbra.llm import bytebpe, queries, tokenfiles
 
@@ -45,9 +48,9 @@ def test_empty(none):
 
 def expected_files(rows):
     coder = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
+    hashed = lambda x: int(np.int64(np.uint64(xxhash.xxh64_intdigest((x or "").encode(), seed=42))))
+    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, hashed(r.text)))
     made = [(r.doc_id, coder.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in rows]
-    made.sort(key=lambda x: (x[0] is not None, x[0] or 0, struct.pack(f"<{len(x[1])}H", *x[1])))
     out, start = [], 0
     for doc, ids in made:
         out.append((doc, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
@@ -68,6 +71,18 @@ def test_token_files(spark, docs, shard_bytes, monkeypatch):
     assert {k: v[0].tolist() for k, v in got.items() if k != 6} == {33: some[33]} and len(got[6]) == 2
 
 
+def test_shards_of_long_documents_and_of_a_hot_id(spark):
+    rows = [(k, "word " * (20_000 if k == 7 else 3)) for k in range(40)] + [(50, f"text {k} " * 40) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    files = tokenfiles.write_tokens(df, P.path("word_bpe_49k.json"), end_id=2, shard_bytes=20_000)
+    assert len(files) > 5 and max(f["n_docs"] for f in files) < 100
+    want, _ = expected_files(df.collect())
+    assert sorted(map(tuple, tokenfiles.read_tokens(spark, files).collect()), key=lambda x: x[1]) == want
+    n = files[-1]["shard"] + 1
+    ones = spark.createDataFrame([(k,) for k in range(n)], "shard int").repartitionById(n, "shard")
+    assert ones.groupBy(F.spark_partition_id()).count().where("count > 1").count() == 0
+
+
 def test_added_tokens_are_matched_as_by_default():
     coder = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     own = tokenfiles.WordCoder(open(P.path("word_bpe_49k.json"), "rb").read(), 2)

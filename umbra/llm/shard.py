@@ -4,10 +4,11 @@ Rows are shuffled within each source by a seeded digest of their id; a row's fra
 of its source. Sorted by fractional rank, all sources advance in proportion, so cutting the sorted rows into
 consecutive runs whose counts differ by one at most gives shards that all match the mixture. Law: ``rows``.
 
-Scale: no window holds a source or all rows. Ranks are taken in two steps: digest ranges of each source (of about
-RUN rows, or the root of all rows if that is more) are counted, a running sum over these counts gives each range's first rank, and rows are numbered within a
-range; the same again for ranges of the fractional rank. So a source with a third of all rows is numbered by many
-tasks. Texts are dropped before the first shuffle.
+Scale: no window holds a source or all rows. Ranks are taken in two steps (see ``common.numbered``): rows are dealt by
+ranges of (source, digest, ...), sampled so that ranges are alike whatever the sources' sizes; the ranges are counted, a
+running sum over these counts gives each range's first rank, and rows are numbered within a range. The same again for
+ranges of (fraction, source, digest, ...). So a source with a third of all rows is numbered by many tasks, and so are
+many sources whose rows share a fraction. Texts are dropped before the first shuffle.
 
 Defined cases: a null text has size 8 and checksum 0; a null id is shuffled as the text "null"; rows of a null source
 are a source of their own; repeated rows are equal to each other, so which is which doesn't matter; equal texts (groups)
@@ -18,10 +19,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, saved
+from .common import numbered, pieces, saved
 
 RUN = 4_000
 
@@ -36,26 +37,13 @@ def interleave(docs: DataFrame, shards: int, *, seed: int = 42, id_col="doc_id",
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit("null"))).cast("binary")).alias("digest"),
         (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    total = docs.count()
-    runs = pieces(total, max(run, math.isqrt(total)))
-    order = [F.col(x) for x in ("digest", "doc_id", "size", "text_crc32")]
-
-    rows = rows.withColumn("part", (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * runs / F.lit(1 << 32)).cast("int"))
-    counts = rows.groupBy("stratum", "part").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("stratum")
-    counts = counts.select(
-        "stratum", "part", F.sum("n").over(w).alias("of"),
-        (F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
-    )
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("stratum", "part").orderBy(*order))).join(counts, ["stratum", "part"])
-    ranked = ranked.withColumn("fraction", (F.col("before") + F.col("at") - F.lit(0.5)) / F.col("of"))
-    ranked = saved(ranked.select("doc_id", "source", "stratum", "digest", "size", "text_crc32", "fraction", (F.col("fraction") * runs).cast("int").alias("part")), "ranked")
-
-    # One row for each range of fractions, of which there are as many as runs of rows: few enough for one window.
-    sums = ranked.groupBy("part").agg(F.count("*").alias("n"))
-    sums = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    placed = ranked.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("fraction", "stratum", *order))).join(sums, "part")
-    position = F.col("before") + F.col("at") - 1
-    placed = placed.withColumn("position", position).withColumn("shard", F.expr(f"cast((position * {shards}) div {max(1, total)} as int)"))
+    rows = saved(rows, "narrow")
+    total = rows.count()
+    parts = pieces(total, max(run, math.isqrt(total)))
+    order = ["digest", "doc_id", "size", "text_crc32"]
+    ranked = numbered(rows, ["stratum"], order, parts, "by-source")
+    ranked = ranked.withColumn("fraction", (F.col("at") - F.lit(0.5)) / F.col("of")).drop("at", "of")
+    placed = numbered(saved(ranked, "ranked"), [], ["fraction", "stratum", *order], parts, "by-fraction")
+    placed = placed.withColumn("position", F.col("at") - 1).withColumn("shard", F.expr(f"cast((position * {shards}) div {max(1, total)} as int)"))
     slot = F.expr(f"position - ((cast(shard as long) * {total} + {shards - 1}) div {shards})")
     return placed.select("doc_id", "source", "size", "text_crc32", "fraction", "shard", slot.alias("slot"))

@@ -13,13 +13,14 @@ File format (one file for each shard, documents in ascending id order):
 A reader takes the seek table from the end of the file, then the index frame, then only the frames that can
 hold the documents asked for, and checks the checksum of each.
 
-Scale: a text is encoded where it is read; ids (two bytes each, where the vocabulary allows) are shuffled once
-to shards, ranges of document ids cut at approximate quantiles so that shards are of like size at any input size.
-A task holds one frame and its compressor, not a shard. A file is written under a name of its own and then moved
-to its place, so a repeated task leaves the same file. The driver holds one row for each shard.
+Scale: ids and sizes of documents, without texts, are dealt by ranges of ids and summed, which gives the ids at which
+shards of ``shard_bytes`` of text begin, whatever the sizes of documents. A text is encoded where it is read; ids (two
+bytes each, where the vocabulary allows) are shuffled once, each shard to a task of its own. A task holds one frame and
+its compressor, not a shard. A file is written under a name of its own and then moved to its place, so a repeated task
+leaves the same file. The driver holds one row for each shard, and executors get 16 bytes for each (50 MB at 100 TB).
 
 Defined cases: a null or empty text has no ids but the end id; a null document id counts as the smallest;
-equal ids follow each other in the order of their ids' bytes; an empty table gives no files and an empty result.
+equal ids follow each other in the order of a hash of their texts, and may lie in several shards; an empty table gives no files and an empty result.
 Ids of documents must be integers.
 """
 
@@ -40,14 +41,16 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, narrow, pieces, scratch, text_bytes
+from .common import NULL_ID, dealt, narrow, pieces, saved, scratch
 
 SHARD_BYTES = 32 << 20
 FRAME_BYTES = 1 << 20
 MAX_VOCAB_BYTES = 64 << 20
+#: Rows of a range in which sizes are summed.
+RANGE_ROWS = 1_000_000
 #: Pre-tokens that a worker remembers with their ids.
 REMEMBERED = 1_000_000
 #: How the vocabulary marks a token that ends a word. Fixed value.
@@ -267,6 +270,27 @@ def _coder(sent) -> WordCoder:
     return _MADE[key]
 
 
+def shard_firsts(rows: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """(doc_id, hash) of the first row of each shard of about ``shard_bytes`` of text, in order of doc_id and hash."""
+    sizes = saved(rows.select("doc_id", "hash", (F.octet_length("text") + 8).cast("long").alias("size")), "sizes")
+    found = dealt(sizes, ["doc_id", "hash"], pieces(sizes.count(), RANGE_ROWS), "by-id")
+    before = found.groupBy("part").agg(F.sum("size").alias("_n"))
+    running = lambda w: F.sum(F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    before = before.select("part", running(Window.orderBy("part")).alias("_before"))
+    one = found.groupBy("part", "doc_id", "hash").agg(F.sum("size").alias("_n"))
+    one = one.select("part", "doc_id", "hash", running(Window.partitionBy("part").orderBy("doc_id", "hash")).alias("_in")).join(before, "part")
+    shard = F.expr(f"(_before + _in) div {shard_bytes}")
+    return [tuple(r.first) for r in one.groupBy(shard.alias("shard")).agg(F.min(F.struct("doc_id", "hash")).alias("first")).orderBy("shard").collect()]
+
+
+def shard_of(cuts: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The shard of each row: how many shards after the first begin at or before it."""
+    low, high = (np.searchsorted(cuts[:, 0], ids, side=x) for x in ("left", "right"))
+    for k in np.flatnonzero(low != high):
+        low[k] += np.searchsorted(cuts[low[k] : high[k], 1], hashes[k], side="right")
+    return low.astype(np.int32)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, id_col="doc_id", text_col="text", shard_bytes: int = SHARD_BYTES, path: str | None = None) -> list[dict]:
     """Encodes the texts and writes the files below ``path`` (a new folder of the shared one, if none is named).
     Returns a row for each file, in order: shard, path, n_docs, n_ids, start (ids in the files before it)."""
@@ -275,11 +299,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, id_col="doc_id
     if len(data) > MAX_VOCAB_BYTES:
         raise ValueError(f"{tokenizer} has over {MAX_VOCAB_BYTES} bytes")
     sent = spark.sparkContext.broadcast((data, end_id))
-    rows = narrow(docs, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    shards = pieces(text_bytes(rows), shard_bytes)
-    cuts: list[int] = []
-    if shards > 1:
-        cuts = rows.select(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100_000)).first()[0] or []
+    text = F.coalesce("text", F.lit(""))
+    rows = narrow(docs, id_col, text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    firsts = shard_firsts(rows, shard_bytes)
+    shards = max(1, len(firsts))
+    cuts = spark.sparkContext.broadcast(np.array(firsts[1:], np.int64).reshape(-1, 2))
     folder = path or scratch(spark, "tokens")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,10 +311,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, id_col="doc_id
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                shard = np.searchsorted(np.array(cuts, np.int64), ids, side="left").astype(np.int32)
-                tokens = [coder.encode(x or "") for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), pa.array(tokens, pa.binary())], ["shard", "doc_id", "tokens"])
+                shard = shard_of(cuts.value, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+                tokens = [coder.encode(x) for x in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1), pa.array(tokens, pa.binary())], ["shard", "doc_id", "hash", "tokens"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = _coder(sent).width
@@ -308,7 +331,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, id_col="doc_id
             done.append((now, f"shard-{now:07d}.zst", sum(x[2] for x in writer.index), sum(x[3] for x in writer.index)))
 
         for batch in batches:
-            for shard, doc, tokens in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for shard, doc, tokens in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
                 if shard != now:
                     if writer:
                         close()
@@ -321,8 +344,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int, id_col="doc_id
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "name", "n_docs", "n_ids"])
 
     files = (
-        rows.mapInArrow(encode, "shard int, doc_id long, tokens binary")
-        .repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "tokens")
+        rows.mapInArrow(encode, "shard int, doc_id long, hash long, tokens binary")
+        .repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "hash", "tokens")
         .mapInArrow(write, "shard int, name string, n_docs long, n_ids long").collect()
     )
     out, start = [], 0
