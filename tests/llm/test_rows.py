@@ -43,6 +43,23 @@ def test_decontaminate_against_brute_force(spark, docs):
         assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in found)
 
 
+def test_a_long_item_is_cut_and_blocks_make_one_python_node(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 40)
+    texts = [r.text for r in docs.orderBy("doc_id").collect() if r.text]
+    long = next(x for x in texts if len(x.split()) == 6000)
+    items = [(1, long), (2, long[2000:2200] + " " + long[:300])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    some = docs.where("length(text) > 25000 or length(text) < 400")
+    out = decontaminate.decontaminate(some, bench, block_bytes=8_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan
+    path, blocks = decontaminate._blocks(bench, "item_id", "text", 13, 8_000)
+    assert blocks > 4
+    mine = {r.doc_id: r for r in out.collect()}
+    whole = {r.doc_id: r for r in decontaminate.decontaminate(some, bench).collect()}
+    assert mine == whole and any(r.n_hit == r.n_words == 6000 for r in mine.values())
+
+
 def test_the_bound_of_contamination_is_exact(spark):
     """7 of 140 words are one in twenty; in floating point 0.05 * 140 is more than 7."""
     words = " ".join(f"w{k}" for k in range(133))

@@ -5,29 +5,36 @@ of fewer words, but not none, is one pattern). Patterns of like length share a s
 searcher has a shift table from blocks of words to the distance that is safe to skip, buckets
 from the last block of a pattern to the patterns that end so, and a direct comparison of all words.
 
-Scale: documents are never shuffled; a document is searched where it is read. The pattern tables
-are shipped in blocks of at most about ``block_bytes`` of benchmark text (the size is measured
-first), one pass over the documents for each block, so what a task holds doesn't grow with the
-benchmark. No state outlives a row, so a lost executor costs only its tasks.
+Scale: documents are never shuffled; they are read once and searched where they are read. The benchmark is cut into
+pieces of PIECE windows and written to the shared folder in blocks of about ``block_bytes`` of text; it never goes to the
+driver. One Python node gathers up to GATHERED bytes of documents, then searches them for one block after another: a task
+holds these documents and the tables of one block (about 100 bytes a byte), however large the benchmark. With one block
+its tables are made once a worker; with more, once a block and 32 MB of documents (half a second beside two to search
+them). No state outlives a row, so a lost executor costs only its tasks.
 
 Defined cases: a null or empty text (of a document or an item) has no words: nothing is hit.
 Repeated rows and equal ids give one output row for each input row. An empty benchmark hits
-nothing; an empty document table gives an empty result. Items that share an id count once.
+nothing; an empty document table gives an empty result. Items that share an id count once; a null
+item id is the empty string. Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_after, narrow, pieces, text_bytes
+from .common import lean_after, narrow, pieces, saved, scratch, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
+#: Windows of a piece of an item, and bytes of documents that a task holds while it goes through the blocks.
+PIECE = 4096
+GATHERED = 32 << 20
 #: Patterns of lengths in the same range share a searcher, so a short one doesn't shorten all shifts.
 RANGES = (1, 2, 4, 8)
 
@@ -107,7 +114,47 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_COMPILED: dict[str, list[WuManber]] = {}
+def _cut(window: int):
+    """Items as pieces of at most PIECE windows: the words of neighbours overlap so that each window is in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                words = words_of(text)
+                for k, start in enumerate(range(0, max(len(words) - window + 1, min(len(words), 1)), PIECE)):
+                    made.append((item, k, b" ".join(words[start : start + PIECE + window - 1]).decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string()))], ["item", "piece", "text"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> tuple[str, int]:
+    """The folder of the benchmark's pieces, one below it for each block, and the number of blocks."""
+    items = narrow(benchmark, item_col, item_text_col).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("item"), "text")
+    cut = saved(items.mapInArrow(_cut(window), "item string, piece int, text string"), "pieces")
+    blocks = pieces(text_bytes(cut), block_bytes)
+    path = scratch(benchmark.sparkSession, "blocks")
+    cut.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block").write.partitionBy("block").parquet(path)
+    return path, blocks
+
+
+#: The searchers of the block that this worker used last.
+_COMPILED: dict[tuple[str, int], list[WuManber]] = {}
+
+
+def _compiled(path: str, block: int, window: int) -> list[WuManber]:
+    if (path, block) not in _COMPILED:
+        _COMPILED.clear()
+        store, at = fs.FileSystem.from_uri(f"{path}/block={block}")
+        found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        rows = []
+        for f in sorted(x.path for x in found if x.path.endswith(".parquet")):
+            with store.open_input_file(f) as data:
+                table = pq.ParquetFile(data).read(columns=["item", "text"])
+            rows += zip(table.column("item").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True)
+        _COMPILED[path, block] = searchers(rows, window)
+    return _COMPILED[path, block]
 
 
 def decontaminate(
@@ -116,48 +163,47 @@ def decontaminate(
 ) -> DataFrame:
     """One row per document: n_words, n_hit, item_ids (sorted as strings), spans (hit word ranges),
     contaminated (n_hit > 0 and one_in * n_hit >= n_words)."""
-    spark = docs.sparkSession
-    out = narrow(docs, id_col, text_col)
-    kind = out.schema["doc_id"].dataType.simpleString()
-    items = narrow(benchmark, item_col, item_text_col).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("item"), "text")
-    blocks = pieces(text_bytes(items), block_bytes)
-    carried = f"doc_id {kind}, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    out = out.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for k in range(blocks):
-        # One block is bounded by block_bytes, so it may be on the driver and be broadcast.
-        rows = [(r.item, None if r.text is None else r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
-        sent = spark.sparkContext.broadcast((window, rows))
-        out = out.mapInArrow(_scan(sent, uuid.uuid4().hex, last=k == blocks - 1), carried)
+    rows = narrow(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    path, blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    out = rows.mapInArrow(_scan(path, blocks, window), f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.col("items").alias("item_ids"), "spans").withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))
     )
 
 
-def _scan(sent, key: str, last: bool):
+def _scan(path: str, blocks: int, window: int):
+    spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[tuple[list, set]]] = [[([], set()) for _ in range(x.num_rows)] for x in held]
+        counts: list[list[int]] = [[0] * x.num_rows for x in held]
+        for k in range(blocks):
+            machines = _compiled(path, k, window)
+            for batch, ranges, n in zip(held, found, counts, strict=True):
+                for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                    words = words_of(text)
+                    n[i] = len(words)
+                    some, items = search(words, machines)
+                    if some:
+                        ranges[i][0].extend(some)
+                        ranges[i][1].update(items)
+        for batch, ranges, n in zip(held, found, counts, strict=True):
+            spans = [[{"start": a, "end": b} for a, b in merged(x)] for x, _ in ranges]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, spans_kind), pa.array([sorted(x) for _, x in ranges], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+
     @lean_after
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _COMPILED:
-            _COMPILED.clear()
-            window, rows = sent.value
-            _COMPILED[key] = searchers(rows, window)
-        machines = _COMPILED[key]
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            before, had = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            n_words, spans, items = [], [], []
-            for i, text in enumerate(texts):
-                words = words_of(text)
-                ranges, names = search(words, machines)
-                if before[i]:
-                    ranges = merged(ranges + [(x["start"], x["end"]) for x in before[i]])
-                n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in ranges])
-                items.append(sorted(names.union(had[i] or ())))
-            text = pa.nulls(len(texts), pa.string()) if last else batch.column(1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "spans", "items"],
-            )
+            held.append(batch)
+            size += batch.nbytes
+            if blocks == 1 or size >= GATHERED:
+                yield from searched(held)
+                held, size = [], 0
+        if held:
+            yield from searched(held)
 
     return scan
