@@ -59,10 +59,11 @@ def shared(docs):
     return docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(7), rows
 
 
-@pytest.mark.parametrize(("bucket_bytes", "period"), [(repeats.BUCKET_BYTES, 0), (30_000, 0), (60_000, 64), (60_000, 57)])
-def test_bytes_against_brute_force(shared, bucket_bytes, period):
+@pytest.mark.parametrize(("bucket_bytes", "period", "crowd"), [(suffixes.BUCKET_BYTES, 73, 64), (30_000, 73, 64), (30_000, 73, 2), (60_000, 91, 0), (60_000, 70, 5)])
+def test_bytes_against_brute_force(shared, bucket_bytes, period, crowd):
+    """Also with crowds of three and of all: every way of deciding gives the same."""
     df, rows = shared
-    found = suffixes.remove_repeats(df, bucket_bytes=bucket_bytes, period=period).collect()
+    found = suffixes.remove_repeats(df, bucket_bytes=bucket_bytes, period=period, crowd=crowd).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found) == brute_bytes(rows)
 
 
@@ -82,6 +83,36 @@ def test_carried_columns(docs):
     assert all((r.doc_id, r.kept) in texts for r in rows if not r.n_removed) and any(r.n_removed for r in rows)
 
 
+def test_levels_double():
+    assert substring.levels(13) == [4, 8, 13] and substring.levels(26) == [4, 8, 16, 26] and substring.levels(3) == [3] and substring.levels(100) == [4, 8, 16, 32, 64, 100]
+
+
+def test_structured_sequences_do_not_meet(spark):
+    """Thue-Morse sequences and their complements, on which polynomials modulo a power of two agree."""
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    one, two = " ".join("ab"[b] for b in bits), " ".join("ba"[b] for b in bits)
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    shared = max(size for size in (13, 26, 52, 104, 208, 416, 832, 1664, 3328) if {one[2 * i : 2 * (i + size) - 1] for i in range(4097 - size)} & {two[2 * i : 2 * (i + size) - 1] for i in range(4097 - size)})
+    assert {r.doc_id: r.words for r in substring.longest_repeats(df).collect()} == {1: shared, 2: shared}
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df).collect()) == brute_words([(1, one), (2, two)])
+
+
+def test_a_hot_phrase_asks_once_a_chunk(spark):
+    """A third of all documents share a passage amid words of their own: both operators, against brute force, and what a
+    range of fingerprints is asked."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(30)) + (" one passage that a third of all of the documents here share between other words" if k % 3 == 0 else " none") + f" end{k} of{k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df, bucket_bytes=20_000).collect()) == brute_words(rows)
+    found = suffixes.remove_repeats(df, bucket_bytes=20_000, crowd=3).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in found) == brute_bytes(rows)
+    packed = repeats.dealt_by(repeats.packed_documents(df, 8), 8)
+    asked = packed.applyInArrow(substring._ask(substring.levels(13), 0, 8), repeats.ROW).collect()
+    n = Counter()
+    for r in asked:
+        n.update(repeats.unpack(bytes(r.payload), substring.ASKED)[0].tolist())
+    assert max(n.values()) <= 8 and sum(n.values()) > 1000
+
+
 def test_longest_repeats(shared):
     df, rows = shared
     rows = [(d, t) for d, t in rows if d is not None and (not t or len(t) < 20_000)]
@@ -136,6 +167,6 @@ def test_equal_windows_share_an_anchor(one, two, which):
 
 
 def test_difference_cover():
-    for period in (7, 13, 21, 31, 57, 64, 73):
+    for period in (7, 13, 21, 31, 57, 64, 70, 73, 91):
         members = anchors.positional(period, period).tolist()
         assert {(a - b) % period for a in members for b in members} == set(range(period))

@@ -1,77 +1,31 @@
-"""Finds, over all documents, the symbols that lie in a window of W symbols which also occurs earlier.
-
-The engine of the two operators that remove repeated passages. Five steps, each a shuffle of compact blobs:
-
-1. each task fingerprints its documents and keeps the *cover* positions (see ``anchors``): for each the fingerprint of
-   the subwindow there and of its context, the W - w symbols before and W after it. Within a task only the earliest
-   entry of equal contexts goes on; the others are known to be repeated. So a passage that a third of all documents
-   share makes one entry a task.
-2. entries meet by ranges of the subwindow's fingerprint. An entry whose context occurs earlier is repeated as a whole.
-   What is left of a subwindow with two contexts or more is undecided: there a passage begins or ends.
-3. undecided entries meet their documents and fetch what decides: the context itself, or, where a subwindow has more
-   than ``crowd`` contexts (or symbols are words), the fingerprints of its windows, which spread over all tasks.
-4. contexts are compared within a subwindow's group, windows by fingerprint.
-5. ranges meet their documents.
-
-Every blob belongs to a bucket, a range of fingerprints or of document hashes, of about ``bucket_bytes`` of text, so a
-task's memory doesn't grow with the input. All steps are plain lineage over the input table: a lost task is run again.
-
-Equality is decided by 64-bit fingerprints of contexts and windows within groups of an equal 64-bit subwindow
-fingerprint; contexts of step 3 are compared so too. Windows that meet without their subwindow carry 128 bits.
+"""What the two operators that remove repeated passages share: chunks of documents, compressed blobs, ranges.
+
+A document belongs to a chunk, by a hash of its id and text, of about ``bucket_bytes`` of text. Chunks ask about windows
+(one compact blob for each range of fingerprints), ranges answer, and in the end each chunk applies what it learnt to its
+documents. A question is asked once a chunk however often its window occurs there, so a passage that a third of all
+documents share makes one entry a chunk, not one a document. All steps are plain lineage over the input table, with one
+shuffle of the documents that all steps reuse: a lost task is run again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import NULL_ID, lean, lean_after, pieces, text_bytes
+from .common import NULL_ID, lean, lean_after
 
 BUCKET_BYTES = 16 << 20
-#: Entries that a task gathers before it writes them out.
-GATHERED = 400_000
-#: Documents that a task takes apart at a time.
-TAKEN = 1000
+#: Bucket the row goes to, what it is (a kind, or the bucket that it comes from), content.
 ROW = "bucket int, kind int, payload binary"
-#: Kinds of blobs: undecided or cover entries, repeated ranges, contexts, windows.
-ENTRIES, RANGES, CONTEXTS, WINDOWS = range(4)
 _NAMES = ["bucket", "kind", "payload"]
 
 
-@dataclass(frozen=True)
-class Plan:
-    window: int
-    sub: int
-    #: Text to symbol values (64 bits each).
-    symbols: Callable[[bytes], np.ndarray]
-    #: Whether an earlier start in the same document counts as earlier, or smaller ids alone.
-    same_document: bool
-    #: Bytes of each symbol, if contexts may be sent as they are; else windows are sent.
-    raw: bool
-    crowd: int
-    buckets: int
-    #: Period of a positional difference cover; 0: the content-defined cover.
-    period: int = 0
-    #: Whether the first of equal windows is reported too.
-    both: bool = False
-
-    @property
-    def before(self) -> int:
-        return self.window - self.sub
-
-    @property
-    def context(self) -> int:
-        return self.window + self.before
-
-
 # ---- blobs
 
 
@@ -104,6 +58,14 @@ def gathered(table: pa.Table, kind: int, kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
+def origins(table: pa.Table, kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All blobs of a bucket, joined, and for each row the kind (the bucket of origin) of its blob."""
+    found = [unpack(p, kinds) for p in table.column("payload").to_pylist()]
+    if not found:
+        return np.zeros(0, np.int32), [np.zeros(0, x) for x in kinds]
+    return np.repeat(np.array(table.column("kind").to_pylist(), np.int32), [len(x[0]) for x in found]), [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 def rows(found: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], names=_NAMES)
 
@@ -123,8 +85,9 @@ def by_print(prints: np.ndarray, buckets: int) -> np.ndarray:
     return ((prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def by_document(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return by_print(ids.view(np.uint64), buckets)
+def by_document(ids: np.ndarray, salts: np.ndarray, buckets: int) -> np.ndarray:
+    """Different texts of one id are dealt apart."""
+    return by_print(A.mixed(ids.view(np.uint64)) + salts, buckets)
 
 
 # ---- documents
@@ -151,7 +114,7 @@ def packed_documents(docs: DataFrame, buckets: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            bucket = by_document(ids, buckets)
+            bucket = by_document(ids, np.array([salt(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint32), buckets)
             order = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
             lean()
@@ -170,63 +133,12 @@ def unpacked_documents(table: pa.Table) -> list[pa.Table]:
     return [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in table.column("payload").to_pylist()]
 
 
-# ---- step 1
-
-
-def cover(plan: Plan, values, starts, sizes, prints) -> np.ndarray:
-    if not plan.period:
-        return A.anchors(values, starts, sizes, plan.window, plan.sub, prints)
-    picked = [s + p for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n >= plan.window for p in [A.positional(n - plan.sub + 1, plan.period)]]
-    return np.concatenate(picked) if picked else np.zeros(0, np.int64)
+def dealt_by(df: DataFrame, buckets: int):
+    """Grouped by bucket, each bucket a task of its own."""
+    return df.repartitionById(buckets, "bucket").groupBy("bucket")
 
 
-def _entries(plan: Plan):
-    @lean_after
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        count = 0
-        for batch in (x.slice(k, TAKEN) for x in batches for k in range(0, x.num_rows, TAKEN)):
-            ids, salts, texts = documents(batch)
-            for a, b in A.chunked([len(x) for x in texts], plan.window):
-                docs = [plan.symbols(x) for x in texts[a:b]]
-                sizes = np.array([len(x) for x in docs], np.int64)
-                if not len(sizes) or sizes.max() < plan.window:
-                    continue
-                values, starts = A.padded(docs, plan.window)
-                prints = A.Fingerprints(values, plan.context)
-                at = cover(plan, values, starts, sizes, prints)
-                which = np.searchsorted(starts, at, side="right") - 1
-                held.append((A.mixed(prints.at(at, plan.sub)), A.mixed(prints.at(at - plan.before, plan.context)), ids[a + which], salts[a + which], (at - starts[which]).astype(np.uint32), sizes[which].astype(np.uint32)))
-                count += len(at)
-                if count >= GATHERED:
-                    yield from _flush(plan, held)
-                    held, count = [], 0
-                    lean()
-        if held:
-            yield from _flush(plan, held)
-
-    return run
-
-
-def order_of(plan: Plan, ids: np.ndarray, salts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sorts by id, salt, place; returns the order."""
-    return np.lexsort((at, salts, ids))
-
-
-def later(plan: Plan, first: np.ndarray, ids: np.ndarray, salts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which rows, sorted within groups by id, salt and place, come after their group's first. ``first``: row of that."""
-    other = ids != ids[first]
-    if plan.same_document:
-        other |= (salts != salts[first]) | (at != at[first])
-    return other
-
-
-def reported(plan: Plan, new: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The rows to report: those that come later and, where asked for, the rows of groups that have any such."""
-    if not plan.both or not len(new):
-        return known
-    group = np.cumsum(new) - 1
-    return (np.bincount(group, weights=known) > 0)[group]
+# ---- sorted rows
 
 
 def heads(*keys: np.ndarray) -> np.ndarray:
@@ -244,27 +156,14 @@ def first_rows(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _flush(plan: Plan, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    sub, context, ids, salts, at, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((at, salts, ids, context, sub))
-    sub, context, ids, salts, at, sizes = (x[order] for x in (sub, context, ids, salts, at, sizes))
-    new = heads(sub, context)
-    known = later(plan, first_rows(new), ids, salts, at)
-    out = split(by_print(sub[~known], plan.buckets), ENTRIES, [x[~known] for x in (sub, context, ids, salts, at, sizes)])
-    known = reported(plan, new, known)
-    out += ranges(plan, *_around(plan, ids[known], salts[known], at[known], sizes[known]))
-    if out:
-        yield rows(out).to_batches()[0]
+# ---- ranges of symbols
 
 
-def _around(plan: Plan, ids, salts, at, sizes):
-    """The ranges of the contexts of some entries, clipped to their documents."""
-    at = at.astype(np.int64)
-    return ids, salts, np.maximum(at - plan.before, 0).astype(np.uint32), np.minimum(at + plan.window, sizes).astype(np.uint32)
+RANGE = ["<i8", "<u4", "<u4", "<u4"]
 
 
-def ranges(plan: Plan, ids, salts, start, end) -> list[tuple[int, int, bytes]]:
-    """Blobs of ranges by document, those of a document that overlap joined."""
+def ranges(kind: int, buckets: int, ids, salts, start, end) -> list[tuple[int, int, bytes]]:
+    """Blobs of ranges by chunk, those of a document that overlap joined."""
     if not len(ids):
         return []
     order = np.lexsort((start, salts, ids))
@@ -276,217 +175,40 @@ def ranges(plan: Plan, ids, salts, start, end) -> list[tuple[int, int, bytes]]:
     cut = np.r_[True, (lift + start)[1:] > reach[:-1]]
     last = np.r_[np.flatnonzero(cut)[1:] - 1, len(cut) - 1]
     ids, salts, start, end = ids[cut], salts[cut], start[cut], (reach[last] - lift[last]).astype(np.uint32)
-    return split(by_document(ids, plan.buckets), RANGES, [ids, salts, start, end])
+    return split(by_document(ids, salts, buckets), kind, [ids, salts, start, end])
 
 
-ENTRY = ["<u8", "<u8", "<i8", "<u4", "<u4", "<u4"]
-RANGE = ["<i8", "<u4", "<u4", "<u4"]
-UNDECIDED = ["<u8", "<i8", "<u4", "<u4", "u1"]
-
-
-# ---- step 2
-
-
-def _compare(plan: Plan):
-    def run(table: pa.Table) -> pa.Table:
-        lean()
-        out = [(b, k, p) for b, k, p in zip(*(x.to_pylist() for x in table.columns), strict=True) if k == RANGES]
-        sub, context, ids, salts, at, sizes = gathered(table, ENTRIES, ENTRY)
-        if len(sub):
-            order = np.lexsort((at, salts, ids, context, sub))
-            sub, context, ids, salts, at, sizes = (x[order] for x in (sub, context, ids, salts, at, sizes))
-            new = heads(sub, context)
-            known = later(plan, first_rows(new), ids, salts, at)
-            told = reported(plan, new, known)
-            out += ranges(plan, *_around(plan, ids[told], salts[told], at[told], sizes[told]))
-            group = np.cumsum(heads(sub)) - 1
-            contexts = np.bincount(group, weights=new).astype(np.int64)[group]
-            open_ = ~known & (contexts > 1)
-            crowded = (contexts > plan.crowd).astype(np.uint8)
-            out += split(by_document(ids[open_], plan.buckets), ENTRIES, [sub[open_], ids[open_], salts[open_], at[open_], crowded[open_]])
-        return rows(out)
-
-    return run
-
-
-# ---- step 3
-
-
-def _fetch(plan: Plan):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
-        out = ranges(plan, *gathered(right, RANGES, RANGE))
-        sub, ids, salts, at, crowded = gathered(right, ENTRIES, UNDECIDED)
-        if len(sub) and left.num_rows:
-            wanted: dict[tuple[int, int], np.ndarray] = {}
-            order = np.lexsort((at, salts, ids))
-            new = np.flatnonzero(np.r_[heads(ids[order], salts[order]), True])
-            for a, b in zip(new[:-1], new[1:], strict=True):
-                wanted[int(ids[order[a]]), int(salts[order[a]])] = order[a:b]
-            texts = {}
-            for part in unpacked_documents(left):
-                for i, s, text in zip(*documents(part), strict=True):
-                    if (key := (int(i), int(s))) in wanted:
-                        texts[key] = text
-            del part
-            out += _contexts(plan, texts, {k: v[crowded[v] == 0] for k, v in wanted.items()}, sub, ids, salts, at) if plan.raw else []
-            out += _windows(plan, texts, {k: v[crowded[v] == 1] for k, v in wanted.items()} if plan.raw else wanted, at)
-        return rows(out)
-
-    return run
-
-
-def _contexts(plan: Plan, texts, wanted, sub, ids, salts, at) -> list[tuple[int, int, bytes]]:
-    """Contexts of bytes, 0xFF (in no UTF-8 text) outside the document."""
-    picked, made = [], []
-    for key, which in wanted.items():
-        if len(which):
-            edge = np.full(plan.window, 255, np.uint8)
-            text = np.concatenate([edge, np.frombuffer(texts[key], np.uint8), edge])
-            made.append(np.lib.stride_tricks.sliding_window_view(text, plan.context)[at[which].astype(np.int64) + plan.sub])
-            picked.append(which)
-    if not made:
-        return []
-    which, made = np.concatenate(picked), np.concatenate(made)
-    bucket = by_print(sub[which], plan.buckets)
-    return split(bucket, CONTEXTS, [sub[which], ids[which], salts[which], at[which], made.view(f"V{plan.context}").reshape(-1)])
-
-
-def _windows(plan: Plan, texts, wanted, at) -> list[tuple[int, int, bytes]]:
-    """Fingerprints of the windows around undecided entries; of equal windows of this task only the earliest go on."""
-    keys = [k for k, v in wanted.items() if len(v)]
-    held = []
-    for a, b in A.chunked([len(texts[k]) for k in keys], plan.window):
-        docs = [plan.symbols(texts[k]) for k in keys[a:b]]
-        values, starts = A.padded(docs, plan.window)
-        places = []
-        for k, start, doc in zip(keys[a:b], starts.tolist(), docs, strict=True):
-            mark = np.zeros(len(doc) - plan.window + 2, np.int32)
-            p = at[wanted[k]].astype(np.int64)
-            np.add.at(mark, np.clip(p - plan.before, 0, len(mark) - 1), 1)
-            np.add.at(mark, np.clip(p + 1, 0, len(mark) - 1), -1)
-            places.append(start + np.flatnonzero(np.cumsum(mark)[:-1] > 0))
-        where = np.concatenate(places)
-        counts = [len(x) for x in places]
-        one = A.mixed(A.Fingerprints(values, plan.window).at(where, plan.window))
-        two = A.mixed(A.Fingerprints(A.mixed(values) * (values > 0), plan.window).at(where, plan.window))
-        held.append((one, two, np.repeat(np.array([k[0] for k in keys[a:b]], np.int64), counts), np.repeat(np.array([k[1] for k in keys[a:b]], np.uint32), counts), (where - np.repeat(starts, counts)).astype(np.uint32)))
-    if not held:
-        return []
-    one, two, ids, salts, start = (np.concatenate(x) for x in zip(*held, strict=True))
-    known, told, (one, two, ids, salts, start) = _repeated(plan, one, two, ids, salts, start)
-    out = ranges(plan, ids[told], salts[told], start[told], start[told] + np.uint32(plan.window))
-    return out + split(by_print(one[~known], plan.buckets), WINDOWS, [x[~known] for x in (one, two, ids, salts, start)])
-
-
-def _repeated(plan: Plan, *arrays):
-    """Sorts windows; which of them come after an equal one, and which are to be reported."""
-    one, two, ids, salts, start = arrays
-    order = np.lexsort((start, salts, ids, two, one))
-    arrays = [x[order] for x in arrays]
-    one, two, ids, salts, start = arrays
-    new = heads(one, two)
-    known = later(plan, first_rows(new), ids, salts, start)
-    return known, reported(plan, new, known), arrays
-
-
-# ---- step 4
-
-
-def _decide(plan: Plan):
-    def run(table: pa.Table) -> pa.Table:
-        lean()
-        held = [gathered(table, RANGES, RANGE)]
-        arrays = gathered(table, WINDOWS, ["<u8", "<u8", "<i8", "<u4", "<u4"])
-        if len(arrays[0]):
-            _, told, (_, _, ids, salts, start) = _repeated(plan, *arrays)
-            held.append((ids[told], salts[told], start[told], start[told] + np.uint32(plan.window)))
-        if plan.raw:
-            sub, ids, salts, at, made = gathered(table, CONTEXTS, ["<u8", "<i8", "<u4", "<u4", f"V{plan.context}"])
-            if len(sub):
-                order = np.lexsort((at, salts, ids, sub))
-                sub, ids, salts, at, made = (x[order] for x in (sub, ids, salts, at, made))
-                group = np.flatnonzero(heads(sub))
-                # Some groups at a time; a group has at most ``crowd`` contexts.
-                cuts = group[np.unique(np.searchsorted(group, np.arange(0, len(sub), 4096)).clip(0, len(group) - 1))]
-                for a, b in zip(cuts, [*cuts[1:], len(sub)], strict=True):
-                    held.append(_decide_contexts(plan, sub[a:b], ids[a:b], salts[a:b], at[a:b], made[a:b]))
-        return rows(ranges(plan, *(np.concatenate(x) for x in zip(*held, strict=True))))
-
-    return run
-
-
-def _decide_contexts(plan: Plan, sub, ids, salts, at, made):
-    """Rows are sorted by subwindow, id, salt and place. All windows of a context overlap in the subwindow, so the
-    union of the repeated ones is one range."""
-    n, width = len(sub), plan.context
-    data = np.frombuffer(made.tobytes(), np.uint8).reshape(n, width)
-    prints = A.Fingerprints(A.BYTE_VALUES[data.reshape(-1)], plan.window)
-    inside = data != 255
-    left, right = inside.argmax(1), width - inside[:, ::-1].argmax(1)
-    group = (np.cumsum(heads(sub)) - 1).astype(np.uint64)
-    low, high = np.full(n, width, np.int64), np.full(n, -1, np.int64)
-    for offset in range(plan.before + 1):
-        ok = np.flatnonzero((left <= offset) & (right >= offset + plan.window))
-        if not len(ok):
-            continue
-        key = A.mixed(prints.at(ok * width + offset, plan.window))
-        order = np.lexsort((key, group[ok]))
-        rows_ = ok[order]
-        new = heads(group[rows_], key[order])
-        first = rows_[first_rows(new)]
-        hit = rows_[reported(plan, new, (ids[rows_] != ids[first]) | (plan.same_document & ((salts[rows_] != salts[first]) | (at[rows_] != at[first]))))]
-        low[hit] = np.minimum(low[hit], offset)
-        high[hit] = offset
-    some = high >= 0
-    base = at[some].astype(np.int64) - plan.before
-    return ids[some], salts[some], (base + low[some]).astype(np.uint32), (base + high[some] + plan.window).astype(np.uint32)
-
-
-# ---- step 5
-
-
-def _apply(plan: Plan, finish, schema: pa.Schema):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
-        ids, salts, start, end = gathered(right, RANGES, RANGE)
-        order = np.lexsort((start, salts, ids))
-        new = np.flatnonzero(np.r_[heads(ids[order], salts[order]), True]) if len(ids) else np.zeros(0, int)
-        by = {}
-        for a, b in zip(new[:-1], new[1:], strict=True):
-            spans: list[list[int]] = []
-            for s, e in zip(start[order[a:b]].tolist(), end[order[a:b]].tolist(), strict=True):
-                if spans and s <= spans[-1][1]:
-                    spans[-1][1] = max(e, spans[-1][1])
-                else:
-                    spans.append([s, e])
-            by[int(ids[order[a]]), int(salts[order[a]])] = spans
-        made = []
-        for part in unpacked_documents(left):
-            found = [finish(text, by.get((int(i), int(s)), [])) for i, s, text in zip(*documents(part), strict=True)]
-            columns = [pa.array([x[k] for x in found], schema.field(k + 1).type) for k in range(len(found[0]))]
-            made.append(pa.table([part.column(0), *columns, *part.columns[2:]], names=schema.names))
-        return pa.concat_tables(made) if made else schema.empty_table()
-
-    return run
-
-
-def repeated(docs: DataFrame, *, window: int, sub: int, symbols, same_document: bool, raw: bool, finish, result: str, kinds: list[pa.DataType], crowd: int = 64, bucket_bytes: int = BUCKET_BYTES, period: int = 0, both: bool = False) -> DataFrame:
-    """docs: doc_id, text and columns to carry. finish(text, spans): the values of ``result``, a DDL string of columns
-    between doc_id and the carried ones; ``kinds`` are their Arrow types."""
-    plan = Plan(window, sub, symbols, same_document, raw, crowd, pieces(text_bytes(docs), bucket_bytes), period, both)
+def by_text(ids, salts, start, end) -> dict[tuple[int, int], list[list[int]]]:
+    """The ranges of each document, joined, in order."""
+    order = np.lexsort((start, salts, ids))
+    new = np.flatnonzero(np.r_[heads(ids[order], salts[order]), True]) if len(ids) else np.zeros(0, int)
+    by = {}
+    for a, b in zip(new[:-1], new[1:], strict=True):
+        spans: list[list[int]] = []
+        for s, e in zip(start[order[a:b]].tolist(), end[order[a:b]].tolist(), strict=True):
+            if spans and s <= spans[-1][1]:
+                spans[-1][1] = max(e, spans[-1][1])
+            else:
+                spans.append([s, e])
+        by[int(ids[order[a]]), int(salts[order[a]])] = spans
+    return by
+
+
+def finished(left: pa.Table, by: dict, finish, schema: pa.Schema) -> pa.Table:
+    """finish(text, spans) for each document of a chunk, between its id and what it carries."""
+    made = []
+    for part in unpacked_documents(left):
+        found = [finish(text, by.get((int(i), int(s)), [])) for i, s, text in zip(*documents(part), strict=True)]
+        columns = [pa.array([x[k] for x in found], schema.field(k + 1).type) for k in range(len(found[0]))]
+        made.append(pa.table([part.column(0), *columns, *part.columns[2:]], names=schema.names))
+    return pa.concat_tables(made) if made else schema.empty_table()
+
+
+def shape(docs: DataFrame, result: str, kinds: list[pa.DataType]) -> tuple[str, pa.Schema]:
+    """DDL and Arrow schema of doc_id, the result's columns and the carried ones."""
     names = ["doc_id", *(x.split()[0] for x in result.split(", ")), *docs.columns[2:]]
     carried = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:]]
-    ddl = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", result, *carried])
     arrow = pa.schema([(n, pa.null()) for n in names])
     for k, kind in enumerate(kinds):
         arrow = arrow.set(k + 1, pa.field(names[k + 1], kind))
-
-    n = plan.buckets
-    deal = lambda df: df.repartition(n, "bucket").groupBy("bucket")
-    packed = packed_documents(docs, n)
-    entries = docs.select("doc_id", "text").mapInArrow(_entries(plan), ROW)
-    compared = deal(entries).applyInArrow(_compare(plan), ROW)
-    fetched = deal(packed).cogroup(deal(compared)).applyInArrow(_fetch(plan), ROW)
-    decided = deal(fetched).applyInArrow(_decide(plan), ROW)
-    return deal(packed).cogroup(deal(decided)).applyInArrow(_apply(plan, finish, arrow), ddl)
+    return ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", result, *carried]), arrow

@@ -1,36 +1,392 @@
-"""Suffix-array dedup by blockwise sorting with a difference cover.
+"""Suffix-array dedup: blockwise sorting of suffixes with a difference cover.
 
-Strings of 100 bytes that start at two places are compared without a suffix array of the corpus: a cover of the
-positions is sampled such that for any two equal strings some offset puts both on sampled positions. Sampled suffixes are
-sorted one bucket of first bytes at a time (by the fingerprint of their first ``sub`` bytes), each bucket by the class of
-what surrounds them, precomputed for the sample; long ties are settled by these classes, without reading the texts again.
-Only classes that part within 100 bytes, at the edges of repeated passages, are read and compared.
+Places whose number, modulo the period of 73, is in a perfect difference cover (9 of 73) are the sample: for any two
+places in two documents some offset below the period puts both into the sample. So of two equal strings of 100 bytes,
+the 28 bytes from such an offset on begin two sampled suffixes.
 
-The default cover is defined by content (see ``anchors``), about 3 % of all positions. ``period`` chooses the
-positional difference cover of the named construction instead: same results, but four to eight times the entries; see
-the README.
+1. Blocks: sampled suffixes are dealt by ranges of their first bytes. One block at a time is sorted, by the first 28
+   bytes, and suffixes that are tied with another get their rank; an untied suffix goes no further.
+2. Long ties: suffixes of one rank are compared by the class of all that surrounds them within reach of a string of 100
+   bytes (72 bytes before, 100 after), which was computed when the sample was ranked. A suffix whose class occurs earlier
+   is settled, without reading texts again. What is left of a rank with several classes is undecided: there a repeated
+   passage begins or ends.
+3. Undecided suffixes fetch these bytes and are compared within their rank, a block of ranks at a time; where a rank has
+   over ``crowd`` classes, the strings of 100 bytes around them are compared instead, dealt over all tasks.
+4. Ranges meet their documents.
+
+Memory: a task holds a chunk of documents or a block, of about ``bucket_bytes`` of text, and a chunk asks about a prefix
+once, however often it has it (see ``repeats``). A rank that over ``crowd`` chunks have is dealt by class too, so a
+passage that a third of all documents share, with whatever around it, doesn't gather in one task.
+
+Beyond its first 28 bytes a suffix is ordered by class, not by its bytes: the order decides nothing but who meets whom.
+Prefixes are compared as bytes. Classes are 64-bit fingerprints within an equal prefix, strings of crowds have 128 bits.
 
 Defined cases: a null text is empty; texts of fewer than ``length`` bytes lose nothing; rows that share id and text get
 equal results and don't remove each other's bytes; rows that share only the id follow each other in the order of a
-hash of their texts; a null id counts as the smallest; an empty table gives an empty result.
+hash of their texts; a null id counts as the smallest; ids must be integers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import anchors as A
+from . import repeats as R
+from .common import lean, narrow, pieces, text_bytes
+
+LENGTH, PERIOD, CROWD = 100, 73, 64
+BUCKET_BYTES = 8 << 20
+#: Bytes of text from which the limits of blocks are taken, and prefixes taken from it.
+SAMPLED_BYTES, SAMPLED = 64 << 20, 1 << 20
+#: Kinds of rows. ENTRIES: sampled suffixes, then undecided ones; RANGES: repeated bytes.
+ENTRIES, RANGES, CONTEXTS, WINDOWS = range(4)
+#: A prefix as four big-endian numbers, the last of which is filled up with zeros.
+WIDTH = 32
+
+
+@dataclass(frozen=True)
+class Plan:
+    length: int
+    period: int
+    crowd: int
+    buckets: int
+    #: First prefix of each block but the first, ascending.
+    limits: np.ndarray
+
+    @property
+    def prefix(self) -> int:
+        return self.length - self.before
+
+    @property
+    def before(self) -> int:
+        return self.period - 1
+
+    @property
+    def context(self) -> int:
+        return self.length + self.before
+
+
+# ---- step 1: blocks of sampled suffixes
+
+
+def sampled(texts: list[bytes], length: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and place of all sampled suffixes, and their prefixes (rows of WIDTH bytes)."""
+    prefix = length - period + 1
+    which, places, made = [], [], [np.zeros((0, WIDTH), np.uint8)]
+    for k, text in enumerate(texts):
+        if len(text) >= length:
+            at = A.positional(len(text) - prefix + 1, period)
+            rows = np.zeros((len(at), WIDTH), np.uint8)
+            rows[:, :prefix] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), prefix)[at]
+            which.append(np.full(len(at), k))
+            places.append(at)
+            made.append(rows)
+    return np.concatenate([np.zeros(0, int), *which]), np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate(made)
+
+
+def keys(prefixes: np.ndarray) -> list[np.ndarray]:
+    """Prefixes as numbers of the same order."""
+    return [x.astype("<u8") for x in np.ascontiguousarray(prefixes).view(">u8").reshape(-1, WIDTH // 8).T]
+
+
+def block_limits(docs: DataFrame, length: int, period: int, total_bytes: int, buckets: int) -> np.ndarray:
+    """Prefixes that cut the sampled suffixes into blocks of like size, from a bounded sample of documents. Limits decide
+    how even blocks are, and nothing else."""
+    share = min(1.0, SAMPLED_BYTES / max(total_bytes, 1))
+    thin = max(1, int(total_bytes * share) * 9 // 73 // SAMPLED)
+
+    def run(batches):
+        for batch in batches:
+            _, _, texts = R.documents(batch)
+            _, _, prefixes = sampled(texts, length, period)
+            some = A.mixed(keys(prefixes)[0] + keys(prefixes)[1]) % np.uint64(16 * thin) == 0
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in prefixes[some]], pa.binary())], ["prefix"])
+
+    if buckets == 1:
+        return np.zeros(0, f"S{WIDTH}")
+    found = docs.select("doc_id", "text").where(F.rand(7) < share).mapInArrow(run, "prefix binary").distinct()
+    some = np.sort(np.array([bytes(r.prefix) for r in found.collect()], f"S{WIDTH}"))
+    return np.unique(some[(np.arange(1, buckets) * len(some)) // buckets]) if len(some) else some
+
+
+def classes(plan: Plan, texts: list[bytes]):
+    """Document, place and class of each sampled suffix of a chunk; for each class its prefix, its count, and its block."""
+    which, at, prefixes = sampled(texts, plan.length, plan.period)
+    by = keys(prefixes)
+    order = np.lexsort(by[::-1])
+    by = [x[order] for x in by]
+    new = R.heads(*by)
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    some = prefixes[order[new]]
+    starts = np.searchsorted(np.ascontiguousarray(some).view(f"S{WIDTH}").reshape(-1), plan.limits) if len(some) else np.zeros(len(plan.limits), int)
+    return which, at, own, [x[new] for x in by], np.bincount(own, minlength=int(new.sum())), np.r_[0, starts, len(some)]
+
+
+def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ids, salts, texts, seen = [], [], [], set()
+    for part in R.unpacked_documents(table):
+        for i, s, text in zip(*R.documents(part), strict=True):
+            if len(text) and (int(i), int(s)) not in seen:  # a repeated row isn't another document
+                seen.add((int(i), int(s)))
+                ids.append(i)
+                salts.append(s)
+                texts.append(text)
+    return np.array(ids, np.int64), np.array(salts, np.uint32), texts
+
+
+ASKED, RANKED = ["<u8", "<u8", "<u8", "<u8", "u1"], ["<u4", "<u4", "u1"]
+
+
+def _ask(plan: Plan):
+    """A chunk's prefixes, once each, in order, to their blocks."""
+
+    def run(left: pa.Table) -> pa.Table:
+        lean()
+        _, _, _, by, counts, starts = classes(plan, _texts(left)[2])
+        chunk = left.column("bucket")[0].as_py()
+        several = (counts > 1).astype(np.uint8)
+        found = [(k, chunk, R.pack(*(x[a:b] for x in (*by, several)))) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a]
+        return R.rows(found)
+
+    return run
+
+
+def _rank(plan: Plan):
+    """Sorts a block; tied prefixes get ranks, which go back to the chunks as (place in the question, rank, crowded)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        chunk, (*by, several) = R.origins(table, ASKED)
+        if not len(chunk):
+            return R.rows([])
+        # A chunk's blob is in order, so a row's place in it is its place among the chunk's rows.
+        first = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1]
+        place = np.arange(len(chunk)) - np.repeat(first, np.diff(np.r_[first, len(chunk)]))
+        order = np.lexsort(by[::-1])
+        new = R.heads(*(x[order] for x in by))
+        group = np.cumsum(new) - 1
+        chunks = np.bincount(group)
+        tied = (chunks > 1) | (np.bincount(group, weights=several[order]) > 0)
+        rank = np.cumsum(tied) - 1
+        told = tied[group]
+        rows_, group = order[told], group[told]
+        back = np.lexsort((place[rows_], chunk[rows_]))
+        rows_, group = rows_[back], group[back]
+        block = table.column("bucket")[0].as_py()
+        arrays = [place[rows_].astype(np.uint32), rank[group].astype(np.uint32), (chunks[group] > plan.crowd).astype(np.uint8)]
+        return R.rows([(c, block, p) for c, _, p in R.split(chunk[rows_], 0, arrays)])
 
-from . import repeats
-from .anchors import BYTE_VALUES
-from .common import narrow
+    return run
 
-LENGTH = 100
-SUB = 32
+
+# ---- step 2: long ties
+
+
+ENTRY = ["<u8", "<u8", "<i8", "<u4", "<u4", "<u4", "u1"]
+UNDECIDED = ["<u8", "<i8", "<u4", "<u4", "u1"]
+
+
+def _entries(plan: Plan):
+    """Ranked suffixes with the class of what surrounds them; of those of one rank and class only a chunk's first."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
+        ids, salts, texts = _texts(left)
+        which, at, own, by, _, starts = classes(plan, texts)
+        rank, crowded = np.zeros(len(by[0]), np.uint64), np.zeros(len(by[0]), np.uint8)
+        for block, payload in zip(right.column("kind").to_pylist(), right.column("payload").to_pylist(), strict=True):
+            place, number, crowd = R.unpack(payload, RANKED)
+            rank[starts[block] + place] = number.astype(np.uint64) + (np.uint64(block) << np.uint64(32)) + np.uint64(1)
+            crowded[starts[block] + place] = crowd
+        some = np.flatnonzero(rank[own] > 0)
+        which, at, own = which[some], at[some], own[some]
+        out: list[tuple] = []
+        sizes = np.array([len(x) for x in texts], np.int64)
+        wanted = np.unique(which)
+        prints = np.zeros(len(which), np.uint64)
+        for a, b in A.chunked(sizes[wanted].tolist(), plan.length):
+            values, begins = A.padded([byte_values(texts[k]) for k in wanted[a:b]], plan.length)
+            here = slice(*np.searchsorted(which, [wanted[a], wanted[b - 1] + 1]))
+            base = begins[np.searchsorted(wanted[a:b], which[here])]
+            prints[here] = A.Fingerprints(values, plan.context).at(base + at[here] - plan.before, plan.context)
+        held = [rank[own], prints, ids[which], salts[which], at.astype(np.uint32), sizes[which].astype(np.uint32), crowded[own]]
+        known, held = _settled(*held)
+        out += _surroundings(plan, *(x[known] for x in held[2:6]))
+        kept = [x[~known] for x in held]
+        return R.rows(out + R.split(R.by_print(kept[0] ^ np.where(kept[6] > 0, kept[1], np.uint64(0)), plan.buckets), ENTRIES, kept))
+
+    return run
 
 
 def byte_values(text: bytes) -> np.ndarray:
-    return BYTE_VALUES[np.frombuffer(text, np.uint8)]
+    return A.BYTE_VALUES[np.frombuffer(text, np.uint8)]
+
+
+def _settled(*arrays) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorts entries by rank, class, id, salt and place; which of them come after another of their rank and class."""
+    rank, prints, ids, salts, at = arrays[:5]
+    order = np.lexsort((at, salts, ids, prints, rank))
+    arrays = [x[order] for x in arrays]
+    return ~R.heads(arrays[0], arrays[1]), arrays
+
+
+def _surroundings(plan: Plan, ids, salts, at, sizes) -> list[tuple[int, int, bytes]]:
+    """The ranges of strings around some suffixes, clipped to their documents."""
+    at = at.astype(np.int64)
+    return R.ranges(RANGES, plan.buckets, ids, salts, np.maximum(at - plan.before, 0).astype(np.uint32), np.minimum(at + plan.length, sizes).astype(np.uint32))
+
+
+def _compare(plan: Plan):
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        out = [(b, k, p) for b, k, p in zip(*(x.to_pylist() for x in table.columns), strict=True) if k == RANGES]
+        held = R.gathered(table, ENTRIES, ENTRY)
+        if len(held[0]):
+            known, held = _settled(*held)
+            rank, _, ids, salts, at, sizes, crowded = held
+            out += _surroundings(plan, ids[known], salts[known], at[known], sizes[known])
+            group = np.cumsum(R.heads(rank)) - 1
+            several = np.bincount(group, weights=~known)[group]
+            # Of a crowded rank other tasks may hold other classes.
+            open_ = ~known & ((several > 1) | (crowded > 0))
+            crowd = ((several > plan.crowd) | (crowded > 0)).astype(np.uint8)
+            out += R.split(R.by_document(ids[open_], salts[open_], plan.buckets), ENTRIES, [x[open_] for x in (rank, ids, salts, at, crowd)])
+        return R.rows(out)
+
+    return run
+
+
+# ---- step 3: undecided suffixes
+
+
+def _fetch(plan: Plan):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
+        out = R.ranges(RANGES, plan.buckets, *R.gathered(right, RANGES, R.RANGE))
+        rank, ids, salts, at, crowded = R.gathered(right, ENTRIES, UNDECIDED)
+        if len(rank) and left.num_rows:
+            wanted: dict[tuple[int, int], np.ndarray] = {}
+            order = np.lexsort((at, salts, ids))
+            new = np.flatnonzero(np.r_[R.heads(ids[order], salts[order]), True])
+            for a, b in zip(new[:-1], new[1:], strict=True):
+                wanted[int(ids[order[a]]), int(salts[order[a]])] = order[a:b]
+            texts = {}
+            for part in R.unpacked_documents(left):
+                for i, s, text in zip(*R.documents(part), strict=True):
+                    if (key := (int(i), int(s))) in wanted:
+                        texts[key] = text
+            out += _contexts(plan, texts, {k: v[crowded[v] == 0] for k, v in wanted.items()}, rank, ids, salts, at)
+            out += _windows(plan, texts, {k: v[crowded[v] == 1] for k, v in wanted.items()}, at)
+        return R.rows(out)
+
+    return run
+
+
+def _contexts(plan: Plan, texts, wanted, rank, ids, salts, at) -> list[tuple[int, int, bytes]]:
+    """The bytes around suffixes, 0xFF (in no UTF-8 text) outside the document."""
+    picked, made = [], []
+    for key, which in wanted.items():
+        if len(which):
+            edge = np.full(plan.length, 255, np.uint8)
+            text = np.concatenate([edge, np.frombuffer(texts[key], np.uint8), edge])
+            made.append(np.lib.stride_tricks.sliding_window_view(text, plan.context)[at[which].astype(np.int64) + plan.prefix])
+            picked.append(which)
+    if not made:
+        return []
+    which, made = np.concatenate(picked), np.concatenate(made)
+    return R.split(R.by_print(rank[which], plan.buckets), CONTEXTS, [rank[which], ids[which], salts[which], at[which], made.view(f"V{plan.context}").reshape(-1)])
+
+
+def _windows(plan: Plan, texts, wanted, at) -> list[tuple[int, int, bytes]]:
+    """Fingerprints of the strings around undecided suffixes; of equal ones of this chunk only the earliest go on."""
+    names = [k for k, v in wanted.items() if len(v)]
+    held = []
+    for a, b in A.chunked([len(texts[k]) for k in names], plan.length):
+        docs = [byte_values(texts[k]) for k in names[a:b]]
+        values, starts = A.padded(docs, plan.length)
+        places = []
+        for k, start, doc in zip(names[a:b], starts.tolist(), docs, strict=True):
+            mark = np.zeros(len(doc) - plan.length + 2, np.int32)
+            p = at[wanted[k]].astype(np.int64)
+            np.add.at(mark, np.clip(p - plan.before, 0, len(mark) - 1), 1)
+            np.add.at(mark, np.clip(p + 1, 0, len(mark) - 1), -1)
+            places.append(start + np.flatnonzero(np.cumsum(mark)[:-1] > 0))
+        where = np.concatenate(places)
+        counts = [len(x) for x in places]
+        one = A.Fingerprints(values, plan.length).at(where, plan.length)
+        two = A.Fingerprints(A.mixed(values) * (values > 0), plan.length).at(where, plan.length)
+        held.append((one, two, np.repeat(np.array([k[0] for k in names[a:b]], np.int64), counts), np.repeat(np.array([k[1] for k in names[a:b]], np.uint32), counts), (where - np.repeat(starts, counts)).astype(np.uint32)))
+    if not held:
+        return []
+    known, held = _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    _, _, ids, salts, start = (x[known] for x in held)
+    out = R.ranges(RANGES, plan.buckets, ids, salts, start, start + np.uint32(plan.length))
+    kept = [x[~known] for x in held]
+    return out + R.split(R.by_print(kept[0], plan.buckets), WINDOWS, kept)
+
+
+def _decide(plan: Plan):
+    def run(table: pa.Table) -> pa.Table:
+        lean()
+        held = [R.gathered(table, RANGES, R.RANGE)]
+        arrays = R.gathered(table, WINDOWS, ["<u8", "<u8", "<i8", "<u4", "<u4"])
+        if len(arrays[0]):
+            known, arrays = _settled(*arrays)
+            _, _, ids, salts, start = (x[known] for x in arrays)
+            held.append((ids, salts, start, start + np.uint32(plan.length)))
+        rank, ids, salts, at, made = R.gathered(table, CONTEXTS, ["<u8", "<i8", "<u4", "<u4", f"V{plan.context}"])
+        if len(rank):
+            order = np.lexsort((at, salts, ids, rank))
+            rank, ids, salts, at, made = (x[order] for x in (rank, ids, salts, at, made))
+            group = np.flatnonzero(R.heads(rank))
+            # Some ranks at a time; a rank has at most ``crowd`` suffixes here.
+            cuts = group[np.unique(np.searchsorted(group, np.arange(0, len(rank), 4096)).clip(0, len(group) - 1))]
+            for a, b in zip(cuts, [*cuts[1:], len(rank)], strict=True):
+                held.append(_decide_contexts(plan, rank[a:b], ids[a:b], salts[a:b], at[a:b], made[a:b]))
+        return R.rows(R.ranges(RANGES, plan.buckets, *(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return run
+
+
+def _decide_contexts(plan: Plan, rank, ids, salts, at, made):
+    """Rows are sorted by rank, id, salt and place. All strings of a context overlap in the prefix, so the union of the
+    repeated ones is one range."""
+    n, width = len(rank), plan.context
+    data = np.frombuffer(made.tobytes(), np.uint8).reshape(n, width)
+    prints = A.Fingerprints(A.BYTE_VALUES[data.reshape(-1)], plan.length)
+    inside = data != 255
+    left, right = inside.argmax(1), width - inside[:, ::-1].argmax(1)
+    group = (np.cumsum(R.heads(rank)) - 1).astype(np.uint64)
+    low, high = np.full(n, width, np.int64), np.full(n, -1, np.int64)
+    for offset in range(plan.before + 1):
+        ok = np.flatnonzero((left <= offset) & (right >= offset + plan.length))
+        if not len(ok):
+            continue
+        key = prints.at(ok * width + offset, plan.length)
+        order = np.lexsort((key, group[ok]))
+        hit = ok[order][~R.heads(group[ok][order], key[order])]
+        low[hit] = np.minimum(low[hit], offset)
+        high[hit] = offset
+    some = high >= 0
+    base = at[some].astype(np.int64) - plan.before
+    return ids[some], salts[some], (base + low[some]).astype(np.uint32), (base + high[some] + plan.length).astype(np.uint32)
+
+
+# ---- step 4
+
+
+def _apply(finish, schema: pa.Schema):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
+        return R.finished(left, R.by_text(*R.gathered(right, RANGES, R.RANGE)), finish, schema)
+
+    return run
 
 
 def _kept(text: bytes, spans: list[list[int]]) -> tuple:
@@ -42,12 +398,20 @@ def _kept(text: bytes, spans: list[list[int]]) -> tuple:
     return len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in spans], kept
 
 
-def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, sub: int = SUB, period: int = 0, bucket_bytes: int = repeats.BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, period: int = PERIOD, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte ranges), kept (the bytes left)."""
-    if period and period - 1 + sub > length:
-        raise ValueError("a period and a subwindow must fit into the length")
+    if not 4 <= length - period + 1 <= WIDTH:
+        raise ValueError(f"the period must leave a prefix of 4 to {WIDTH} bytes of the length")
+    rows = narrow(docs, id_col, text_col)
+    total = text_bytes(rows)
+    n = pieces(total, bucket_bytes)
+    plan = Plan(length, period, crowd, n, block_limits(rows, length, period, total, n))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return repeats.repeated(
-        narrow(docs, id_col, text_col), window=length, sub=sub, symbols=byte_values, same_document=True, raw=True, finish=_kept,
-        result="n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary", kinds=[pa.int64(), pa.int64(), span, pa.binary()], bucket_bytes=bucket_bytes, period=period,
-    )
+    ddl, schema = R.shape(rows, "n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary", [pa.int64(), pa.int64(), span, pa.binary()])
+    packed = R.dealt_by(R.packed_documents(rows, n), n)
+    ranked = R.dealt_by(packed.applyInArrow(_ask(plan), R.ROW), n).applyInArrow(_rank(plan), R.ROW)
+    entries = packed.cogroup(R.dealt_by(ranked, n)).applyInArrow(_entries(plan), R.ROW)
+    compared = R.dealt_by(entries, n).applyInArrow(_compare(plan), R.ROW)
+    fetched = packed.cogroup(R.dealt_by(compared, n)).applyInArrow(_fetch(plan), R.ROW)
+    decided = R.dealt_by(fetched, n).applyInArrow(_decide(plan), R.ROW)
+    return packed.cogroup(R.dealt_by(decided, n)).applyInArrow(_apply(_kept, schema), ddl)
