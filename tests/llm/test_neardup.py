@@ -15,25 +15,40 @@ def sets(text):
 
 
 def brute_classes(rows, least=0.8):
-    """doc_id to the smallest id of its component; all pairs. Of an id's several texts the smallest in bytes counts."""
-    by = defaultdict(list)
-    for d, t in rows:
-        by[NULL_ID if d is None else d].append(t or "")
-    root = {d: d for d in by}
+    """(doc_id, text) to the smallest id of its component; all pairs of different texts."""
+    rows = sorted({(NULL_ID if d is None else d, t or "") for d, t in rows})
+    shingled = {t: sets(t) for _, t in rows}
+    root = {t: t for t in shingled}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(by)
-    shingled = {d: [s for s in map(sets, by[d]) if s] for d in ids}
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if any(len(x & y) >= least * len(x | y) for x in shingled[a] for y in shingled[b]):
-                a_, b_ = find(a), find(b)
-                root[max(a_, b_)] = min(a_, b_)
-    return {d: find(d) for d in ids}
+    order = sorted((t for t in shingled if shingled[t]), key=lambda t: len(shingled[t]))
+    for k, a in enumerate(order):
+        x = shingled[a]
+        for b in order[k + 1 :]:
+            y = shingled[b]
+            if len(x) < least * len(y):
+                break
+            if (n := len(x & y)) >= least * (len(x) + len(y) - n):
+                root[find(a)] = find(b)
+    smallest = {}
+    for d, t in rows:
+        if shingled[t]:
+            smallest.setdefault(find(t), d)
+    return {(d, t): smallest[find(t)] if shingled[t] else d for d, t in rows}
+
+
+def classes_of(df, **options):
+    """The same of the operator; a row is known by its id and text."""
+    texts = {(r.doc_id, r.h): r.text for r in df.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()}
+    null = lambda x: NULL_ID if x is None else x
+    out = neardup.near_duplicates(df, **options).collect()
+    assert len(out) == df.count()
+    assert all(r.first == (null(r.doc_id) == null(r.class_id)) or r.doc_id == r.class_id for r in out)
+    return {(null(r.doc_id), texts[r.doc_id, r.text_hash]): null(r.class_id) for r in out}
 
 
 def near(text, seed, edits):
@@ -63,10 +78,8 @@ def test_classes_against_brute_force(spark, rows, unit, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     want = brute_classes(rows)
     for bucket_bytes in (neardup.BUCKET_BYTES, 40_000):
-        found = neardup.near_duplicates(df, bucket_bytes=bucket_bytes).collect()
-        assert len(found) == len(rows)
-        got = {NULL_ID if r.doc_id is None else r.doc_id: NULL_ID if r.class_id is None else r.class_id for r in found}
-        assert got == want
+        assert classes_of(df, bucket_bytes=bucket_bytes) == want
+        monkeypatch.setattr(neardup, "HUB", 5)
 
 
 def test_passages_repeated_more_often_in_one_text(spark):
@@ -75,22 +88,65 @@ def test_passages_repeated_more_often_in_one_text(spark):
         passage, rest = prose(3000 + k, 60), prose(4000 + k, 140)
         rows += [(2 * k, f"{passage} {rest}"), (2 * k + 1, " ".join([passage] * (20, 100)[k % 2] + [near(rest, k, k % 4)]))]
     want = brute_classes(rows)
-    assert sum(a != b for a, b in want.items()) > 70
-    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert {r.doc_id: r.class_id for r in found} == want
+    assert sum(a[0] != b for a, b in want.items()) > 70
+    assert classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
 
 
 def test_on_a_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in d.collect()]
-    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()} == brute_classes(rows)
-
-
-def test_rows_of_one_id_share_a_class(spark):
-    a, b = prose(1, 80), prose(2, 80)
-    rows = [(1, a), (9, a), (9, b), (12, b), (20, prose(3, 80)), (20, prose(3, 80))]
-    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.class_id) for r in out) == [(1, 1), (9, 1), (9, 1), (12, 1), (20, 20), (20, 20)]
+    assert classes_of(d) == brute_classes(rows)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every document whose id is divisible by 20 against all: pairs at 0.8 or more that share a class; and how many of
+    the looser ones do."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    owners = defaultdict(list)
+    sizes = {}
+    for k, t in texts.items():
+        sizes[k] = len(x := sets(t))
+        for s in x:
+            owners[s].append(k)
+    cls = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    found = defaultdict(lambda: [0, 0])
+    for q in (k for k in texts if k % 20 == 0):
+        shared = defaultdict(int)
+        for s in sets(texts[q]):
+            for k in owners[s]:
+                shared[k] += 1
+        for k, n in shared.items():
+            j = n / (sizes[q] + sizes[k] - n)
+            if k != q:
+                for least in (0.8, 0.7, 0.6, 0.5):
+                    if j >= least:
+                        found[least][0] += 1
+                        found[least][1] += cls[k] == cls[q]
+    print({k: (n, m, m / n) for k, (n, m) in found.items()})
+    assert found[0.8][0] > 50 and found[0.8][1] == found[0.8][0]
+
+
+def test_a_hot_band_makes_one_entry_a_batch(spark):
+    """A third of all texts are near copies of each other: what a bucket of bands holds, and the longest list of a key."""
+    base = prose(9, 150)
+    df = spark.createDataFrame([(k, near(base, k, 1) if k % 3 == 0 else prose(k, 60), 0) for k in range(900)], "doc_id long, text string, hash long").repartition(6)
+    made = df.mapInArrow(neardup._sign(4, 5, 48, 8), neardup.ROW).collect()
+    n = defaultdict(int)
+    for r in made:
+        if r.kind == neardup.BAND_ROWS:
+            for band in neardup.unpack(bytes(r.payload), ["<u8", "<u8"])[0].tolist():
+                n[band] += 1
+    assert max(n.values()) <= 6
+
+
+def test_each_text_of_an_id_is_judged(spark):
+    a, b = prose(1, 80), prose(2, 100)
+    rows = [(1, a), (9, a), (9, b), (12, near(b, 3, 1)), (20, prose(3, 80)), (20, prose(3, 80)), (None, prose(4, 50)), (None, prose(5, 50)), (30, prose(5, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert classes_of(df) == brute_classes(rows)
+    out = neardup.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.first) for r in out) == [(0, 0, True), (0, 0, True), (1, 1, True), (9, 1, False), (9, 9, True), (12, 9, False), (20, 20, True), (20, 20, True), (30, 0, False)]
 
 
 def test_odd_tables(none, docs):

@@ -9,22 +9,26 @@ similarity that decides, and again with weight 1 + ln of its count if any shingl
 Banding: 48 bands of 8 registers. Texts that agree on a band, by either signature, share a group; at similarity 0.8 a pair
 misses all bands once in about 6,700 times, whatever repeats. Verification: Jaccard similarity of the sets of shingles (64-bit hashes), exactly, >= 0.8.
 
-Classes, without all pairs of a group: equal texts are one member. First every member of a group is verified against the
-group's first member only, and links are joined to components. Groups that share members make a crowd. In a crowd that
-still holds several components, the members outside its largest component meet all members of other components through
-an inverted index of shingles, which counts the shingles that two texts share for all pairs that share any; only links
-that join two components come out of it, one for each two components. So a group of copies costs one comparison a copy,
-and no link between texts of one crowd that would join two classes is lost. A crowd of over UNIT members is dealt to
-several tasks, each with a block of the members outside the largest component and a block of all.
-
-Scale: signatures are computed where texts are read. Bands, equal texts and pairs are shuffled as compact blobs by
-ranges of hashes; texts are shuffled once, compressed, to meet their pairs. Components are found by alternating star
-contractions of the links, as tables in the shared folder; the driver holds none of this.
+Classes, without all pairs of a group: equal texts are one member. In a task, the members of a group are verified against
+the task's first member of it only, and these first members against the first of all; links are joined to components.
+Groups that share members make a crowd. In a crowd that still holds several components, the members outside its largest
+component meet all members of other components through an inverted index of shingles, which counts the shingles that two
+texts share for all pairs that share any; only links that join two components come out of it, one for each two
+components. So a group of copies costs one comparison a copy, and no link between texts of one crowd that would join two
+classes is lost. A crowd of over UNIT members is dealt to several tasks, each with a block of the members outside the
+largest component and a block of all: n members, m of them outside, cost n * m / UNIT copies of their shingles. That is
+the price of exactness for texts that are many, alike enough to share bands, and not alike enough to be one class.
+
+Scale: signatures are computed where texts are read. A task sends a band's first member on, not all, so a band that a
+third of all texts share makes one entry a task. Texts are shuffled once, each distinct one of a task once and then each
+once, to meet their pairs. Components are found by alternating star contractions of the links, as tables in the shared
+folder; edges of hubs meet them by a broadcast of at most 2 * HUBS rows, others by a join. The driver holds none of this.
 
 Defined cases: words are runs between Unicode white space of the lower-cased text; a text of one to four words is one
 shingle; a null text or one without words is a class of its own; a null id counts as the smallest id (and is written
-back as null); repeated rows and equal ids give one row for each row, rows of one id share a class whatever their texts, and
-of several texts of one id the smallest in bytes is what is verified; an empty table gives an empty result; other columns are ignored.
+back as null); repeated rows and equal ids give one row for each row, and each text of an id is judged by itself: rows
+of one id are in one class only if their texts are; ids must be integers; an empty table gives an empty result; other
+columns are ignored. A text is told by 128 bits; of two whose first 64 agree (once in 2 ** 64 pairs) the second has no links.
 """
 
 from __future__ import annotations
@@ -34,12 +38,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import MULTIPLIER, mixed
 from .common import NULL_ID, lean, lean_after, narrow, pieces, saved, text_bytes
-from .repeats import ROW, by_document, by_print, documents, first_rows, gathered, heads, pack, packed_documents, rows, split, unpack, unpacked_documents
+from .repeats import ROW, by_print, dealt_by, first_rows, gathered, heads, pack, rows, split, unpack
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -48,7 +53,9 @@ BUCKET_BYTES = 16 << 20
 TAKEN = 500
 #: Members of a crowd that a task compares with as many others.
 UNIT = 2000
-BAND_ROWS, MEMBERS, PAIRS, TEXTS, GROUPS = range(5)
+#: Rows that share a key from which the key is a hub: the greater of these and a HUBS-th of all rows.
+HUB, HUBS = 10_000, 100_000
+BAND_ROWS, MEMBERS, PAIRS, TEXTS = range(4)
 
 
 # ---- shingles and signatures
@@ -120,33 +127,38 @@ def banded(docs: list[np.ndarray], bands: int, depth: int) -> tuple[np.ndarray,
 
 
 def _sign(buckets: int, words: int, bands: int, depth: int):
+    """Rows (doc_id, text, hash) as blobs of members and of their bands: the first member of each band of a batch goes on,
+    others are paired with it."""
+
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            band_of, key_of, id_of, members = [], [], [], []
-            for start in range(0, whole.num_rows, TAKEN):
-                ids, _, texts = documents(whole.slice(start, TAKEN))
-                found = [shingles(x, words) for x in texts]
-                keys = np.array([_key(x) for x in texts], np.uint64).reshape(-1, 2)
-                members.append((keys[:, 0], keys[:, 1], ids))
-                # Of equal texts of a task only the smallest id is signed.
-                order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
-                order = order[heads(keys[order, 0], keys[order, 1])]
-                order = order[[len(found[k]) > 0 for k in order]] if len(order) else order
-                if len(order):
-                    at, band = banded([found[k] for k in order], bands, depth)
-                    band_of.append(band)
-                    key_of.append(keys[order[at], 0])
-                    id_of.append(ids[order[at]])
-            out = []
+            if not whole.num_rows:
+                continue
+            band_of, key_of = [], []
+            ids = whole.column(0).to_numpy(zero_copy_only=False)
+            hashes = whole.column(2).to_numpy(zero_copy_only=False)
+            texts = [x or b"" for x in whole.column(1).cast(pa.binary()).to_pylist()]
+            keys = np.array([_key(x) for x in texts], np.uint64)
+            # Of equal texts of a batch only one is signed.
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            order = order[heads(keys[order, 0], keys[order, 1])]
+            order = order[(keys[order] != 0).any(1)]
+            for start in range(0, len(order), TAKEN):
+                some = order[start : start + TAKEN]
+                at, band = banded([shingles(texts[k], words) for k in some], bands, depth)
+                band_of.append(band)
+                key_of.append(keys[some[at], 0])
+            out = [(0, MEMBERS, pack(keys[:, 0], keys[:, 1], ids, hashes))]
             if band_of:
-                band, key, ids = (np.concatenate(x) for x in (band_of, key_of, id_of))
-                out += split(by_print(band, buckets), BAND_ROWS, [band, key, ids])
-            if members:
-                one, two, ids = (np.concatenate(x) for x in zip(*members, strict=True))
-                out += split(by_print(one, buckets), MEMBERS, [one, two, ids])
-            if out:
-                yield rows(out).to_batches()[0]
+                band, key = np.concatenate(band_of), np.concatenate(key_of)
+                sorted_ = np.lexsort((key, band))
+                band, key = band[sorted_], key[sorted_]
+                new = heads(band)
+                pair = ~new & (key != key[first_rows(new)])
+                out += [(0, PAIRS, pack(key[first_rows(new)][pair], key[pair]))] if pair.any() else []
+                out += split(by_print(band[new], buckets), BAND_ROWS, [band[new], key[new]])
+            yield rows(out).to_batches()[0]
             lean()
 
     return run
@@ -161,41 +173,71 @@ def _key(text: bytes) -> tuple[int, int]:
     return (h >> 64) | 1, h & (1 << 64) - 1
 
 
-# ---- groups and equal texts
+# ---- groups
 
 
-def _group():
-    """Of each bucket: for each document the smallest id with its words, and the groups of two texts or more."""
+def _group(table: pa.Table) -> pa.Table:
+    """Of each bucket: pairs of a band's first member with each other one."""
+    lean()
+    band, key = gathered(table, BAND_ROWS, ["<u8", "<u8"])
+    order = np.lexsort((key, band))
+    band, key = band[order], key[order]
+    first = key[first_rows(heads(band))] if len(key) else key
+    some = np.unique(np.stack([first, key], 1)[first != key], axis=0) if len(key) else np.zeros((0, 2), np.uint64)
+    return pa.table([pa.array(np.ascontiguousarray(some[:, k]).view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
-    def run(table: pa.Table) -> pa.Table:
-        lean()
-        out = []
-        one, two, ids = gathered(table, MEMBERS, ["<u8", "<u8", "<i8"])
-        if len(one):
-            order = np.lexsort((ids, two, one))
-            one, two, ids = one[order], two[order], ids[order]
-            least = np.where((one == 0) & (two == 0), ids, ids[first_rows(heads(one, two))])
-            out.append((0, MEMBERS, pa.array(ids).to_numpy(), least))
-        band, key, ids = gathered(table, BAND_ROWS, ["<u8", "<u8", "<i8"])
-        if len(band):
-            order = np.lexsort((ids, key, band))
-            band, key, ids = band[order], key[order], ids[order]
-            new = heads(band, key)
-            band, ids = band[new], ids[new]
-            start = heads(band)
-            size = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1]
-            many = size > 1
-            order = np.lexsort((ids[many], band[many]))
-            out.append((0, GROUPS, band[many][order].view(np.int64), ids[many][order]))
-        return pa.table(
-            [pa.array(np.concatenate([np.full(len(x[2]), x[1], np.int32) for x in out]) if out else [], pa.int32())]
-            + [pa.array(np.concatenate([x[k] for x in out]) if out else [], pa.int64()) for k in (2, 3)],
-            names=["kind", "a", "b"],
-        )
+
+def _unpacked(kinds: list[str], names: list[str]):
+    """Blobs back to rows of signed 64-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in unpack(payload, kinds)], names)
 
     return run
 
 
+# ---- texts
+
+
+def _pack_texts(buckets: int):
+    """Texts by bucket of their member, each once a task."""
+
+    @lean_after
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            members, made = [], []
+            for x in batch.column(1).cast(pa.binary()).to_pylist():
+                one = _key(x)[0] if x else 0
+                if one and one not in seen:
+                    seen.add(one)
+                    members.append(one)
+                    made.append(packer.compress(x))
+            members = np.array(members, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(by_print(members, buckets)), pa.array(members.view(np.int64)), pa.array(made, pa.binary())], ["bucket", "member", "payload"])
+
+    return run
+
+
+def packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, member and compressed text of each member, grouped by bucket."""
+    made = docs.mapInArrow(_pack_texts(buckets), "bucket int, member long, payload binary").repartitionById(buckets, "bucket")
+    return made.groupBy("bucket", "member").agg(F.first("payload").alias("payload")).groupBy("bucket")
+
+
+def texts_of(table: pa.Table, wanted: set[int]) -> dict[int, bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    found = {}
+    members, payloads = table.column("member"), table.column("payload")
+    for k, m in enumerate(members.to_pylist()):
+        if m in wanted:
+            found[m] = unpacker.decompress(payloads[k].as_py())
+    return found
+
+
 # ---- verification
 
 
@@ -207,13 +249,8 @@ def _fetch_texts(buckets: int):
         a, b = _pairs_of(right)
         out = []
         if len(a):
-            wanted = set(a.tolist())
-            texts = {}
-            for part in unpacked_documents(left):
-                for i, _, x in zip(*documents(part), strict=True):
-                    if (i := int(i)) in wanted and x:
-                        texts[i] = min(x, texts.get(i, x))
-            to = by_document(b, buckets)
+            texts = texts_of(left, set(a.tolist()))
+            to = by_print(b.view(np.uint64), buckets)
             out = split(to, PAIRS, [a, b])
             for bucket in np.unique(to).tolist():
                 some = np.unique(a[to == bucket]).tolist()
@@ -255,12 +292,7 @@ def _verify(words: int, least: float):
             a, b = a[order], b[order]
             new = heads(a, b)
             a, b = a[new], b[new]
-            wanted, sets = set(b.tolist()), {}
-            for part in unpacked_documents(left):
-                for i, _, x in zip(*documents(part), strict=True):
-                    if (i := int(i)) in wanted and x:
-                        sets.setdefault(i, []).append(x)
-            sets = {i: np.unique(shingles(min(x), words)) for i, x in sets.items()}
+            sets = {i: np.unique(shingles(x, words)) for i, x in texts_of(left, set(b.tolist())).items()}
             at = np.flatnonzero(np.r_[heads(a), True])
             place = {int(a[s]): (s, e) for s, e in zip(at[:-1], at[1:], strict=True)}
             seen = set()
@@ -286,19 +318,18 @@ def _verify(words: int, least: float):
     return run
 
 
-def verified(packed: DataFrame, pairs: DataFrame, buckets: int, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) that are similar; saved in the shared folder."""
-    deal = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+def verified(packed, pairs: DataFrame, buckets: int, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) that are similar; saved in the shared folder. packed: texts grouped by bucket."""
     keyed = pairs.mapInArrow(_with_bucket(buckets), "bucket int, a long, b long")
-    moved = deal(packed).cogroup(deal(keyed)).applyInArrow(_fetch_texts(buckets), ROW)
-    return saved(deal(packed).cogroup(deal(moved)).applyInArrow(_verify(words, least), "a long, b long"), "links")
+    moved = packed.cogroup(dealt_by(keyed, buckets)).applyInArrow(_fetch_texts(buckets), ROW)
+    return saved(packed.cogroup(dealt_by(moved, buckets)).applyInArrow(_verify(words, least), "a long, b long"), "links")
 
 
 def _with_bucket(buckets: int):
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(by_document(x.column(0).to_numpy(), buckets)), x.column(0), x.column(1)], ["bucket", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(by_print(x.column(0).to_numpy().view(np.uint64), buckets)), x.column(0), x.column(1)], ["bucket", "a", "b"])
 
     return run
 
@@ -334,11 +365,7 @@ def _fetch_sets(words: int, buckets: int):
         if not right.num_rows:
             return rows([])
         unit, side, member, root = (right.column(x).to_numpy() for x in ("unit", "side", "member", "root"))
-        wanted, texts = set(member.tolist()), {}
-        for part in unpacked_documents(left):
-            for i, _, x in zip(*documents(part), strict=True):
-                if (i := int(i)) in wanted and x:
-                    texts[i] = min(x, texts.get(i, x))
+        texts = texts_of(left, set(member.tolist()))
         out = []
         to = by_print(unit.view(np.uint64), buckets)
         for bucket in np.unique(to).tolist():
@@ -403,41 +430,51 @@ def joining(members: list[tuple[int, int, int, np.ndarray]], least: float) -> li
     return list(found.values())
 
 
-def rejoined(packed: DataFrame, members: DataFrame, buckets: int, words: int, least: float) -> DataFrame:
+def rejoined(packed, members: DataFrame, buckets: int, words: int, least: float) -> DataFrame:
     """Links that join components of a crowd; saved in the shared folder."""
-    deal = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
 
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(by_document(x.column(2).to_numpy(), buckets)), *x.columns], ["bucket", *x.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(by_print(x.column(2).to_numpy().view(np.uint64), buckets)), *x.columns], ["bucket", *x.schema.names])
 
     keyed = members.mapInArrow(run, "bucket int, unit long, side int, member long, root long")
-    sets = deal(packed).cogroup(deal(keyed)).applyInArrow(_fetch_sets(words, buckets), ROW)
-    return saved(deal(sets).applyInArrow(_link_units(least), "a long, b long"), "links")
+    sets = packed.cogroup(dealt_by(keyed, buckets)).applyInArrow(_fetch_sets(words, buckets), ROW)
+    return saved(dealt_by(sets, buckets).applyInArrow(_link_units(least), "a long, b long"), "links")
 
 
 # ---- components
 
 
+def by_hubs(big: DataFrame, small: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined with small, which has a row for each key and ``n``, how many rows of big have it. Rows of hubs, of which
+    there are at most HUBS among ``total`` rows, meet them by broadcast; so no task gets all rows of a key."""
+    hub = max(HUB, total // HUBS)
+    hubs = small.where(F.col("n") > hub).drop("n")
+    cold = big.join(F.broadcast(hubs.select(key)), key, "left_anti").join(small.where(F.col("n") <= hub).drop("n"), key, how)
+    return cold.unionByName(big.join(F.broadcast(hubs), key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) for each node that isn't a root, by alternating star contractions.
 
-    Each step points every node at the smallest node near it; it ends when a step changes nothing. Hubs are handled by
-    partial minima before the shuffle; no component is gathered in one place.
+    Each step points every node at the smallest node near it; it ends when a step changes nothing. Minima are taken by
+    partial aggregation, and edges of hubs learn them by broadcast; no component is gathered in one place.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = _sum(edges)
     while True:
+        total = 2 * before[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = saved(by_hubs(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = by_hubs(large, least, "u", total)
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = saved(small, "edges")
-        if _sum(after) == _sum(edges):
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        edges = saved(small, "edges")
+        if (after := _sum(edges)) == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = after
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -448,28 +485,36 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row for each document: doc_id and class_id, the smallest id of its class."""
+    """One row for each document: doc_id, class_id (the smallest id of its class), text_hash (Spark's xxhash64 of the text,
+    null as empty) and first: whether it is the class's first row by doc_id and text_hash (equal rows are so together)."""
     whole = narrow(docs, id_col, text_col)
     kind = whole.schema["doc_id"].dataType
-    whole = whole.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    text = F.coalesce("text", F.lit(""))
+    whole = whole.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     buckets = pieces(text_bytes(whole), bucket_bytes)
-    packed = packed_documents(whole, buckets)
-    signed = whole.mapInArrow(_sign(buckets, words, bands, depth), ROW)
-    found = saved(signed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_group(), "kind int, a long, b long"), "groups")
-    members = found.where(F.col("kind") == MEMBERS).select(F.col("a").alias("doc_id"), F.col("b").alias("member"))
-    groups = found.where(F.col("kind") == GROUPS).select(F.col("a").alias("band"), F.col("b").alias("member"))
-
-    first = groups.groupBy("band").agg(F.min("member").alias("a"))
-    pairs = groups.join(first, "band").where("member <> a").select("a", F.col("member").alias("b")).distinct()
-    # Rows of one id share a class, whatever their texts.
-    several = members.groupBy("doc_id").agg(F.min("member").alias("one"), F.max("member").alias("two")).where("one <> two").select("doc_id")
-    same = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("member").alias("b"))
-    links = verified(packed, pairs, buckets, words, least).union(same)
-    roots = components(links)
+    packed = packed_texts(whole, buckets)
+    signed = saved(whole.mapInArrow(_sign(buckets, words, bands, depth), ROW), "signed")
+    blobs = lambda k, kinds, names: signed.where(F.col("kind") == k).select("payload").mapInArrow(_unpacked(kinds, names), ", ".join(f"{x} long" for x in names))
 
+    grouped = dealt_by(signed.where(F.col("kind") == BAND_ROWS), buckets).applyInArrow(_group, "a long, b long")
+    pairs = saved(grouped.union(blobs(PAIRS, ["<u8", "<u8"], ["a", "b"])).distinct(), "pairs")
+    roots = components(verified(packed, pairs, buckets, words, least))
     more = rejoined(packed, open_members(pairs, roots), buckets, words, least)
     if more.take(1):
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    found = members.join(roots, members.member == roots.node, "left").select("doc_id", F.coalesce("root", "member").alias("class_id"))
-    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).cast(kind).alias(c)
-    return found.select(null("doc_id"), null("class_id"))
+
+    # Members with their smallest row, then classes with theirs; a text without words is no member.
+    every = blobs(MEMBERS, ["<u8", "<u8", "<i8", "<i8"], ["member", "two", "doc_id", "hash"])
+    row = F.struct("doc_id", "hash")
+    known = saved(every.groupBy("member", "two").agg(F.min(row).alias("least"), F.count("*").alias("n")), "members")
+    alone = known.groupBy("member").agg(F.min("two").alias("two"))
+    known = known.join(alone, ["member", "two"], "left_semi").where("member <> 0 or two <> 0")
+    rooted = known.join(roots.select(F.col("node").alias("member"), "root"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    classes = rooted.groupBy("root").agg(F.min("least").alias("class"), F.count("*").alias("n"))
+    total = docs.count()
+    of = by_hubs(rooted.select("member", "two", F.col("n").alias("rows"), "root"), classes, "root", total)
+    of = saved(of.select(F.struct("member", "two").alias("key"), F.col("rows").alias("n"), "class"), "classes")
+    found = by_hubs(every.select(F.struct("member", "two").alias("key"), "doc_id", "hash"), of, "key", total, "left")
+    found = found.withColumn("class", F.coalesce("class", row))
+    null = lambda c: F.when(c != NULL_ID, c).cast(kind)
+    return found.select(null(F.col("doc_id")).alias("doc_id"), null(F.col("class.doc_id")).alias("class_id"), F.col("hash").alias("text_hash"), (row == F.col("class")).alias("first"))

@@ -47,7 +47,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

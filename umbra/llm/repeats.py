@@ -34,7 +34,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = [np.array([len(arrays), len(arrays[0])], "<u4").tobytes()]
     for a in arrays:
         out.append(bytes([a.dtype.itemsize]))
-        out.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
+        out.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
