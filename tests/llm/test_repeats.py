@@ -59,7 +59,7 @@ def shared(docs):
     return docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(7), rows
 
 
-@pytest.mark.parametrize(("bucket_bytes", "period", "crowd"), [(suffixes.BUCKET_BYTES, 73, 64), (30_000, 73, 64), (30_000, 73, 2), (60_000, 91, 0), (60_000, 70, 5)])
+@pytest.mark.parametrize(("bucket_bytes", "period", "crowd"), [(suffixes.BUCKET_BYTES, 57, 64), (30_000, 57, 64), (30_000, 57, 2), (60_000, 73, 0), (60_000, 70, 5)])
 def test_bytes_against_brute_force(shared, bucket_bytes, period, crowd):
     """Also with crowds of three and of all: every way of deciding gives the same."""
     df, rows = shared

@@ -1,13 +1,14 @@
 """Suffix-array dedup: blockwise sorting of suffixes with a difference cover.
 
-Places whose number, modulo the period of 73, is in a perfect difference cover (9 of 73) are the sample: for any two
+Places whose number, modulo the period of 57, is in a perfect difference cover (8 of 57) are the sample: for any two
 places in two documents some offset below the period puts both into the sample. So of two equal strings of 100 bytes,
-the 28 bytes from such an offset on begin two sampled suffixes.
+the 44 bytes from such an offset on begin two sampled suffixes.
 
-1. Blocks: sampled suffixes are dealt by ranges of their first bytes. One block at a time is sorted, by the first 28
-   bytes, and suffixes that are tied with another get their rank; an untied suffix goes no further.
+1. Blocks: sampled suffixes are dealt by ranges of their first bytes. One block at a time is sorted, by the first 8 bytes
+   and then by the class of the 36 after these; suffixes that are tied with another get their rank, and an untied suffix
+   goes no further.
 2. Long ties: suffixes of one rank are compared by the class of all that surrounds them within reach of a string of 100
-   bytes (72 bytes before, 100 after), which was computed when the sample was ranked. A suffix whose class occurs earlier
+   bytes (56 bytes before, 100 after), which was computed when the sample was ranked. A suffix whose class occurs earlier
    is settled, without reading texts again. What is left of a rank with several classes is undecided: there a repeated
    passage begins or ends.
 3. Undecided suffixes fetch these bytes and are compared within their rank, a block of ranks at a time; where a rank has
@@ -18,8 +19,8 @@ Memory: a task holds a chunk of documents or a block, of about ``bucket_bytes``
 once, however often it has it (see ``repeats``). A rank that over ``crowd`` chunks have is dealt by class too, so a
 passage that a third of all documents share, with whatever around it, doesn't gather in one task.
 
-Beyond its first 28 bytes a suffix is ordered by class, not by its bytes: the order decides nothing but who meets whom.
-Prefixes are compared as bytes. Classes are 64-bit fingerprints within an equal prefix, strings of crowds have 128 bits.
+Beyond its first 8 bytes a suffix is ordered by classes (64-bit fingerprints), not by its bytes: that order decides nothing
+but who meets whom. Strings of crowds are compared by 128 bits, all others as bytes or by classes within equal first bytes.
 
 Defined cases: a null text is empty; texts of fewer than ``length`` bytes lose nothing; rows that share id and text get
 equal results and don't remove each other's bytes; rows that share only the id follow each other in the order of a
@@ -39,16 +40,12 @@ from . import anchors as A
 from . import repeats as R
 from .common import lean, narrow, pieces, text_bytes
 
-LENGTH, PERIOD, CROWD = 100, 73, 64
+LENGTH, PERIOD, CROWD = 100, 57, 64
 BUCKET_BYTES = 8 << 20
 #: Bytes of text from which the limits of blocks are taken, and prefixes taken from it.
 SAMPLED_BYTES, SAMPLED = 64 << 20, 1 << 20
 #: Kinds of rows. ENTRIES: sampled suffixes, then undecided ones; RANGES: repeated bytes.
 ENTRIES, RANGES, CONTEXTS, WINDOWS = range(4)
-#: A prefix as four big-endian numbers, the last of which is filled up with zeros.
-WIDTH = 32
-
-
 @dataclass(frozen=True)
 class Plan:
     length: int
@@ -74,58 +71,71 @@ class Plan:
 # ---- step 1: blocks of sampled suffixes
 
 
-def sampled(texts: list[bytes], length: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document and place of all sampled suffixes, and their prefixes (rows of WIDTH bytes)."""
-    prefix = length - period + 1
-    which, places, made = [], [], [np.zeros((0, WIDTH), np.uint8)]
-    for k, text in enumerate(texts):
-        if len(text) >= length:
-            at = A.positional(len(text) - prefix + 1, period)
-            rows = np.zeros((len(at), WIDTH), np.uint8)
-            rows[:, :prefix] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), prefix)[at]
-            which.append(np.full(len(at), k))
-            places.append(at)
-            made.append(rows)
-    return np.concatenate([np.zeros(0, int), *which]), np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate(made)
+class Suffixes:
+    """The sampled suffixes of some documents. Documents stand in one array, 0xFF (in no UTF-8 text) between them."""
 
-
-def keys(prefixes: np.ndarray) -> list[np.ndarray]:
-    """Prefixes as numbers of the same order."""
-    return [x.astype("<u8") for x in np.ascontiguousarray(prefixes).view(">u8").reshape(-1, WIDTH // 8).T]
+    def __init__(self, texts: list[bytes], length: int, period: int):
+        self.prefix = length - period + 1
+        edge = b"\xff" * length
+        sizes = np.array([len(x) for x in texts], np.int64)
+        self.data = np.frombuffer(edge + edge.join(texts) + edge + edge, np.uint8)
+        self.begins = length + np.concatenate([[0], np.cumsum(sizes + length)])[: len(texts)]
+        some = np.flatnonzero(sizes >= length)
+        last = sizes[some] - self.prefix + 1
+        local = np.arange(int(last.sum())) - np.repeat(np.cumsum(last) - last, last)
+        chosen = np.flatnonzero(np.isin(np.arange(period), A.positional(period, period))[local % period])
+        self.which = np.repeat(some, last)[chosen]
+        self.at = local[chosen]
+        self.head = self.word(0).view(">u8").astype("<u8")
+        self.tail = self.classes(8, self.prefix)
+
+    def word(self, offset: int, some=slice(None)) -> np.ndarray:
+        """The 8 bytes at an offset from each suffix."""
+        found = np.lib.stride_tricks.sliding_window_view(self.data, 8)[self.begins[self.which[some]] + self.at[some] + offset]
+        return np.ascontiguousarray(found).view("<u8").reshape(-1)
+
+    def classes(self, start: int, end: int, some=slice(None)) -> np.ndarray:
+        """Fingerprints of the bytes between two offsets, at least 8 apart."""
+        out = A.mixed(self.word(start, some))
+        for offset in [*range(start + 8, end - 7, 8), end - 8]:
+            out = A.joined(out, self.word(offset, some))
+        return out
+
+
+def together(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Pairs of numbers as bytes of the same order."""
+    return np.stack([head, tail], 1).astype(">u8").view("S16").reshape(-1)
 
 
 def block_limits(docs: DataFrame, length: int, period: int, total_bytes: int, buckets: int) -> np.ndarray:
-    """Prefixes that cut the sampled suffixes into blocks of like size, from a bounded sample of documents. Limits decide
+    """Beginnings that cut the sampled suffixes into blocks of like size, from a bounded sample of documents. Limits decide
     how even blocks are, and nothing else."""
     share = min(1.0, SAMPLED_BYTES / max(total_bytes, 1))
-    thin = max(1, int(total_bytes * share) * 9 // 73 // SAMPLED)
+    thin = max(1, int(total_bytes * share) // 7 // SAMPLED)
 
     def run(batches):
         for batch in batches:
-            _, _, texts = R.documents(batch)
-            _, _, prefixes = sampled(texts, length, period)
-            some = A.mixed(keys(prefixes)[0] + keys(prefixes)[1]) % np.uint64(16 * thin) == 0
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in prefixes[some]], pa.binary())], ["prefix"])
+            found = Suffixes(R.documents(batch)[2], length, period)
+            some = A.mixed(found.tail) % np.uint64(16 * thin) == 0
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in together(found.head[some], found.tail[some])], pa.binary())], ["start"])
 
     if buckets == 1:
-        return np.zeros(0, f"S{WIDTH}")
-    found = docs.select("doc_id", "text").where(F.rand(7) < share).mapInArrow(run, "prefix binary").distinct()
-    some = np.sort(np.array([bytes(r.prefix) for r in found.collect()], f"S{WIDTH}"))
+        return np.zeros(0, "S16")
+    found = docs.select("doc_id", "text").where(F.rand(7) < share).mapInArrow(run, "start binary").distinct()
+    some = np.sort(np.array([bytes(r.start) for r in found.collect()], "S16"))
     return np.unique(some[(np.arange(1, buckets) * len(some)) // buckets]) if len(some) else some
 
 
-def classes(plan: Plan, texts: list[bytes]):
-    """Document, place and class of each sampled suffix of a chunk; for each class its prefix, its count, and its block."""
-    which, at, prefixes = sampled(texts, plan.length, plan.period)
-    by = keys(prefixes)
-    order = np.lexsort(by[::-1])
-    by = [x[order] for x in by]
-    new = R.heads(*by)
+def blocks(plan: Plan, found: Suffixes):
+    """The class of each sampled suffix of a chunk; the beginnings and counts of classes, and where each block starts."""
+    order = np.lexsort((found.tail, found.head))
+    head, tail = found.head[order], found.tail[order]
+    new = R.heads(head, tail)
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(new) - 1
-    some = prefixes[order[new]]
-    starts = np.searchsorted(np.ascontiguousarray(some).view(f"S{WIDTH}").reshape(-1), plan.limits) if len(some) else np.zeros(len(plan.limits), int)
-    return which, at, own, [x[new] for x in by], np.bincount(own, minlength=int(new.sum())), np.r_[0, starts, len(some)]
+    head, tail = head[new], tail[new]
+    starts = np.searchsorted(together(head, tail), plan.limits) if len(head) else np.zeros(len(plan.limits), int)
+    return own, head, tail, np.bincount(own, minlength=len(head)), np.r_[0, starts, len(head)]
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -140,25 +150,25 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.array(ids, np.int64), np.array(salts, np.uint32), texts
 
 
-ASKED, RANKED = ["<u8", "<u8", "<u8", "<u8", "u1"], ["<u4", "<u4", "u1"]
+ASKED, RANKED = ["<u8", "<u8", "u1"], ["<u4", "<u4", "u1"]
 
 
 def _ask(plan: Plan):
-    """A chunk's prefixes, once each, in order, to their blocks."""
+    """A chunk's beginnings of suffixes, once each, in order, to their blocks."""
 
     def run(left: pa.Table) -> pa.Table:
         lean()
-        _, _, _, by, counts, starts = classes(plan, _texts(left)[2])
+        _, head, tail, counts, starts = blocks(plan, Suffixes(_texts(left)[2], plan.length, plan.period))
         chunk = left.column("bucket")[0].as_py()
         several = (counts > 1).astype(np.uint8)
-        found = [(k, chunk, R.pack(*(x[a:b] for x in (*by, several)))) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a]
+        found = [(k, chunk, R.pack(*(x[a:b] for x in (head, tail, several)))) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a]
         return R.rows(found)
 
     return run
 
 
 def _rank(plan: Plan):
-    """Sorts a block; tied prefixes get ranks, which go back to the chunks as (place in the question, rank, crowded)."""
+    """Sorts a block; tied beginnings get ranks, which go back to the chunks as (place in the question, rank, crowded)."""
 
     def run(table: pa.Table) -> pa.Table:
         lean()
@@ -198,23 +208,18 @@ def _entries(plan: Plan):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         ids, salts, texts = _texts(left)
-        which, at, own, by, _, starts = classes(plan, texts)
-        rank, crowded = np.zeros(len(by[0]), np.uint64), np.zeros(len(by[0]), np.uint8)
+        found = Suffixes(texts, plan.length, plan.period)
+        own, head, _, _, starts = blocks(plan, found)
+        rank, crowded = np.zeros(len(head), np.uint64), np.zeros(len(head), np.uint8)
         for block, payload in zip(right.column("kind").to_pylist(), right.column("payload").to_pylist(), strict=True):
             place, number, crowd = R.unpack(payload, RANKED)
             rank[starts[block] + place] = number.astype(np.uint64) + (np.uint64(block) << np.uint64(32)) + np.uint64(1)
             crowded[starts[block] + place] = crowd
         some = np.flatnonzero(rank[own] > 0)
-        which, at, own = which[some], at[some], own[some]
+        which, at, own = found.which[some], found.at[some], own[some]
         out: list[tuple] = []
         sizes = np.array([len(x) for x in texts], np.int64)
-        wanted = np.unique(which)
-        prints = np.zeros(len(which), np.uint64)
-        for a, b in A.chunked(sizes[wanted].tolist(), plan.length):
-            values, begins = A.padded([byte_values(texts[k]) for k in wanted[a:b]], plan.length)
-            here = slice(*np.searchsorted(which, [wanted[a], wanted[b - 1] + 1]))
-            base = begins[np.searchsorted(wanted[a:b], which[here])]
-            prints[here] = A.Fingerprints(values, plan.context).at(base + at[here] - plan.before, plan.context)
+        prints = found.classes(-plan.before, plan.length, some)
         held = [rank[own], prints, ids[which], salts[which], at.astype(np.uint32), sizes[which].astype(np.uint32), crowded[own]]
         known, held = _settled(*held)
         out += _surroundings(plan, *(x[known] for x in held[2:6]))
@@ -400,8 +405,8 @@ def _kept(text: bytes, spans: list[list[int]]) -> tuple:
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, period: int = PERIOD, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte ranges), kept (the bytes left)."""
-    if not 4 <= length - period + 1 <= WIDTH:
-        raise ValueError(f"the period must leave a prefix of 4 to {WIDTH} bytes of the length")
+    if length - period + 1 < 16:
+        raise ValueError("the period must leave a beginning of 16 bytes or more of the length")
     rows = narrow(docs, id_col, text_col)
     total = text_bytes(rows)
     n = pieces(total, bucket_bytes)
