@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from umbra.llm import quality
 
+from .conftest import prose
 from .test_neardup import brute_classes
 from .test_repeats import brute_words
 from .test_rows import brute_hits
@@ -41,6 +42,18 @@ def test_near_duplicates(stages):
     assert set(rows[2]) == set(want.values())
 
 
+def test_each_text_of_an_id_is_judged(spark):
+    a, b, c, d = (prose(k, 80) for k in (1, 2, 3, 4))
+    rows = [(None, a), (5, a), (None, b), (9, b), (7, c), (7, d), (7, d), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.near_duplicate_stage(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(0, a), (0, b), (7, c), (7, d), (8, ""), (0, "")])
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("length(text) > 100").first().text
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in [(None, a), (None, bench), (3, bench), (3, b)]], docs.schema)
+    out = cp.decontamination_stage(spark, docs, "/root/testdata/sf0.001")
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, a), (3, b)])
+
+
 def test_substrings(stages):
     rows, _ = stages
     want = {d: (n, gone, kept) for d, n, gone, kept in brute_words([(r.doc_id, r.text) for r in rows[2].values()])}

@@ -46,6 +46,11 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def text_hash() -> Column:
+    """Tells rows apart that share an id but not the text; null is empty."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def text_bytes(df: DataFrame, text: Column | str = "text") -> int:
     """UTF-8 bytes of a text column, summed on the executors."""
     return df.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long")).first()[0]

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_after, narrow, pieces, saved, scratch, text_bytes
+from .common import lean_after, narrow, pieces, saved, scratch, text_bytes, text_hash
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
@@ -161,14 +161,14 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
     window: int = WINDOW, one_in: int = 20, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document: n_words, n_hit, item_ids (sorted as strings), spans (hit word ranges),
+    """One row per document: text_hash (which tells texts of one id apart), n_words, n_hit, item_ids (sorted as strings), spans (hit word ranges),
     contaminated (n_hit > 0 and one_in * n_hit >= n_words)."""
-    rows = narrow(docs, id_col, text_col)
+    rows = narrow(docs, id_col, text_col).select("*", text_hash())
     kind = rows.schema["doc_id"].dataType.simpleString()
     path, blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    out = rows.mapInArrow(_scan(path, blocks, window), f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    out = rows.mapInArrow(_scan(path, blocks, window), f"doc_id {kind}, text_hash long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.col("items").alias("item_ids"), "spans").withColumn(
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.col("items").alias("item_ids"), "spans", "text_hash").withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words"))
     )
 
@@ -191,7 +191,7 @@ def _scan(path: str, blocks: int, window: int):
                         ranges[i][1].update(items)
         for batch, ranges, n in zip(held, found, counts, strict=True):
             spans = [[{"start": a, "end": b} for a, b in merged(x)] for x, _ in ranges]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, spans_kind), pa.array([sorted(x) for _, x in ranges], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(spans, spans_kind), pa.array([sorted(x) for _, x in ranges], pa.list_(pa.string()))], ["doc_id", "text_hash", "n_words", "spans", "items"])
 
     @lean_after
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_after, narrow, saved
+from .common import lean_after, narrow, saved, text_hash
 
 DIM = 256
 SUMS = 32
@@ -73,8 +73,8 @@ def describe(text: bytes) -> list[float]:
 
 
 def features(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id and x, the statistics."""
-    rows = narrow(docs, id_col, text_col)
+    """doc_id, text_hash (which tells texts of one id apart) and x, the statistics."""
+    rows = narrow(docs, id_col, text_col).select("*", text_hash())
 
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +82,9 @@ def features(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
                 x = [describe(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "text_hash", "x"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, x array<double>")
 
 
 def remainder(column: str) -> Column:
@@ -182,21 +182,21 @@ def fit(x: DataFrame, labels: DataFrame, *, id_col="doc_id", label_col="quality"
 
 
 def score(x: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id and score (0 to 1)."""
+    """doc_id, text_hash and score (0 to 1)."""
     sent = x.sparkSession.sparkContext.broadcast(model)
 
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sent.value
         for batch in batches:
-            s = made.score(_matrix(batch.column(1))) if made and batch.num_rows else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            s = made.score(_matrix(batch.column(2))) if made and batch.num_rows else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], ["doc_id", "text_hash", "score"])
 
-    return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double")
+    return x.select("doc_id", "text_hash", "x").mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, text_hash long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="quality", threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """doc_id, held_out (crc32 of the id as text divisible by 5; not learnt from), score, predicted."""
+    """doc_id, held_out (crc32 of the id as text divisible by 5; not learnt from), score, predicted, text_hash."""
     x = saved(features(docs, id_col=id_col, text_col=text_col), "features")
     model = fit(x, labels, id_col=label_id_col, label_col=label_col, train=remainder("doc_id") != 0)
-    return score(x, model).select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(x, model).select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
