@@ -22,25 +22,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ids (unique); a null id counts as an id."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose id and text are among the kept (doc_id, text_hash); a null id counts as an id."""
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("kept_hash"))
+    return docs.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")), same, "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     scored = quality.classify(docs, _table(spark, sf_dir, "labels"), threshold=0.3)
-    return _only(docs, scored.where("predicted = 1").select("doc_id").distinct())
+    return _only(docs, scored.where("predicted = 1"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the smallest id. Documents without words all stay, but
-    of rows that share an id one stays."""
+    """One document of each class of near duplicates, that with the smallest id. Documents without words all stay; of rows
+    that share id and text one stays."""
     found = neardup.near_duplicates(docs)
-    out = _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct())
-    # Ids are meant to be unique; texts are dealt by id only where some aren't.
-    repeated = docs.groupBy("doc_id").count().where("count > 1").take(1)
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    out = _only(docs, found.where("first"))
+    # Rows are meant to be unique; texts are dealt by id only where some aren't.
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").take(1)
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
     found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where(~F.col("contaminated")).select("doc_id").distinct())
+    return _only(docs, found.where(~F.col("contaminated")))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
