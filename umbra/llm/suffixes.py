@@ -4,19 +4,20 @@ Places whose number, modulo the period of 57, is in a perfect difference cover (
 places in two documents some offset below the period puts both into the sample. So of two equal strings of 100 bytes,
 the 44 bytes from such an offset on begin two sampled suffixes.
 
-1. Blocks: sampled suffixes are dealt by ranges of their first bytes. One block at a time is sorted, by the first 8 bytes
-   and then by the class of the 36 after these; suffixes that are tied with another get their rank, and an untied suffix
-   goes no further.
-2. Long ties: suffixes of one rank are compared by the class of all that surrounds them within reach of a string of 100
-   bytes (56 bytes before, 100 after), which was computed when the sample was ranked. A suffix whose class occurs earlier
-   is settled, without reading texts again. What is left of a rank with several classes is undecided: there a repeated
-   passage begins or ends.
-3. Undecided suffixes fetch these bytes and are compared within their rank, a block of ranks at a time; where a rank has
+1. Chunks of documents ask which of the 44 bytes at their sampled places occur elsewhere, by 4-byte tags within a range of
+   fingerprints (a question costs 3 bytes; one in some thousand answers says yes to a suffix that is alone, at any size).
+   A suffix that is alone goes no further.
+2. Blocks: the others are dealt by ranges of their first bytes. One block at a time is sorted, by the first 8 bytes, then
+   by the class of the 36 after these. Long ties are resolved by the class of all that surrounds a suffix within reach of
+   a string of 100 bytes (56 bytes before, 100 after), computed when the sample was taken. A suffix whose class occurs
+   earlier is settled, without reading texts again. What is left of a tie with several classes is undecided: there a
+   repeated passage begins or ends.
+3. Undecided suffixes fetch these bytes and are compared within their tie, a block of ties at a time; where a tie has
    over ``crowd`` classes, the strings of 100 bytes around them are compared instead, dealt over all tasks.
 4. Ranges meet their documents.
 
 Memory: a task holds a chunk of documents or a block, of about ``bucket_bytes`` of text, and a chunk asks about a prefix
-once, however often it has it (see ``repeats``). A rank that over ``crowd`` chunks have is dealt by class too, so a
+once, however often it has it (see ``repeats``). A tie that over ``crowd`` chunks have is dealt by class, so a
 passage that a third of all documents share, with whatever around it, doesn't gather in one task.
 
 Beyond its first 8 bytes a suffix is ordered by classes (64-bit fingerprints), not by its bytes: that order decides nothing
@@ -126,16 +127,18 @@ def block_limits(docs: DataFrame, length: int, period: int, total_bytes: int, bu
     return np.unique(some[(np.arange(1, buckets) * len(some)) // buckets]) if len(some) else some
 
 
-def blocks(plan: Plan, found: Suffixes):
-    """The class of each sampled suffix of a chunk; the beginnings and counts of classes, and where each block starts."""
-    order = np.lexsort((found.tail, found.head))
-    head, tail = found.head[order], found.tail[order]
-    new = R.heads(head, tail)
+def tagged(found: Suffixes, buckets: int):
+    """The question of each suffix (a class of its first bytes); the questions in order, with how often each is asked, and
+    where the ranges of fingerprints start."""
+    keys = A.joined(found.head, found.tail)
+    # Ranges are taken from the upper half of a mixed key (see by_print), tags from the lower half of the key.
+    to = R.by_print(keys, buckets)
+    order = np.lexsort((keys & np.uint64(0xFFFFFFFF), to))
+    tags, to = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), to[order]
+    new = R.heads(to, tags)
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(new) - 1
-    head, tail = head[new], tail[new]
-    starts = np.searchsorted(together(head, tail), plan.limits) if len(head) else np.zeros(len(plan.limits), int)
-    return own, head, tail, np.bincount(own, minlength=len(head)), np.r_[0, starts, len(head)]
+    return own, tags[new], np.bincount(own, minlength=int(new.sum())), np.searchsorted(to[new], np.arange(buckets + 1))
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -150,101 +153,112 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.array(ids, np.int64), np.array(salts, np.uint32), texts
 
 
-ASKED, RANKED = ["<u8", "<u8", "u1"], ["<u4", "<u4", "u1"]
+ASKED, ANSWERED = ["<u4", "u1"], ["u1"]
+ALONE, TIED, CROWDED = range(3)
 
 
 def _ask(plan: Plan):
-    """A chunk's beginnings of suffixes, once each, in order, to their blocks."""
+    """A chunk's tags, once each, in order, with whether it has one several times."""
 
     def run(left: pa.Table) -> pa.Table:
         lean()
-        _, head, tail, counts, starts = blocks(plan, Suffixes(_texts(left)[2], plan.length, plan.period))
+        _, tags, counts, starts = tagged(Suffixes(_texts(left)[2], plan.length, plan.period), plan.buckets)
         chunk = left.column("bucket")[0].as_py()
         several = (counts > 1).astype(np.uint8)
-        found = [(k, chunk, R.pack(*(x[a:b] for x in (head, tail, several)))) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a]
-        return R.rows(found)
+        return R.rows([(k, chunk, R.pack(tags[a:b], several[a:b])) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a])
 
     return run
 
 
-def _rank(plan: Plan):
-    """Sorts a block; tied beginnings get ranks, which go back to the chunks as (place in the question, rank, crowded)."""
+def _answer(plan: Plan):
+    """For each tag of a question, in its order, whether it is alone, tied or crowded: four answers a byte."""
 
     def run(table: pa.Table) -> pa.Table:
         lean()
-        chunk, (*by, several) = R.origins(table, ASKED)
-        if not len(chunk):
+        chunk, (tags, several) = R.origins(table, ASKED)
+        if not len(tags):
             return R.rows([])
-        # A chunk's blob is in order, so a row's place in it is its place among the chunk's rows.
-        first = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1]
-        place = np.arange(len(chunk)) - np.repeat(first, np.diff(np.r_[first, len(chunk)]))
-        order = np.lexsort(by[::-1])
-        new = R.heads(*(x[order] for x in by))
-        group = np.cumsum(new) - 1
+        order = np.argsort(tags, kind="stable")
+        group = np.cumsum(R.heads(tags[order])) - 1
         chunks = np.bincount(group)
-        tied = (chunks > 1) | (np.bincount(group, weights=several[order]) > 0)
-        rank = np.cumsum(tied) - 1
-        told = tied[group]
-        rows_, group = order[told], group[told]
-        back = np.lexsort((place[rows_], chunk[rows_]))
-        rows_, group = rows_[back], group[back]
-        block = table.column("bucket")[0].as_py()
-        arrays = [place[rows_].astype(np.uint32), rank[group].astype(np.uint32), (chunks[group] > plan.crowd).astype(np.uint8)]
-        return R.rows([(c, block, p) for c, _, p in R.split(chunk[rows_], 0, arrays)])
+        state = np.where(chunks > plan.crowd, CROWDED, np.where((chunks > 1) | (np.bincount(group, weights=several[order]) > 0), TIED, ALONE)).astype(np.uint8)
+        told = np.empty(len(tags), np.uint8)
+        told[order] = state[group]
+        bucket = table.column("bucket")[0].as_py()
+        at = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1, len(chunk)]
+        return R.rows([(int(chunk[a]), bucket, R.pack(_quartered(told[a:b]))) for a, b in zip(at[:-1], at[1:], strict=True)])
 
     return run
 
 
-# ---- step 2: long ties
+def _quartered(states: np.ndarray) -> np.ndarray:
+    four = np.concatenate([states, np.zeros(-len(states) % 4, np.uint8)]).reshape(-1, 4)
+    return four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
 
 
-ENTRY = ["<u8", "<u8", "<i8", "<u4", "<u4", "<u4", "u1"]
+# ---- step 2: blocks of suffixes, and long ties
+
+
+#: First bytes, class of the next, class of the surroundings, id, salt, place, bytes to the end (at most a string), state.
+ENTRY = ["<u8", "<u8", "<u8", "<i8", "<u4", "<u4", "u1", "u1"]
+#: Tie, id, salt, place, whether it is crowded.
 UNDECIDED = ["<u8", "<i8", "<u4", "<u4", "u1"]
 
 
 def _entries(plan: Plan):
-    """Ranked suffixes with the class of what surrounds them; of those of one rank and class only a chunk's first."""
+    """Suffixes that aren't alone; of those of one tie and class only a chunk's first."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         ids, salts, texts = _texts(left)
         found = Suffixes(texts, plan.length, plan.period)
-        own, head, _, _, starts = blocks(plan, found)
-        rank, crowded = np.zeros(len(head), np.uint64), np.zeros(len(head), np.uint8)
-        for block, payload in zip(right.column("kind").to_pylist(), right.column("payload").to_pylist(), strict=True):
-            place, number, crowd = R.unpack(payload, RANKED)
-            rank[starts[block] + place] = number.astype(np.uint64) + (np.uint64(block) << np.uint64(32)) + np.uint64(1)
-            crowded[starts[block] + place] = crowd
-        some = np.flatnonzero(rank[own] > 0)
-        which, at, own = found.which[some], found.at[some], own[some]
-        out: list[tuple] = []
+        own, tags, _, starts = tagged(found, plan.buckets)
+        state = np.zeros(len(tags), np.uint8)
+        for bucket, payload in zip(right.column("kind").to_pylist(), right.column("payload").to_pylist(), strict=True):
+            (four,) = R.unpack(payload, ANSWERED)
+            a, b = starts[bucket], starts[bucket + 1]
+            state[a:b] = np.stack([four >> (2 * k) & 3 for k in range(4)], 1).reshape(-1)[: b - a]
+        some = np.flatnonzero(state[own] > ALONE)
+        which, at = found.which[some], found.at[some]
         sizes = np.array([len(x) for x in texts], np.int64)
-        prints = found.classes(-plan.before, plan.length, some)
-        held = [rank[own], prints, ids[which], salts[which], at.astype(np.uint32), sizes[which].astype(np.uint32), crowded[own]]
-        known, held = _settled(*held)
-        out += _surroundings(plan, *(x[known] for x in held[2:6]))
+        rest = np.minimum(sizes[which] - at, plan.length).astype(np.uint8)
+        held = [found.head[some], found.tail[some], found.classes(-plan.before, plan.length, some), ids[which], salts[which], at.astype(np.uint32), rest, (state[own[some]] == CROWDED).astype(np.uint8)]
+        known, held = _sorted_block(held)
+        out = _surroundings(plan, *(x[known] for x in held[3:7]))
         kept = [x[~known] for x in held]
-        return R.rows(out + R.split(R.by_print(kept[0] ^ np.where(kept[6] > 0, kept[1], np.uint64(0)), plan.buckets), ENTRIES, kept))
+        # A crowded tie is dealt by class, so its block is any.
+        crowd = kept[7] > 0
+        to = np.searchsorted(plan.limits, together(kept[0], kept[1]), side="right").astype(np.int32) if len(plan.limits) else np.zeros(len(crowd), np.int32)
+        return R.rows(out + R.split(np.where(crowd, R.by_print(kept[2], plan.buckets), to), ENTRIES, kept))
 
     return run
 
 
+def _sorted_block(held: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in order of their first bytes, ties by class, equal classes by id, salt and place; which of them come
+    after another of their tie and class."""
+    head, tail, prints, ids, salts, at = held[:6]
+    order = np.lexsort((at, salts, ids, prints, tail, head))
+    held = [x[order] for x in held]
+    return ~R.heads(*held[:3]), held
+
+
 def byte_values(text: bytes) -> np.ndarray:
     return A.BYTE_VALUES[np.frombuffer(text, np.uint8)]
 
 
 def _settled(*arrays) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorts entries by rank, class, id, salt and place; which of them come after another of their rank and class."""
-    rank, prints, ids, salts, at = arrays[:5]
-    order = np.lexsort((at, salts, ids, prints, rank))
+    """Sorts strings by their two fingerprints, id, salt and place; which of them come after an equal one."""
+    one, two, ids, salts, at = arrays
+    order = np.lexsort((at, salts, ids, two, one))
     arrays = [x[order] for x in arrays]
     return ~R.heads(arrays[0], arrays[1]), arrays
 
 
-def _surroundings(plan: Plan, ids, salts, at, sizes) -> list[tuple[int, int, bytes]]:
+def _surroundings(plan: Plan, ids, salts, at, rest) -> list[tuple[int, int, bytes]]:
     """The ranges of strings around some suffixes, clipped to their documents."""
     at = at.astype(np.int64)
-    return R.ranges(RANGES, plan.buckets, ids, salts, np.maximum(at - plan.before, 0).astype(np.uint32), np.minimum(at + plan.length, sizes).astype(np.uint32))
+    return R.ranges(RANGES, plan.buckets, ids, salts, np.maximum(at - plan.before, 0).astype(np.uint32), (at + rest).astype(np.uint32))
 
 
 def _compare(plan: Plan):
@@ -253,15 +267,16 @@ def _compare(plan: Plan):
         out = [(b, k, p) for b, k, p in zip(*(x.to_pylist() for x in table.columns), strict=True) if k == RANGES]
         held = R.gathered(table, ENTRIES, ENTRY)
         if len(held[0]):
-            known, held = _settled(*held)
-            rank, _, ids, salts, at, sizes, crowded = held
-            out += _surroundings(plan, ids[known], salts[known], at[known], sizes[known])
-            group = np.cumsum(R.heads(rank)) - 1
+            known, held = _sorted_block(held)
+            head, tail, _, ids, salts, at, rest, crowded = held
+            out += _surroundings(plan, ids[known], salts[known], at[known], rest[known])
+            group = np.cumsum(R.heads(head, tail)) - 1
             several = np.bincount(group, weights=~known)[group]
-            # Of a crowded rank other tasks may hold other classes.
+            # Of a crowded tie other tasks may hold other classes.
             open_ = ~known & ((several > 1) | (crowded > 0))
             crowd = ((several > plan.crowd) | (crowded > 0)).astype(np.uint8)
-            out += R.split(R.by_document(ids[open_], salts[open_], plan.buckets), ENTRIES, [x[open_] for x in (rank, ids, salts, at, crowd)])
+            tie = A.joined(head, tail)
+            out += R.split(R.by_document(ids[open_], salts[open_], plan.buckets), ENTRIES, [x[open_] for x in (tie, ids, salts, at, crowd)])
         return R.rows(out)
 
     return run
@@ -274,8 +289,8 @@ def _fetch(plan: Plan):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         out = R.ranges(RANGES, plan.buckets, *R.gathered(right, RANGES, R.RANGE))
-        rank, ids, salts, at, crowded = R.gathered(right, ENTRIES, UNDECIDED)
-        if len(rank) and left.num_rows:
+        tie, ids, salts, at, crowded = R.gathered(right, ENTRIES, UNDECIDED)
+        if len(tie) and left.num_rows:
             wanted: dict[tuple[int, int], np.ndarray] = {}
             order = np.lexsort((at, salts, ids))
             new = np.flatnonzero(np.r_[R.heads(ids[order], salts[order]), True])
@@ -286,14 +301,14 @@ def _fetch(plan: Plan):
                 for i, s, text in zip(*R.documents(part), strict=True):
                     if (key := (int(i), int(s))) in wanted:
                         texts[key] = text
-            out += _contexts(plan, texts, {k: v[crowded[v] == 0] for k, v in wanted.items()}, rank, ids, salts, at)
+            out += _contexts(plan, texts, {k: v[crowded[v] == 0] for k, v in wanted.items()}, tie, ids, salts, at)
             out += _windows(plan, texts, {k: v[crowded[v] == 1] for k, v in wanted.items()}, at)
         return R.rows(out)
 
     return run
 
 
-def _contexts(plan: Plan, texts, wanted, rank, ids, salts, at) -> list[tuple[int, int, bytes]]:
+def _contexts(plan: Plan, texts, wanted, tie, ids, salts, at) -> list[tuple[int, int, bytes]]:
     """The bytes around suffixes, 0xFF (in no UTF-8 text) outside the document."""
     picked, made = [], []
     for key, which in wanted.items():
@@ -305,7 +320,7 @@ def _contexts(plan: Plan, texts, wanted, rank, ids, salts, at) -> list[tuple[int
     if not made:
         return []
     which, made = np.concatenate(picked), np.concatenate(made)
-    return R.split(R.by_print(rank[which], plan.buckets), CONTEXTS, [rank[which], ids[which], salts[which], at[which], made.view(f"V{plan.context}").reshape(-1)])
+    return R.split(R.by_print(tie[which], plan.buckets), CONTEXTS, [tie[which], ids[which], salts[which], at[which], made.view(f"V{plan.context}").reshape(-1)])
 
 
 def _windows(plan: Plan, texts, wanted, at) -> list[tuple[int, int, bytes]]:
@@ -345,29 +360,29 @@ def _decide(plan: Plan):
             known, arrays = _settled(*arrays)
             _, _, ids, salts, start = (x[known] for x in arrays)
             held.append((ids, salts, start, start + np.uint32(plan.length)))
-        rank, ids, salts, at, made = R.gathered(table, CONTEXTS, ["<u8", "<i8", "<u4", "<u4", f"V{plan.context}"])
-        if len(rank):
-            order = np.lexsort((at, salts, ids, rank))
-            rank, ids, salts, at, made = (x[order] for x in (rank, ids, salts, at, made))
-            group = np.flatnonzero(R.heads(rank))
-            # Some ranks at a time; a rank has at most ``crowd`` suffixes here.
-            cuts = group[np.unique(np.searchsorted(group, np.arange(0, len(rank), 4096)).clip(0, len(group) - 1))]
-            for a, b in zip(cuts, [*cuts[1:], len(rank)], strict=True):
-                held.append(_decide_contexts(plan, rank[a:b], ids[a:b], salts[a:b], at[a:b], made[a:b]))
+        tie, ids, salts, at, made = R.gathered(table, CONTEXTS, ["<u8", "<i8", "<u4", "<u4", f"V{plan.context}"])
+        if len(tie):
+            order = np.lexsort((at, salts, ids, tie))
+            tie, ids, salts, at, made = (x[order] for x in (tie, ids, salts, at, made))
+            group = np.flatnonzero(R.heads(tie))
+            # Some ties at a time; a tie has at most ``crowd`` suffixes here.
+            cuts = group[np.unique(np.searchsorted(group, np.arange(0, len(tie), 4096)).clip(0, len(group) - 1))]
+            for a, b in zip(cuts, [*cuts[1:], len(tie)], strict=True):
+                held.append(_decide_contexts(plan, tie[a:b], ids[a:b], salts[a:b], at[a:b], made[a:b]))
         return R.rows(R.ranges(RANGES, plan.buckets, *(np.concatenate(x) for x in zip(*held, strict=True))))
 
     return run
 
 
-def _decide_contexts(plan: Plan, rank, ids, salts, at, made):
-    """Rows are sorted by rank, id, salt and place. All strings of a context overlap in the prefix, so the union of the
+def _decide_contexts(plan: Plan, tie, ids, salts, at, made):
+    """Rows are sorted by tie, id, salt and place. All strings of a context overlap in the prefix, so the union of the
     repeated ones is one range."""
-    n, width = len(rank), plan.context
+    n, width = len(tie), plan.context
     data = np.frombuffer(made.tobytes(), np.uint8).reshape(n, width)
     prints = A.Fingerprints(A.BYTE_VALUES[data.reshape(-1)], plan.length)
     inside = data != 255
     left, right = inside.argmax(1), width - inside[:, ::-1].argmax(1)
-    group = (np.cumsum(R.heads(rank)) - 1).astype(np.uint64)
+    group = (np.cumsum(R.heads(tie)) - 1).astype(np.uint64)
     low, high = np.full(n, width, np.int64), np.full(n, -1, np.int64)
     for offset in range(plan.before + 1):
         ok = np.flatnonzero((left <= offset) & (right >= offset + plan.length))
@@ -405,8 +420,8 @@ def _kept(text: bytes, spans: list[list[int]]) -> tuple:
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, period: int = PERIOD, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte ranges), kept (the bytes left)."""
-    if length - period + 1 < 16:
-        raise ValueError("the period must leave a beginning of 16 bytes or more of the length")
+    if length - period + 1 < 16 or length > 255:
+        raise ValueError("the length is at most 255 bytes, and the period must leave a beginning of 16 bytes or more of it")
     rows = narrow(docs, id_col, text_col)
     total = text_bytes(rows)
     n = pieces(total, bucket_bytes)
@@ -414,8 +429,8 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     ddl, schema = R.shape(rows, "n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary", [pa.int64(), pa.int64(), span, pa.binary()])
     packed = R.dealt_by(R.packed_documents(rows, n), n)
-    ranked = R.dealt_by(packed.applyInArrow(_ask(plan), R.ROW), n).applyInArrow(_rank(plan), R.ROW)
-    entries = packed.cogroup(R.dealt_by(ranked, n)).applyInArrow(_entries(plan), R.ROW)
+    answered = R.dealt_by(packed.applyInArrow(_ask(plan), R.ROW), n).applyInArrow(_answer(plan), R.ROW)
+    entries = packed.cogroup(R.dealt_by(answered, n)).applyInArrow(_entries(plan), R.ROW)
     compared = R.dealt_by(entries, n).applyInArrow(_compare(plan), R.ROW)
     fetched = packed.cogroup(R.dealt_by(compared, n)).applyInArrow(_fetch(plan), R.ROW)
     decided = R.dealt_by(fetched, n).applyInArrow(_decide(plan), R.ROW)
