@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from umbra import config as C
 from umbra.operators import docpass, recognizers, replace, scoring
-from umbra.plans import pipeline
+from umbra.plans import cases, pipeline
 from umbra.sources import gold
 
 
@@ -11,27 +11,7 @@ def detected(spark, texts, context=()):
     return [[(s.entity_type, r.text[s.start : s.end]) for s in r.spans] for r in recognizers.detect(rows).orderBy("k").collect()]
 
 
-CASES = [
-    ("Customer DOB: 14/07/1986. Account opened 03/02/2019.", [("DATE_OF_BIRTH", "14/07/1986")]),
-    ("D.O.B. 11/08/1994 is noted", [("DATE_OF_BIRTH", "11/08/1994")]),
-    ("Meera Iyer was born on 3 January 1979.", [("PERSON", "Meera Iyer"), ("DATE_OF_BIRTH", "3 January 1979")]),
-    ("The Offer closes on 18/12/2025.", []),
-    ("21/09/1992", []),
-    ("00135070", []),
-    ("SSN 536-22-8741, card 4111 1111 1111 1111, IP 203.0.113.45, phone +91 98765 43210.", [("US_SSN", "536-22-8741"), ("CREDIT_CARD", "4111 1111 1111 1111"), ("IP_ADDRESS", "203.0.113.45"), ("PHONE_NUMBER", "+91 98765 43210")]),
-    ("Order 4500123456 and invoice INV-2024-00871 were refunded under ticket TCK-200101.", []),
-    ("firmware 10.4.2, section 4.2.1, card 4111 1111 1111 1112", []),
-    ("Sarthak Malwadkar, Company Secretary and Compliance Officer, and the Managing Director", [("PERSON", "Sarthak Malwadkar")]),
-    ("The Equity Shares will be listed on BSE Limited and National Stock Exchange of India Limited.", []),
-    ("This Red Herring Prospectus is filed with the RoC.", []),
-    ("Contact Person: Rashi Patil; E-mail: rashi.patil@mail.com; Telephone: +91 98765 43210", [("PERSON", "Rashi Patil"), ("EMAIL_ADDRESS", "rashi.patil@mail.com"), ("PHONE_NUMBER", "+91 98765 43210")]),
-    ("see www.example. com and https://foo.bar/x. or www.sebi.gov.in or http://localhost/", [("URL", "www.example. com"), ("URL", "https://foo.bar/x")]),
-    ("PAN ABCPE1234F and Aadhaar 2341 2341 2346", [("IN_PAN", "ABCPE1234F"), ("IN_AADHAAR", "2341 2341 2346")]),
-    ("code ABCPE1234F or 2341 2341 2346", []),
-    ("mail to help@sebi.gov.in", []),
-    ("IPv6 2001:db8:85a3::8a2e:370:7334 at 02:00", [("IP_ADDRESS", "2001:db8:85a3::8a2e:370:7334")]),
-    ("", []), (None, []), ("   ", []),
-]
+CASES = [*((t, w) for t, c, w in cases.DETECTION if not c), ("", []), (None, []), ("   ", [])]
 
 
 def test_cases(spark):
@@ -41,8 +21,8 @@ def test_cases(spark):
 
 
 def test_context_of_the_unit(spark):
-    assert detected(spark, ["21/09/1992"], ("Date", "of", "Birth")) == [[("DATE_OF_BIRTH", "21/09/1992")]]
-    assert detected(spark, ["00135070"], ("DIN",)) == [[("IN_DIN", "00135070")]]
+    assert detected(spark, ["1990-02-17"], ("Day", "of", "Birth")) == [[("DATE_OF_BIRTH", "1990-02-17")]]
+    assert detected(spark, ["48210937"], ("DIN",)) == [[("IN_DIN", "48210937")]]
 
 
 def test_memoised_is_the_same(spark):
@@ -53,8 +33,8 @@ def test_memoised_is_the_same(spark):
 
 def test_registering_a_type(spark, monkeypatch):
     monkeypatch.setattr(recognizers, "REGISTRY", dict(recognizers.REGISTRY))
-    recognizers.register("ticket", ["TICKET"], lambda t, c: recognizers.find_spans(t, r"TCK-\d+", "TICKET", 0.9, "ticket"))
-    rows = spark.createDataFrame([("see TCK-12345",)], "text string")
+    recognizers.register("ticket", ["TICKET"], lambda t, c: recognizers.find_spans(t, r"WB-\d+", "TICKET", 0.9, "ticket"))
+    rows = spark.createDataFrame([("see WB-123456",)], "text string")
     out = recognizers.detect(rows, C.RunConfig(entities=("TICKET",))).first().spans
     assert [(s.start, s.end, s.entity_type) for s in out] == [(4, 13, "TICKET")]
 
@@ -76,13 +56,13 @@ def test_sample_scores(spark):
 
 
 ROWS = [
-    (1, 0, "Contact Person: Rashi Patil; E-mail: rashi.patil@gmail.com; Telephone: +91 98765 43210", "c1"),
-    (1, 1, "RASHI PATIL is the promoter of Brightline Logistics Private Limited.", "c1"),
-    (1, 2, "The Company Secretary and the Directors approved the Offer.", "c1"),
-    (1, 3, "Later Brightline and (Rashi  Patil) came, not rashi patil, see www.gmail.com/x", "c1"),
-    (1, 4, "signed by Rashi", "c2"), (1, 5, "Patil on behalf of all", "c2"), (1, 6, "signed by Rashi", "c3"), (1, 7, "Patil elsewhere", "c4"),
-    (1, 8, "Plot 12, Shanti Road", "c5"), (1, 9, "Pune – 410 501", "c5"), (1, 10, "Maharashtra, India", "c5"), (1, 11, "Registrar of Companies", "c6"), (1, 12, "100 Marine Road, Mumbai 400 002", "c6"),
-    (2, 0, "Rashi Patil again, Brightline here", "c1"),
+    (1, 0, "Contact Person: Naveen Pillai; E-mail: naveen.pillai@ferry.com; Telephone: +91 94460 71355", "c1"),
+    (1, 1, "NAVEEN PILLAI founded Seabright Salvage Private Limited.", "c1"),
+    (1, 2, "The Chief Engineer and the Trustees approved the Offer.", "c1"),
+    (1, 3, "Since then Seabright and (Naveen  Pillai) have moved, but naveen pillai is no name, see www.ferry.com/x", "c1"),
+    (1, 4, "countersigned Naveen", "c2"), (1, 5, "Pillai for the crew", "c2"), (1, 6, "countersigned Naveen", "c3"), (1, 7, "Pillai aside", "c4"),
+    (1, 8, "Godown 3, Lantern Road", "c5"), (1, 9, "Alappuzha – 688 012", "c5"), (1, 10, "Kerala, India", "c5"), (1, 11, "Ministry of Finance", "c6"), (1, 12, "5 Compass Street, Kollam 691 001", "c6"),
+    (2, 0, "Naveen Pillai again, Seabright is a colour", "c1"),
 ]
 
 
@@ -100,12 +80,12 @@ def sources(r):
 def test_passes(redacted):
     by = redacted[0]
     assert sources(by[1, 1])[0][2] in (C.PROPAGATED, C.NER) and by[1, 2].spans == []
-    assert ("Brightline", "ORGANIZATION", C.SHORT_FORM) in sources(by[1, 3])
-    assert ("Rashi  Patil", "PERSON") in [x[:2] for x in sources(by[1, 3])] and not any(x[0] == "rashi patil" for x in sources(by[1, 3]))
-    assert sources(by[1, 4]) == [("Rashi", "PERSON", C.PROPAGATED)] and sources(by[1, 5]) == [("Patil", "PERSON", C.CONTINUATION)]
+    assert ("Seabright", "ORGANIZATION", C.SHORT_FORM) in sources(by[1, 3])
+    assert ("Naveen  Pillai", "PERSON") in [x[:2] for x in sources(by[1, 3])] and not any(x[0] == "naveen pillai" for x in sources(by[1, 3]))
+    assert sources(by[1, 4]) == [("Naveen", "PERSON", C.PROPAGATED)] and sources(by[1, 5]) == [("Pillai", "PERSON", C.CONTINUATION)]
     assert sources(by[1, 7]) == []
     assert [x[2] for x in sources(by[1, 8])] == [C.ADDRESS_BLOCK] and [x[2] for x in sources(by[1, 10])] == [C.ADDRESS_BLOCK]
-    assert sources(by[1, 12]) == [] and not any(x[0] == "Brightline" for x in sources(by[2, 0]))
+    assert sources(by[1, 12]) == [] and not any(x[0] == "Seabright" for x in sources(by[2, 0]))
 
 
 def test_redaction(redacted):
@@ -118,9 +98,9 @@ def test_redaction(redacted):
     assert by[1, 1].redacted.startswith(name.upper()) and "Private Limited" in by[1, 1].redacted
     assert by[1, 2].redacted == by[1, 2].text
     assert by[1, 3].redacted.endswith("www." + mail.split("@")[1]) and f"({name})" in by[1, 3].redacted
-    assert by[1, 4].redacted == f"signed by {name}" and by[1, 5].redacted == " on behalf of all"
+    assert by[1, 4].redacted == f"countersigned {name}" and by[1, 5].redacted == " for the crew"
     joined = " ".join(r.redacted for (d, _), r in by.items() if d == 1)
-    assert not any(x in joined for x in ("RASHI", "98765 43210", "rashi.patil@gmail.com", "Logistics"))
+    assert not any(x in joined for x in ("NAVEEN", "94460 71355", "naveen.pillai@ferry.com", "Salvage"))
     assert name not in by[2, 0].redacted
 
 
@@ -128,9 +108,9 @@ def test_report_and_mapping(redacted):
     _, out, found, made = redacted
     r = pipeline.report(out).first()
     assert r.units == len(ROWS) and r.by_entity_type["PERSON"] >= 5 and r.by_source[C.SHORT_FORM] == 1
-    assert "Rashi" not in str(r) and "rashi" not in str(r)
+    assert "Naveen" not in str(r) and "naveen" not in str(r)
     m = {(x.scope_id, x.entity_type): x["values"] for x in replace.mapping(made).collect()}
-    assert "rashi patil" in m["1", "PERSON"]
+    assert "naveen pillai" in m["1", "PERSON"]
     assert {x.entity_type: x.n for x in found.by_type().collect()} == r.by_entity_type
 
 
@@ -141,17 +121,28 @@ def test_fakes_are_unique(spark):
     assert len({m.fake.lower() for m in made}) == 400 and rows.count() == 200
 
 
+def test_mails_of_one_host_have_different_fakes(spark):
+    """2,000 addresses of one host, of people whose fakes may share words; and names that could mirror each other."""
+    rows = spark.range(2000).selectExpr("'1' as scope_id", "1 as doc_id", "int(id) as unit_id", "0 as start", "5 as end", "'EMAIL_ADDRESS' as entity_type", "'x' as source", "'u' || id || '@one.example' as raw")
+    people = spark.createDataFrame([("1", 1, 5000 + k, 0, 5, "PERSON", "x", f"Ann Lee{k}") for k in range(40)], rows.schema)
+    mirrored = spark.createDataFrame([("1", 1, 6000 + k, 0, 5, "EMAIL_ADDRESS", "x", f"ann.lee{k % 40}{'_.-'[k // 40]}x@one.example") for k in range(120)], rows.schema)
+    spans = rows.union(people).union(mirrored).withColumn("original", F.col("raw")).withColumn("key", F.lower("raw"))
+    made = [m for m in replace.replacements(spans, C.RunConfig()).collect()]
+    assert len(made) == 2160 and len({m.fake.lower() for m in made}) == 2160
+    again = {(m.entity_type, m.key): m.fake for m in replace.replacements(spans.repartition(7), C.RunConfig()).collect()}
+    assert again == {(m.entity_type, m.key): m.fake for m in made}
+
+
 def test_spellings_of_one_value(spark):
-    rows = spark.createDataFrame([("PHONE_NUMBER", "+91 22 4009 4400"), ("PHONE_NUMBER", "+91 2240094400"), ("PERSON", "Kushal  Subba\tHegde"), ("PERSON", "KUSHAL SUBBA HEGDE"), ("URL", "https://www.a.example/"), ("URL", "www.a. example")], "t string, v string")
+    rows = spark.createDataFrame([("PHONE_NUMBER", "+91 48 4266 0193"), ("PHONE_NUMBER", "+91 4842660193"), ("PERSON", "Tara  Joy\tGeorge"), ("PERSON", "TARA JOY GEORGE"), ("URL", "http://www.quay.example/"), ("URL", "www.quay. example")], "t string, v string")
     keys = [r.k for r in rows.select(replace.norm_key(F.col("t"), F.col("v")).alias("k")).collect()]
     assert keys[0] == keys[1] and keys[2] == keys[3] and keys[4] == keys[5]
 
 
 def test_vocabulary_spans(spark):
-    rows = spark.createDataFrame([(1, 0, "Selling"), (1, 1, "Basis"), (1, 2, "Rajesh Hegde"), (1, 3, "Green Option"), (2, 4, "Green Option")], "doc_id int, k int, value string")
-    words = spark.createDataFrame([(2, "green")], "doc_id int, word string")
-    got = {r.k: r.is_vocabulary for r in docpass.vocabulary_spans(rows, words).collect()}
-    assert got == {0: True, 1: True, 2: False, 3: False, 4: True}
+    rows = spark.createDataFrame([x[:3] for x in cases.VOCABULARY], "doc_id int, k int, value string")
+    words = spark.createDataFrame([(2, "reed"), (2, "basket"), (1, "basket")], "doc_id int, word string")
+    assert {r.k: r.is_vocabulary for r in docpass.vocabulary_spans(rows, words).collect()} == {k: ok for _, k, _, ok in cases.VOCABULARY}
 
 
 def test_matching_gold_units(spark):
@@ -166,6 +157,6 @@ def test_matching_gold_units(spark):
 
 
 def test_leaks(spark):
-    g = spark.createDataFrame([(1, "PERSON", "Meera Iyer"), (1, "PERSON", "Arjun Mehta"), (1, "ORGANIZATION", "Limited"), (1, "PERSON", "Al")], "doc_id int, entity_type string, value string")
-    r = spark.createDataFrame([(1, "MEERA  IYER stays"), (1, "Mehta goes")], "doc_id int, text string")
+    g = spark.createDataFrame([(1, "PERSON", "Uma Nair"), (1, "PERSON", "Oscar Webb"), (1, "ORGANIZATION", "Limited"), (1, "PERSON", "Jo")], "doc_id int, entity_type string, value string")
+    r = spark.createDataFrame([(1, "UMA  NAIR stays"), (1, "Webb goes")], "doc_id int, text string")
     assert [tuple(x) for x in scoring.leaks(g, r).collect()] == [("PERSON", 2, 1)]

@@ -34,11 +34,11 @@ def document(body: str, header: str = "") -> bytes:
         z.writestr("[Content_Types].xml", "<Types/>")
         z.writestr("word/document.xml", f"<w:document {NS}><w:body>{body}{sect}</w:body></w:document>")
         rels = '<Relationship Id="h1" Target="header1.xml" Type="x/header"/>' if header else ""
-        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}<Relationship Id="l1" Type="x/hyperlink" TargetMode="External" Target="mailto:rashi.patil@gmail.com"/></Relationships>')
+        z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}<Relationship Id="l1" Type="x/hyperlink" TargetMode="External" Target="mailto:leela.menon@gmail.com"/></Relationships>')
         if header:
             z.writestr("word/header1.xml", f"<w:hdr {NS}>{header}</w:hdr>")
         z.writestr("word/media/image1.png", PNG)
-        z.writestr("docProps/core.xml", '<c:coreProperties xmlns:c="urn:c" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>Rashi Patil</dc:creator><dc:title>Keep</dc:title></c:coreProperties>')
+        z.writestr("docProps/core.xml", '<c:coreProperties xmlns:c="urn:c" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>Leela Menon</dc:creator><dc:title>Keep</dc:title></c:coreProperties>')
     return out.getvalue()
 
 
@@ -48,41 +48,41 @@ def texts(content: bytes) -> list[str]:
 
 CELL = "<w:tc>{}</w:tc>"
 BODY = (
-    p(run("Contact "), run("Rashi ", True), run("Patil", True), run(" today"))
-    + p() + p("<w:r><w:t>ACME</w:t><w:tab/></w:r>", run("Securities Limited"))
-    + f"<w:tbl><w:tr>{CELL.format(p(run('DIN (Director No 1)')))}</w:tr><w:tr>{CELL.format(p(run('00135070')))}</w:tr></w:tbl>"
-    + p(run("Mail "), f'<w:hyperlink r:id="l1">{run("rashi.patil@gmail.com")}</w:hyperlink>', '<w:r><w:instrText>HYPERLINK "mailto:rashi.</w:instrText></w:r><w:r><w:instrText>patil@gmail.com"</w:instrText></w:r>')
+    p(run("Contact "), run("Leela ", True), run("Menon", True), run(" today"))
+    + p() + p("<w:r><w:t>GULL</w:t><w:tab/></w:r>", run("Securities Limited"))
+    + f"<w:tbl><w:tr>{CELL.format(p(run('DIN (Director No 1)')))}</w:tr><w:tr>{CELL.format(p(run('48210937')))}</w:tr></w:tbl>"
+    + p(run("Mail "), f'<w:hyperlink r:id="l1">{run("leela.menon@gmail.com")}</w:hyperlink>', '<w:r><w:instrText>HYPERLINK "mailto:leela.</w:instrText></w:r><w:r><w:instrText>menon@gmail.com"</w:instrText></w:r>')
     + p("<w:del><w:r><w:delText>gone</w:delText></w:r></w:del>", run("kept"))
 )
 
 
 def test_units():
     got = list(docx.units(document(BODY, p(run("Head")))))
-    assert [u["text"] for u in got] == ["Contact Rashi Patil today", "ACME\tSecurities Limited", "DIN (Director No 1)", "00135070", "Mail rashi.patil@gmail.com", "kept", "Head"]
+    assert [u["text"] for u in got] == ["Contact Leela Menon today", "GULL\tSecurities Limited", "DIN (Director No 1)", "48210937", "Mail leela.menon@gmail.com", "kept", "Head"]
     assert [u["unit_id"] for u in got] == list(range(7))
     assert got[3]["context"] == ["DIN", "Director", "No"] and got[2]["context"] == []
     assert got[0]["container_id"] == got[1]["container_id"] != got[3]["container_id"]
-    assert got[-1]["part_name"] == "word/header1.xml" and got[4]["links"] == ["mailto:rashi.patil@gmail.com"]
+    assert got[-1]["part_name"] == "word/header1.xml" and got[4]["links"] == ["mailto:leela.menon@gmail.com"]
 
 
 def test_rewriting():
     source = document(BODY)
-    new = docx.rewrite(source, {0: [(8, 19, "John Doe")], 1: [(0, 23, "Rege Securities Limited")], 4: [(5, 26, "a.b@x.example.com")]}, {}, {"rashi.patil@gmail.com": "a.b@x.example.com"}, {"word/media/image1.png": b"new"})
-    assert texts(new)[:2] == ["Contact John Doe today", "Rege Securities Limited"] and texts(new)[4] == "Mail a.b@x.example.com"
+    new = docx.rewrite(source, {0: [(8, 19, "Ian Webb")], 1: [(0, 23, "Rege Securities Limited")], 4: [(5, 26, "a.b@x.example.com")]}, {}, {"leela.menon@gmail.com": "a.b@x.example.com"}, {"word/media/image1.png": b"new"})
+    assert texts(new)[:2] == ["Contact Ian Webb today", "Rege Securities Limited"] and texts(new)[4] == "Mail a.b@x.example.com"
     z = zipfile.ZipFile(io.BytesIO(new))
     body = z.read("word/document.xml").decode()
     root = ET.fromstring(body)
     runs = [(("".join(t.text or "" for t in r.iter(docx.W + "t"))), r.find(f"{docx.W}rPr/{docx.W}b") is not None) for r in root.iter(docx.W + "r")][:4]
-    assert runs == [("Contact ", False), ("John Doe", True), ("", True), (" today", False)]
-    assert "<w:tab" not in body and "rashi.patil" not in body and 'xmlns:w14="urn:w14"' in body and len(list(root.iter(docx.W + "p"))) == 7
-    assert "rashi" not in z.read("word/_rels/document.xml.rels").decode()
+    assert runs == [("Contact ", False), ("Ian Webb", True), ("", True), (" today", False)]
+    assert "<w:tab" not in body and "leela.menon" not in body and 'xmlns:w14="urn:w14"' in body and len(list(root.iter(docx.W + "p"))) == 7
+    assert "leela" not in z.read("word/_rels/document.xml.rels").decode()
     core = z.read("docProps/core.xml").decode()
-    assert "Rashi" not in core and "Keep" in core and z.read("word/media/image1.png") == b"new"
+    assert "Leela" not in core and "Keep" in core and z.read("word/media/image1.png") == b"new"
 
 
 def test_two_ranges_and_a_range_without_text():
-    source = document(p(run("Email a@x.com or call +91 98765 43210.")) + p("<w:r><w:tab/></w:r>", run("x")))
-    t = "Email a@x.com or call +91 98765 43210."
+    source = document(p(run("Email a@x.com or call +91 94460 71355.")) + p("<w:r><w:tab/></w:r>", run("x")))
+    t = "Email a@x.com or call +91 94460 71355."
     new = docx.rewrite(source, {0: [(t.index("a@"), t.index("a@") + 7, "j.d@example.com"), (t.index("+91"), t.index("+91") + 15, "+91 12345 67890")], 1: [(0, 1, "T ")]}, {}, {})
     assert texts(new) == ["Email j.d@example.com or call +91 12345 67890.", "T x"]
 
@@ -94,9 +94,9 @@ def test_links():
 
 def test_segments_natively(spark):
     found = next(iter(docx.units(document(BODY))))
-    df = spark.createDataFrame([(found["segments"], [(8, 19, "John Doe")])], f"segments array<{docx.SEGMENT}>, replaced array<struct<start:int,end:int,fake:string>>")
+    df = spark.createDataFrame([(found["segments"], [(8, 19, "Ian Webb")])], f"segments array<{docx.SEGMENT}>, replaced array<struct<start:int,end:int,fake:string>>")
     out = df.select(replace.rewrite_segments(F.col("segments"), F.col("replaced")).alias("s")).first().s
-    assert [x.text for x in out] == ["Contact ", "John Doe", "", " today"]
+    assert [x.text for x in out] == ["Contact ", "Ian Webb", "", " today"]
 
 
 def test_bad_input(spark, tmp_path):
@@ -112,7 +112,7 @@ def test_bad_input(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     folder = tmp_path / "in"
     folder.mkdir()
-    body = p(run("Contact Person: Rashi Patil; E-mail: rashi.patil@gmail.com")) + p(run("RASHI PATIL agreed, see "), run("www.gmail.com")) + p(run("The Company Secretary stays."))
+    body = p(run("Contact Person: Leela Menon; E-mail: leela.menon@gmail.com")) + p(run("LEELA MENON agreed, see "), run("www.gmail.com")) + p(run("The Company Secretary stays."))
     (folder / "a.docx").write_bytes(document(body))
     (folder / "b.docx").write_bytes(document(p(run("Nothing here"))))
     assert cli.main([str(folder), str(folder)]) == 2
@@ -122,12 +122,12 @@ def test_command_line(spark, tmp_path, capsys):
     lines = texts(out)
     name = lines[0].split(": ")[1].split(";")[0]
     assert lines[1].startswith(name.upper()) and lines[2] == "The Company Secretary stays." and "gmail" not in " ".join(lines)
-    assert b"Rashi" not in zipfile.ZipFile(io.BytesIO(out)).read("docProps/core.xml")
+    assert b"Leela" not in zipfile.ZipFile(io.BytesIO(out)).read("docProps/core.xml")
     assert "gmail" not in zipfile.ZipFile(io.BytesIO(out)).read("word/_rels/document.xml.rels").decode()
     assert texts((tmp_path / "out" / "b.docx").read_bytes()) == ["Nothing here"]
     report = json.loads((tmp_path / "r.json").read_text())
-    assert report["documents"] == 2 and report["units"] == 4 and "ashi" not in json.dumps(report)
-    assert "rashi patil" in (tmp_path / "m.json").read_text()
+    assert report["documents"] == 2 and report["units"] == 4 and "eela" not in json.dumps(report)
+    assert "leela menon" in (tmp_path / "m.json").read_text()
 
 
 def test_images_of_documents(spark):
@@ -141,7 +141,7 @@ def test_images_of_documents(spark):
 
 WORDS = [
     ("c", 0, "GOVERNMENT", 10, 10, 100, 20, 90.0), ("c", 1, "OF", 115, 11, 20, 20, 90.0), ("c", 2, "INDIA", 140, 10, 50, 20, 90.0),
-    ("c", 3, "Name", 10, 60, 50, 20, 90.0), ("c", 4, "Meera", 70, 60, 60, 20, 90.0), ("c", 5, "Iyer", 135, 61, 40, 20, 90.0),
+    ("c", 3, "Name", 10, 60, 50, 20, 90.0), ("c", 4, "Grace", 70, 60, 60, 20, 90.0), ("c", 5, "Webb", 135, 61, 40, 20, 90.0),
     ("c", 6, "DOB", 10, 100, 40, 20, 90.0), ("c", 7, "14/07/1986", 60, 100, 100, 20, 90.0), ("c", 8, "x", 500, 100, 10, 20, 10.0), ("c", 9, "HUGE", 10, 200, 300, 200, 90.0),
     ("c", 10, "Signature", 300, 180, 80, 20, 90.0), ("n", 0, "mail", 0, 0, 40, 10, 99.0), ("n", 1, "a.b@c.example.org", 45, 0, 150, 10, 99.0),
 ]
@@ -155,8 +155,8 @@ def lines(spark):
 
 def test_lines(lines):
     rows = {(r.image_id, r.text): (r.l, r.t, r.r, r.b) for r in images.line_texts(lines).collect()}
-    assert rows["c", "GOVERNMENT OF INDIA"] == (10, 10, 190, 31) and ("c", "Name Meera Iyer") in rows and not any("HUGE" in t or t == "x" for _, t in rows)
-    assert {r.word_id: r.at for r in lines.where("image_id = 'c'").collect()}[5] == len("Name Meera ")
+    assert rows["c", "GOVERNMENT OF INDIA"] == (10, 10, 190, 31) and ("c", "Name Grace Webb") in rows and not any("HUGE" in t or t == "x" for _, t in rows)
+    assert {r.word_id: r.at for r in lines.where("image_id = 'c'").collect()}[5] == len("Name Grace ")
     assert {r.image_id: r.is_id for r in images.identity_cards(lines).collect()} == {"c": True, "n": False}
     assert images.context_words(lines, 2).where("image_id = 'c'").first().context == ["government", "of"]
 
@@ -168,7 +168,7 @@ def test_boxes(spark, lines):
     found = images.text_boxes(lines, recognizers.detect, None, ids).collect()
     assert [(r.image_id, r.entity_type, r.l, r.r) for r in found if r.image_id == "n"] == [("n", "EMAIL_ADDRESS", 45, 195)]
     assert not any(r.source == C.NER and r.image_id == "c" for r in found)
-    known = spark.createDataFrame([("c", "meera iyer", "PERSON")], "doc_id string, key string, entity_type string")
+    known = spark.createDataFrame([("c", "grace webb", "PERSON")], "doc_id string, key string, entity_type string")
     assert any(r.source == C.PROPAGATED for r in images.text_boxes(lines, recognizers.detect, known, ids).collect())
 
 
@@ -206,10 +206,10 @@ def test_pixels(spark):
 
 
 def test_gold_files(spark, tmp_path):
-    full = {"description": "d", "units": [{"text": "Meera Iyer", "entities": [{"start": 0, "end": 10, "type": "PERSON", "text": "Meera Iyer"}], "sha1": "x"}], "image": {"size": [2, 2], "boxes": [{"text": "t", "pii": True, "box": [0, 0, 1.5, 2]}]}}
+    full = {"description": "d", "units": [{"text": "Grace Webb", "entities": [{"start": 0, "end": 10, "type": "PERSON", "text": "Grace Webb"}], "sha1": "x"}], "image": {"size": [2, 2], "boxes": [{"text": "t", "pii": True, "box": [0, 0, 1.5, 2]}]}}
     (tmp_path / "g.json").write_text(json.dumps(full, indent=1))
     r = gold.read_units(spark, str(tmp_path / "g.json")).first()
-    assert (r.gold_id, r.text, r.sha1, r.entities[0].type) == (0, "Meera Iyer", "x", "PERSON")
+    assert (r.gold_id, r.text, r.sha1, r.entities[0].type) == (0, "Grace Webb", "x", "PERSON")
     assert gold.read_boxes(spark, str(tmp_path / "g.json")).first().box == [0.0, 0.0, 1.5, 2.0]
     (tmp_path / "c.json").write_text(json.dumps({"units": [{"index": 4, "sha1": "y", "spans": [[1, 5, "URL"]]}]}))
     c = gold.read_compact(spark, str(tmp_path / "c.json")).first()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Entity types in the order in which overlapping spans of one length are preferred.
+#: Entity types in the order in which overlapping spans of one length are preferred. Fixed values.
 PRIORITY = (
-    "EMAIL_ADDRESS", "URL", "CREDIT_CARD", "IN_AADHAAR", "IN_PAN", "US_SSN", "IP_ADDRESS", "PHONE_NUMBER", "DATE_OF_BIRTH", "IN_DIN", "ADDRESS", "ORGANIZATION", "PERSON",
+    "EMAIL_ADDRESS", "URL", "IN_AADHAAR", "IN_PAN", "CREDIT_CARD", "US_SSN", "IP_ADDRESS", "PHONE_NUMBER", "DATE_OF_BIRTH", "IN_DIN", "ADDRESS", "ORGANIZATION", "PERSON",
 )
 ENTITIES = frozenset(PRIORITY)
-#: Types of rule-based names, and what they become.
+#: Types of rule-based names, and what they become. Fixed values.
 ALIASES = {"ORG_SUFFIX": "ORGANIZATION", "PERSON_LABELLED": "PERSON"}
 #: Least scores; all others 0.5. Fixed values.
 THRESHOLDS = {"DATE_OF_BIRTH": 0.4, "IN_DIN": 0.4, "IN_AADHAAR": 0.4, "PHONE_NUMBER": 0.4, "IN_PAN": 0.5, "US_SSN": 0.5, "URL": 0.5}
@@ -26,71 +26,132 @@ def phrases(text: str) -> frozenset[str]:
     return frozenset(x.strip() for x in text.split(",") if x.strip())
 
 
-# Term lists by purpose, in lower case.
-ROLES = phrases(
-    "managing director, whole-time director, executive director, independent director, non-executive director, director, directors, chairman, chairperson, chief executive officer, chief financial officer, "
-    "chief operating officer, company secretary, compliance officer, company secretary and compliance officer, promoter, promoters, promoter group, selling shareholder, selling shareholders, key managerial personnel, "
-    "senior management, statutory auditor, statutory auditors, book running lead manager, book running lead managers, registrar to the offer, syndicate member, syndicate members, bankers to the offer, "
-    "legal counsel, board of directors, audit committee, customer, customer support, ticket id, email, phone, date of birth, status, address, telephone, website, contact person, name, designation, open, closed, pending, resolved"
+# ---- legal forms
+
+#: How the names of companies end. Fixed values.
+ENDINGS = ("Private Limited", "Pvt. Ltd.", "Limited", "Ltd.", "LLP", "L.L.P.", "Family Trust", "Trust", "Foundation", "Bank of India", "Bank", "Associates", "N.A.")
+#: Also dropped from the end of a name to make it short.
+MORE_ENDINGS = ("Securities",)
+#: Parts of endings that stay in capitals.
+CAPITAL_ENDINGS = words("llp l.l.p n.a")
+
+# ---- who isn't a name. Lower case throughout.
+
+#: A job title is a head with any of the modifiers before it, or such titles joined by "and".
+TITLE_HEADS = words(
+    "accountant accountants administrator agent agents ambassador analyst applicant applicants architect attorney auditor auditors banker bankers beneficiary bidder bidders broker brokers buyer chair chairman chairperson "
+    "chairwoman client clients clerk coach commissioner consultant controller coordinator counsel customer customers dean director directors doctor editor employee employees engineer engineers executive founder founders "
+    "governor guarantor head holder inspector investor investors issuer judge lawyer lecturer lender lessee lessor librarian manager managers mayor member members minister nurse officer officers operator owner partner "
+    "partners personnel physician president principal professor promoter promoters proprietor receptionist registrar representative scientist secretary seller settlor shareholder shareholders signatory solicitor "
+    "specialist supervisor surgeon surveyor teacher technician tenant treasurer trustee trustees underwriter underwriters vendor vendors"
+)
+TITLE_MODIFIERS = words(
+    "acting additional anchor area assistant associate authorised book branch chartered chief committee commercial company compliance corporate deputy designated divisional executive field finance financial former general "
+    "grievance group human independent information institutional internal interim investor joint key lead legal managerial managing marketing medical nominee non-executive operating operations principal production "
+    "project purchase quality regional relations resident resources retail retired running sales selling senior site staff statutory support syndicate technical technology vice whole-time works the a an our to of offer"
 )
+#: Offices and bodies that are public knowledge; their names, addresses and sites stay readable.
 PUBLIC_BODIES = phrases(
-    "bse limited, bse, nse, national stock exchange of india limited, national stock exchange, sebi, securities and exchange board of india, reserve bank of india, rbi, registrar of companies, roc, "
-    "ministry of corporate affairs, government of india, income tax department, central depository services (india) limited, national securities depository limited, cdsl, nsdl, supreme court of india, "
-    "state government, central government, ministry of finance, uidai, competition commission of india, registrar of companies, maharashtra at pune"
+    "reserve bank of india, rbi, securities and exchange board of india, sebi, bse, bse limited, nse, national stock exchange, national stock exchange of india, national stock exchange of india limited, "
+    "ministry of corporate affairs, ministry of finance, ministry of health, ministry of external affairs, registrar of companies, roc, income tax department, election commission of india, supreme court, "
+    "supreme court of india, high court, parliament of india, government of india, central government, state government, unique identification authority of india, uidai, competition commission of india, "
+    "central depository services (india) limited, cdsl, national securities depository limited, nsdl, united nations, world health organization, european union, world bank, internal revenue service, "
+    "securities and exchange commission, federal reserve, department of justice, social security administration, postal service"
 )
+#: Sites of such bodies. Fixed values.
 PUBLIC_DOMAINS = ("sebi.gov.in", "bseindia.com", "nseindia.com", "rbi.org.in", "mca.gov.in", "gov.in")
+#: Words of contracts and securities: with one of them, and no word of companies, a phrase is a defined term.
 LEGAL_TERMS = words(
-    "act acts agreement allotment annexure applicant applicants application article articles bid bidder bidders bids board chapter circular clause companies company corporate date day days depository draft "
-    "equity exchange fiscal form fund funds guidelines herring investor investors issue law listing market material net note offer page part period portion price prospectus red regulation regulations report "
-    "resolution risk rule rules schedule scheme section sections securities share shareholder shareholders shares statement stock syndicate table tax term terms trading transfer"
+    "act addendum affidavit agreement allotment amendment annexure appendix arbitration article articles bid board bond bonds bye-laws certificate chapter charter circular clause code committee contract covenant debenture "
+    "debentures deed demat directive dividend draft equity escrow exhibit filing fiscal gazette guidelines herring indemnity indenture index issue law lease liability licence listing mandate memorandum mortgage notification "
+    "offer offering order ordinance petition policy portion prospectus protocol provision quarter record register regulation regulations report resolution rule rules schedule scheme section securities share shares "
+    "statement statute stock subscription summons table tariff tax tender term terms treaty undertaking voucher warrant"
 )
+#: What a defined term ends with.
+TERM_TAILS = words("act acts agreement agreements circular circulars committee guidelines issue offer policy portion prospectus regulation regulations report reports rule rules scheme schemes")
+#: Words that are typical of names of companies and institutions.
 ORG_WORDS = words(
-    "limited ltd private pvt llp llc inc corporation corp company trust foundation bank associates securities capital industries enterprises ventures holdings group partners solutions technologies systems services "
-    "logistics analytics payments motors international finance insurance investments advisors consultants chemicals steel power energy pharma"
+    "academy advisors agency airlines analytics associates bank breweries brothers builders capital clinic club co college communications company constructions consultants consulting corp corporation council dairy "
+    "electronics energy engineering enterprises exports finance foods foundation freight group holdings hospital hotels inc industries infrastructure institute insurance international investments labs laboratories limited "
+    "llc llp logistics ltd manufacturing media mills motors networks partners pharma pharmaceuticals power private properties pvt realty resorts retail securities services shipping society software solutions steel studio "
+    "studios systems technologies telecom textiles traders transport trust university ventures works"
 )
-LABELS = words("mr mrs ms dr shri smt name contact person persons telephone tel phone mobile fax email e-mail website address cin din pan no nos number sr date of birth dob customer user client attn vendor designation and the to by at for from with in on")
-GENERIC = LEGAL_TERMS | words(
-    "our we us you your their its his her this that these those all any each other such new old north south east west central national india indian international global public general special annual total "
-    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday office head registered branch city state country road street "
-    "service support account order ticket invoice refund payment card balance summary priority incident model warranty claim number reference tracking version firmware knowledge base server system network team"
-)
-TERM_TAILS = words("prospectus act regulation regulations rule rules report policy scheme committee portion agreement circular offer issue")
-ADDRESS_WORDS = words("road rd marg nagar village taluka district plot tower building floor wing complex park centre center street lane chowk peth area estate house society apartment colony chambers block station sector avenue ave suite drive boulevard parkway way court flat")
-STATES = phrases(
-    "andhra pradesh, arunachal pradesh, assam, bihar, chhattisgarh, delhi, goa, gujarat, haryana, himachal pradesh, jammu and kashmir, jharkhand, karnataka, kerala, madhya pradesh, maharashtra, manipur, meghalaya, "
-    "mizoram, nagaland, odisha, puducherry, punjab, rajasthan, sikkim, tamil nadu, telangana, tripura, uttar pradesh, uttarakhand, west bengal, chandigarh, ladakh, new delhi"
+#: What stands before or after a value in forms and letters.
+LABELS = words(
+    "address attention attn birth by cell cin client contact customer date designation din dob dr email e-mail fax for from mail miss mobile mr mrs ms name names no nos number pan passport patient person persons "
+    "phone ref reference regards sent shri signed sincerely smt sr tel telephone to user website with"
 )
-US_STATES = words("AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY")
-ORG_STOP = (LEGAL_TERMS - words("securities stock exchange fund funds market material trading tax note form law")) | words(
-    "our by from with in at to as namely its their formerly contact person designated registrar bankers sponsor escrow collection account refund counsel auditors statutory legal members telephone email e-mail website "
-    "address name entities above opp opposite near behind next the a an for director directors promoter promoters short long commercial scheduled cooperative any such vendor customer"
+#: Ordinary words that headings and sentences write with a capital.
+GENERIC = LEGAL_TERMS | words(
+    "a an the this that these those each every both all some any no not our your their his her its we you they he she it i who which what where when why how if as at in on of or and but by for from with into over under "
+    "after before during between since until about also here there new old first second third next last other such same more most many few several one two three four five six seven eight nine ten "
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday spring summer autumn winter morning evening "
+    "north south east west northern southern eastern western central upper lower national international global local public general special annual monthly weekly daily "
+    "account amount appointment balance booking building case category city class copy country course department description desk details district document email entry event example fee figure file floor form "
+    "guide help home hours house information introduction invoice item key level line list map message method model month note number office page part payment phase phone photo plan please post price problem product "
+    "programme project purpose question receipt request result review room route sample series server service session set size source staff state status step street subject summary support system team test text ticket "
+    "time title total town tracking train type unit update use user value version village visit week welcome work year yes"
 )
-CITY_STOP = words("Fiscal Fiscals Rule Rules Regulation Section Page Pages Note Notes Unit Plot No Floor Form Schedule Clause Sr Number Numbers")
+
+# ---- names of people: common in India and in English-speaking countries
+
 GIVEN_NAMES = words(
-    "aarav aditi aditya ajay akash amit amita anand anil anita anjali ankit arjun arun asha ashok ayesha bharat deepa deepak dinesh divya farhan gaurav geeta girish harish imran isha karan kavita kiran kushal lakshmi "
-    "lokesh mahesh manish manoj maya meena meera mohan mukesh nandini neha nikhil nisha pooja pradeep prakash priya rahul raj rajesh rakesh rakhi ramesh rashi ravi rekha ritu rohan rohit sachin sanjay sanjeev sarthak "
-    "sandeep shanti shreya sita sneha sonia soumavo sunil sunita suresh swati tara uma usha vandana varun vijay vikas vikram vinod vivek yash zoya "
-    "alice andrew anna anthony barbara benjamin brian carol charles christopher daniel david deborah donald dorothy edward elizabeth emily emma eric frank george grace hannah helen henry jack jacob james jane jennifer "
-    "jessica john jonathan joseph julia karen kevin laura linda lisa margaret maria mark mary matthew michael michelle nancy nicholas olivia pamela patricia paul peter rachel rebecca richard robert ruth samuel sandra "
-    "sarah scott sharon sophia stephen steven susan thomas timothy victoria walter william"
+    "abhishek aditi aditya ajay akash amar amit amrita anand anil anita anjali ankit anupam arjun arun asha ashok bharat chandra deepa deepak dev dinesh divya farah gaurav geeta gopal govind hari harish imran indira isha "
+    "jaya karthik kavita kiran krishna kumar lakshmi lalita leela madhav mahesh manish manoj maya meena meera mohan mukesh nandini naresh naveen neha nikhil nisha om padma pooja pradeep prakash priya radha rahul raj "
+    "rajesh rakesh ramesh ravi rekha rohan rohit sachin sandeep sanjay sarita shreya shyam sita sneha sunil sunita suresh swati tara uma vijay vikram vinod vivek yash "
+    "adam alan alice amanda andrew angela anna arthur barbara benjamin brian carol charles charlotte christine claire daniel david deborah diana donald edward elizabeth emily emma eric eva frank george grace hannah "
+    "harold helen henry ian isabel jack jacob james jane janet jason jennifer jessica john jonathan joseph joyce julia karen keith kevin laura leo linda lisa lucas lucy margaret maria mark martha martin mary matthew "
+    "michael michelle nancy nathan nicholas nora oliver olivia oscar patricia paul peter philip rachel rebecca richard robert roger rose ruth samuel sandra sarah scott simon sophia stephen steven susan theodore thomas "
+    "timothy victor victoria vincent walter william"
 )
 SURNAMES = words(
-    "bhandari chopra deshpande desai gupta hegde iyer joshi kapoor khan kulkarni malhotra mehta menon mishra nair naik patel patil rao reddy shah sharma shetty singh sinha thakur verma yadav "
-    "adams baker bennett brooks brown campbell carter clark collins cooper davis evans fields foster garcia green hall harris hill jackson johnson jones king lewis martin mathews miller mitchell moore morgan "
-    "murphy nelson parker phillips roberts robinson scott smith stewart taylor thompson turner walker ward white wilson wood wright young"
+    "agarwal ahuja banerjee bhatt bose chakraborty chatterjee chauhan chawla das desai deshmukh dutta ghosh goswami gupta iyer jain jha joshi kapoor kaur khanna kulkarni mahajan malhotra mehta menon mishra mukherjee nair "
+    "naidu pandey patel pillai rao rathore reddy saxena sen shah sharma shetty singh sinha trivedi varma verma "
+    "adams allen anderson armstrong bailey barnes bell bennett brooks brown campbell carter clark collins cooper cox davies edwards ellis evans fisher fletcher foster graham griffiths hall hamilton harris harrison hughes "
+    "hunt jackson jenkins johnson jones kennedy king knight lawson lewis marshall mason miller mitchell moore morgan morris murphy nelson palmer parker phillips porter powell reed reynolds richardson roberts robinson "
+    "russell saunders shaw simpson smith spencer stewart sullivan taylor thompson turner walker ward watson webb wells white williams wilson wood wright young"
 )
 NAME_WORDS = GIVEN_NAMES | SURNAMES
-#: Ordinary English words, for the vocabulary filter; stems are tried too.
+
+# ---- places
+
+#: States and territories. Fixed values.
+STATES = phrases(
+    "andhra pradesh, arunachal pradesh, assam, bihar, chandigarh, chhattisgarh, delhi, goa, gujarat, haryana, himachal pradesh, jammu and kashmir, jharkhand, karnataka, kerala, ladakh, madhya pradesh, maharashtra, manipur, "
+    "meghalaya, mizoram, nagaland, new delhi, odisha, puducherry, punjab, rajasthan, sikkim, tamil nadu, telangana, tripura, uttar pradesh, uttarakhand, west bengal"
+)
+#: Postal abbreviations. Fixed values.
+US_STATES = words("AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY")
+#: Parts of postal addresses.
+ADDRESS_WORDS = words(
+    "alley apartment apartments avenue bazaar block boulevard building bungalow bypass chambers chowk circle close colony complex court crescent cross district drive enclave estate extension flat floor gali garden gardens "
+    "gate ghat heights highway hill house lane layout marg market mews mill mohalla nagar park parade parkway peth place plaza plot quarters road row sector society square station street suite taluka tehsil terrace tower "
+    "towers township vihar village ward way wing"
+)
+#: Besides those: what only shows that a line is part of an address.
+ADDRESS_HINTS = words("apt ave behind blvd campus dist level near opp opposite post rd residency st tal")
+#: Words that stand before six digits and aren't towns.
+NOT_TOWNS = words("about account amount approximately clause code crore fiscal form invoice item lakh model no note number order page part plot policy ref room rs rule schedule section serial step table ticket total unit units version year")
+
+# ---- ordinary English, for names that are only words. Stems are tried too.
+
 DICTIONARY = words(
-    "able account allot allow apply approve base basis bid board book call card change check claim close company contact cost credit custom date day deal debt detail draft due email equity event fact fee field file "
-    "final form full fund game general go green group growth head help high home house income index issue item job key large law lead letter level line list loan loss mail make manage market may member model month "
-    "name need net new note offer office open option order page paper part party pay period phone place plan point policy portion post price process product profit project public rate record red reference refund "
-    "report request result return review right risk road room rule run sale school section sell selling series service share shoe sign site stock story student summary support system table tax team term test "
-    "ticket time title total trade transfer type unit update use user value version view water week white work world year"
+    "able add air allot animal answer apple ask bag ball base basis beach bear bed bell bird black blue board boat body bond book bottle box branch bread bridge bright build business buy call camera camp car card care carry "
+    "cat chain change cheap child choice circle clean clear clock cloud coat coffee cold colour connect cook corner cost cotton count cover craft cream cross crown cup cut dance dark deal deep deliver design desk direct "
+    "discover dog door double draw dream dress drink drive early earth easy edge egg engine enter equal even express face fair fall farm fast feed field fight final find fire fish flat flow flower fly fold food foot forest "
+    "free fresh fruit full game garden gate gift glass gold good grain grand grass great green ground grow guard hand happy hard heart heavy high hill hold hope horse hot image island join jump keep kind kitchen lake lamp land "
+    "large lead leaf learn letter light lion list load lock long look lunch machine mail market match meal measure meet metal milk mind mirror moon mountain move music need net night noise nose ocean oil open option orange"
 )
-ORG_DESCRIPTORS = ("Horizon", "Summit", "Meridian", "Cascade", "Beacon", "Harbor", "Juniper", "Lantern", "Orchard", "Pioneer", "Quartz", "Willow")
-STREETS = ("Maple Street", "Lake View Road", "Garden Lane", "Hill Crest Avenue", "Station Road", "Temple Lane", "Market Street", "River Side Drive", "Park Avenue", "College Road")
-CITIES = ("Ambarpur", "Devgaon", "Chandanpur", "Surajnagar", "Nilgarh", "Shantipur", "Rajgarh", "Malpura")
+
+# ---- made-up parts of fakes
+
+ORG_DESCRIPTORS = ("Amber", "Birch", "Cedar", "Copper", "Falcon", "Granite", "Indigo", "Maple", "Opal", "Raven", "Saffron", "Velvet")
+STREETS = ("Acacia Street", "Bluebell Lane", "Canal Road", "Dovecote Avenue", "Elm Park Road", "Foundry Street", "Granary Lane", "Heron Way", "Ivy Terrace", "Juniper Road")
+CITIES = ("Amarvati Nagar", "Bhanupur", "Chitralok", "Dhavalgiri", "Ekampur", "Falgunabad", "Girijapur", "Hemkunj")
+
+# ---- identity cards
+
+#: What is printed on them. Fixed values.
 ID_CUES = phrases(
     "income tax department, permanent account number, government of india, election commission, driving licence, aadhaar, unique identification, passport, date of birth, father's name, identity card, voter, आधार, भारत सरकार, जन्म, पहचान"
 )
@@ -99,6 +160,12 @@ ID_LABELS = {
 }
 
 
+def is_title(phrase: str) -> bool:
+    """Whether a phrase, in lower case, is a job title or several."""
+    parts = phrase.replace(",", " ").split()
+    return bool(parts) and parts[-1] in TITLE_HEADS and all(x in TITLE_HEADS or x in TITLE_MODIFIERS or x == "and" for x in parts)
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """Options of a run. ``scope``: 'document' or 'corpus', within which one value has one fake."""

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import PUBLIC_DOMAINS
+from ..config import CAPITAL_ENDINGS, ENDINGS, MORE_ENDINGS, PUBLIC_DOMAINS, TITLE_HEADS, TITLE_MODIFIERS
 from .spans import let
 
-#: Company endings, as they are written. Fixed values.
-ORG_ENDINGS = r"(?:Private\s+Limited|Pvt\.?\s+Ltd\.?|Limited|Ltd\.?|LLP|L\.L\.P\.|Family\s+Trust|Trust|Foundation|Bank(?:\s+of\s+India)?|Associates|N\.A\.|Securities)"
+def _pattern(ending: str) -> str:
+    """An ending however its blanks are written; the dots of abbreviations may lack, those between capitals not."""
+    return r"\s+".join(w.replace(".", r"\.") if w.count(".") > 1 else w.replace(".", r"\.?") for w in ending.split())
+
+
+#: The legal forms that names end with, longest first.
+ORG_ENDINGS = "(?:" + "|".join(_pattern(x) for x in sorted((*ENDINGS, *MORE_ENDINGS), key=lambda x: (-len(x), x))) + ")"
+_CAPITALS = "|".join(x.replace(".", r"\.") for x in sorted(CAPITAL_ENDINGS))
 WORD = r"(?U)[\w][\w'’.&-]*"
 
 
@@ -39,7 +45,7 @@ def strip_org_suffix(name: Column) -> Column:
 def org_suffix(name: Column) -> Column:
     """The company ending of a name, in title case but for those that are capitals; empty if none."""
     found = F.regexp_extract(squeezed(name), rf"(?i)((?:[\s,]+{ORG_ENDINGS})+)$", 1)
-    title = F.transform(F.split(found, " "), lambda w: F.when(F.upper(w).rlike(r"^(LLP|L\.L\.P\.|N\.A\.),?$"), F.upper(w)).when(F.lower(w) == "of", F.lit("of")).otherwise(F.initcap(w)))
+    title = F.transform(F.split(found, " "), lambda w: F.when(F.lower(w).rlike(rf"^(?:{_CAPITALS})[.,]*$"), F.upper(w)).when(F.lower(w) == "of", F.lit("of")).otherwise(F.initcap(w)))
     return F.array_join(title, " ")
 
 
@@ -60,6 +66,14 @@ def stems(word: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(base, more, single), lambda x: x.isNotNull()))
 
 
+def is_title(key: Column) -> Column:
+    """Whether a phrase, in lower case, is a job title or several: heads, each with any modifiers before it."""
+    parts = F.filter(F.split(F.replace(key, F.lit(","), F.lit(" ")), " "), lambda w: w != "")
+    known = F.array(*map(F.lit, sorted(TITLE_HEADS | TITLE_MODIFIERS | {"and"})))
+    heads = F.array(*map(F.lit, sorted(TITLE_HEADS)))
+    return let(parts, lambda p: F.coalesce(F.array_contains(heads, F.get(p, F.size(p) - 1)), F.lit(False)) & F.forall(p, lambda w: F.array_contains(known, w)))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(url, r"\.\s+", "."), r"(?i)^(?:https?://)?(?:www\.)?([^/\s:?#]+)", 1))
 

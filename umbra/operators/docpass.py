@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.names import ADDRESS_CUE
 from ..functions.spans import let, no_spans, overlaps, resolve_overlaps, span, value_of
-from ..functions.text import squeezed, stems, strip_org_suffix, tokens
+from ..functions.text import is_title, squeezed, stems, strip_org_suffix, tokens
 
 LOWER_WORD = r"(?U)(?<![\w@./:-])[a-z][a-z]+(?:-[a-z]+)*(?![\w@]|\.\w)"
-#: Longest name, in words, and how much of a unit's end and of the next one's start a split name may take.
-LONGEST, TAIL = 12, 80
+#: How much of a unit's end and of the next one's start a split name may take.
+TAIL = 80
 NAMES = ("PERSON", "ORGANIZATION")
 
 
@@ -68,7 +68,8 @@ def drop_vocabulary_names(units: DataFrame) -> DataFrame:
     return out.withColumn("spans", F.filter("spans", lambda s: ~gone(s))).drop("_drop")
 
 
-_LABEL_LINE = r"(?i)\b(?:telephone|tel|e-?mail|website|contact\s+person|sebi\s+registration|cin|firm\s+registration|peer\s+review)\b"
+#: Lines that hold something else.
+_LABEL_LINE = r"(?i)\b(?:tel(?:ephone)?|phone|fax|e-?mail|website|contact\s+persons?|cin|(?:firm|sebi)\s+registration|peer\s+review)\b"
 _STATE_ONLY = r"^\s*\(?[A-Z][a-z]+(?:\s[A-Z][a-z]+)?\)?,?\s*India\.?\s*$"
 
 
@@ -123,7 +124,7 @@ def known_names(units: DataFrame) -> DataFrame:
     rows = units.select("doc_id", "unit_id", "text", F.explode("spans").alias("s")).where(F.col("s.entity_type").isin(*NAMES))
     value = squeezed(value_of(F.col("text"), F.col("s")))
     rows = rows.select("doc_id", "unit_id", F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), F.lower(value).alias("key"))
-    rows = rows.where((F.size(F.split("key", " ")) >= 2) & (F.length("key") >= 6) & ~F.col("key").isin(*sorted(C.ROLES | C.PUBLIC_BODIES)))
+    rows = rows.where((F.size(F.split("key", " ")) >= 2) & (F.length("key") >= 6) & ~is_title(F.col("key")) & ~F.col("key").isin(*sorted(C.PUBLIC_BODIES)))
     return rows.groupBy("doc_id", "key").agg(F.min_by("entity_type", F.struct("unit_id", "start")).alias("entity_type"))
 
 
@@ -194,7 +195,7 @@ def short_forms(units: DataFrame, known: DataFrame) -> DataFrame:
     bare = rows.where((F.size(low) >= 2) & ~F.lower("bare").isin(*sorted(C.PUBLIC_BODIES)) & ~F.forall(low, lambda t: F.array_contains(generic, t)))
     first = rows.withColumn("word", F.element_at(F.split("full", " "), 1)).withColumn("key", F.lower("word"))
     long_enough = F.length("word") >= F.when(F.col("word") == F.upper("word"), 3).otherwise(4)
-    lists = C.NAME_WORDS | C.ROLES | C.PUBLIC_BODIES | C.GENERIC
+    lists = C.NAME_WORDS | C.TITLE_HEADS | C.PUBLIC_BODIES | C.GENERIC
     first = first.where(long_enough & F.col("word").rlike(r"^[A-Za-z][A-Za-z-]*$") & (F.col("word") != F.col("key")) & ~F.col("key").isin(*sorted(lists)) & ~F.arrays_overlap(stems(F.col("key")), _literals(C.DICTIONARY)))
     people = known.where("entity_type = 'PERSON'").select("doc_id", F.explode(F.split("key", " ")).alias("key")).distinct()
     first = first.join(people, ["doc_id", "key"], "left_anti").join(vocabulary(units, first).withColumnRenamed("word", "key"), ["doc_id", "key"], "left_anti")

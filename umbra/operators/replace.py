@@ -45,14 +45,25 @@ def _fake(seed: pd.Series, scope: pd.Series, entity: pd.Series, key: pd.Series,
     return pd.Series([fakes.fake(*x) for x in zip(seed, scope, entity, key, value, attempt, strict=True)])
 
 
-def _fresh(rows: DataFrame, seed: int, attempts: int = 3) -> DataFrame:
-    """rows (scope_id, entity_type, key, value) with fakes that differ, whatever their letter case, within a scope."""
-    w = Window.partitionBy("scope_id", F.lower("fake")).orderBy("entity_type", "key")
-    rows = rows.withColumn("fake", _fake(F.lit(seed), "scope_id", "entity_type", "key", "value", F.lit(0)))
-    for _ in range(attempts):
-        again = F.row_number().over(w) - 1
-        rows = rows.withColumn("_n", again).withColumn("fake", F.when(F.col("_n") == 0, F.col("fake")).otherwise(_fake(F.lit(seed), "scope_id", "entity_type", "key", "value", F.col("_n")))).drop("_n")
-    return rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("fake", F.when(F.col("_n") == 0, F.col("fake")).otherwise(F.concat("fake", F.lit(" "), F.col("_n") + 1))).drop("_n")
+def _apart(rows: DataFrame, rounds: int = 2) -> DataFrame:
+    """rows (scope_id, entity_type, key, fake) with fakes that differ, whatever their letter case, within a scope: equal
+    ones are numbered, mail addresses before the @. What a number makes equal to another gets one more, then a hash."""
+    order = Window.partitionBy("scope_id", F.lower("fake")).orderBy("entity_type", "key")
+    for k in range(rounds + 1):
+        mark = F.col("_n").cast("string") if k < rounds else F.lower(F.hex(F.xxhash64("entity_type", "key")))
+        local, host = F.substring_index("fake", "@", 1), F.concat(F.lit("@"), F.substring_index("fake", "@", -1))
+        marked = F.when(F.col("fake").contains("@"), F.concat(local, mark, host)).otherwise(F.concat("fake", F.lit(" "), mark))
+        rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("fake", F.when(F.col("_n") == 1, F.col("fake")).otherwise(marked)).drop("_n")
+    return rows
+
+
+def _fresh(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (scope_id, entity_type, key, value) with fakes; equal ones are drawn once more before they are numbered."""
+    drawn = lambda attempt: _fake(F.lit(seed), "scope_id", "entity_type", "key", "value", attempt)
+    rows = rows.withColumn("fake", drawn(F.lit(0)))
+    again = F.row_number().over(Window.partitionBy("scope_id", F.lower("fake")).orderBy("entity_type", "key")) - 1
+    rows = rows.withColumn("_n", again).withColumn("fake", F.when(F.col("_n") == 0, F.col("fake")).otherwise(drawn(F.col("_n")))).drop("_n")
+    return _apart(rows)
 
 
 def person_tokens(people: DataFrame) -> DataFrame:
@@ -86,7 +97,7 @@ def _emails(mails: DataFrame, people: DataFrame, hosts: DataFrame, seed: int) ->
     h = F.xxhash64(F.lit(seed), "scope_id", "key")
     user = F.concat(F.get(names, F.pmod(h, F.lit(len(fakes.FIRST))).cast("int")), F.pmod(F.shiftright(h, 16), F.lit(900)) + 100)
     rows = rows.join(made, ["scope_id", "key"])
-    return rows.select("scope_id", "entity_type", "key", "value", F.concat(F.when(F.col("hits") > 0, F.col("made")).otherwise(user), F.lit("@"), F.coalesce("fake_host", F.lit("mail.example.com"))).alias("fake"))
+    return _apart(rows.select("scope_id", "entity_type", "key", "value", F.concat(F.when(F.col("hits") > 0, F.col("made")).otherwise(user), F.lit("@"), F.coalesce("fake_host", F.lit("mail.example.com"))).alias("fake")))
 
 
 def replacements(spans: DataFrame, config: C.RunConfig, stage=lambda df, name: df) -> DataFrame:

@@ -28,32 +28,39 @@ def _short(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
 # ---- detection: text, context words, what is found
 
 DETECTION = [
-    ("Customer DOB: 14/07/1986. Account opened 03/02/2019.", "", [("DATE_OF_BIRTH", "14/07/1986")]),
-    ("D.O.B. 11/08/1994 is noted", "", [("DATE_OF_BIRTH", "11/08/1994")]),
-    ("Meera Iyer was born on 3 January 1979.", "", [("PERSON", "Meera Iyer"), ("DATE_OF_BIRTH", "3 January 1979")]),
-    ("The Offer closes on 18/12/2025.", "", []),
-    ("21/09/1992", "", []), ("21/09/1992", "Date of Birth", [("DATE_OF_BIRTH", "21/09/1992")]),
-    ("00135070", "", []), ("00135070", "DIN", [("IN_DIN", "00135070")]),
-    ("SSN 536-22-8741, card 4111 1111 1111 1111, IP 203.0.113.45, phone +91 98765 43210.", "", [("US_SSN", "536-22-8741"), ("CREDIT_CARD", "4111 1111 1111 1111"), ("IP_ADDRESS", "203.0.113.45"), ("PHONE_NUMBER", "+91 98765 43210")]),
-    ("Order 4500123456 and invoice INV-2024-00871 were refunded under ticket TCK-200101.", "", []),
-    ("firmware 10.4.2, section 4.2.1, card 4111 1111 1111 1112", "", []),
-    ("IPv6 2001:db8:85a3::8a2e:370:7334 at 02:00", "", [("IP_ADDRESS", "2001:db8:85a3::8a2e:370:7334")]),
-    ("call 1800 222 345 or 022 2456 7781 or mobile 98230 12345", "", [("PHONE_NUMBER", "1800 222 345"), ("PHONE_NUMBER", "022 2456 7781"), ("PHONE_NUMBER", "98230 12345")]),
-    ("PAN ABCPE1234F and Aadhaar 2341 2341 2346", "", [("IN_PAN", "ABCPE1234F"), ("IN_AADHAAR", "2341 2341 2346")]),
-    ("code ABCPE1234F or 2341 2341 2346", "", []),
-    ("see www.example. com and https://foo.bar/x. or www.sebi.gov.in or http://localhost/", "", [("URL", "www.example. com"), ("URL", "https://foo.bar/x")]),
-    ("mail to help@sebi.gov.in or a.b@c.example.org.", "", [("EMAIL_ADDRESS", "a.b@c.example.org")]),
-    ("Our Company was incorporated as “Bhaskar Metal Extrusion Private Limited” under the Act", "", [("ORGANIZATION", "Bhaskar Metal Extrusion Private Limited")]),
-    ("Kirt & Pandya LLP, Chartered Accountants", "", [("ORGANIZATION", "Kirt & Pandya LLP")]),
-    ("the Short Term Bank loans", "", []),
-    ("Contact Person: Shanti Gopalan SEBI Registration No.: INR000004058", "", [("PERSON", "Shanti Gopalan")]),
-    ("Contact Person: Lokesh Shah/ Soumavo Sarkar", "", [("PERSON", "Lokesh Shah"), ("PERSON", "Soumavo Sarkar")]),
-    ("Sarthak Malwadkar, Company Secretary and Compliance Officer, and the Managing Director", "", [("PERSON", "Sarthak Malwadkar")]),
-    ("The Equity Shares will be listed on BSE Limited and National Stock Exchange of India Limited.", "", []),
-    ("This Red Herring Prospectus is filed with the RoC.", "", []),
-    ("Registered Office: 11/3 Village Birdewadi, Chakan, Pune – 410 501, Maharashtra, India; CIN", "", [("ADDRESS", "11/3 Village Birdewadi, Chakan, Pune – 410 501, Maharashtra, India")]),
-    ("Ship to 18 Birchwood Terrace, Springfield, IL 62704 by Friday.", "", [("ADDRESS", "18 Birchwood Terrace, Springfield, IL 62704")]),
-    ("Ticket TCK-104233 was opened", "", []), ("Revenue in Fiscal 2025 grew by 410 501 units", "", []),
+    # dates of birth: a cue in the sentence, or in the unit's context
+    ("The pony's rider, DOB: 09/04/2001. The saddle was bought on 12/08/2019.", "", [("DATE_OF_BIRTH", "09/04/2001")]),
+    ("Gopal Bhatt was born on 28 October 1966.", "", [("PERSON", "Gopal Bhatt"), ("DATE_OF_BIRTH", "28 October 1966")]),
+    ("The exhibition opens on 05/11/2026.", "", []), ("1990-02-17", "", []), ("1990-02-17", "Birth", [("DATE_OF_BIRTH", "1990-02-17")]),
+    # numbers of people and things
+    ("48210937", "", []), ("48210937", "DIN", [("IN_DIN", "48210937")]),
+    ("taxpayer ID 219-07-6631 paid with 5555 5555 5555 4444 from 198.51.100.9", "", [("US_SSN", "219-07-6631"), ("CREDIT_CARD", "5555 5555 5555 4444"), ("IP_ADDRESS", "198.51.100.9")]),
+    ("a card that fails its check, 5555 5555 5555 4445, and release 7.2.1 of section 3.1.4", "", []),
+    ("consignment 6017744120 left with waybill WB-2025-03381", "", []),
+    ("the gateway 2001:db8:4::beef:12 answered at 23:59", "", [("IP_ADDRESS", "2001:db8:4::beef:12")]),
+    ("income tax PAN is BQRPT5521L, Aadhaar is 2341 2341 2346", "", [("IN_PAN", "BQRPT5521L"), ("IN_AADHAAR", "2341 2341 2346")]),
+    ("serial BQRPT5521L of lot 2341 2341 2346", "", []),
+    # phones, in every form
+    ("reach us at +91 94460 71355, or +44 20 7946 0991", "", [("PHONE_NUMBER", "+91 94460 71355"), ("PHONE_NUMBER", "+44 20 7946 0991")]),
+    ("dial 91-80-2558 4471 or phone 080 2558 4471", "", [("PHONE_NUMBER", "91-80-2558 4471"), ("PHONE_NUMBER", "080 2558 4471")]),
+    ("landline 0361-2540019, mobile 8876543210, cell 99571 20846, helpline 1800 345 6789", "", [("PHONE_NUMBER", "0361-2540019"), ("PHONE_NUMBER", "8876543210"), ("PHONE_NUMBER", "99571 20846"), ("PHONE_NUMBER", "1800 345 6789")]),
+    # sites and mail
+    ("look at www.harbour-museum. org or https://tides.example/today, not at http://intranet/ or www.rbi.org.in", "", [("URL", "www.harbour-museum. org"), ("URL", "https://tides.example/today")]),
+    ("write to curator@harbour-museum.example, not to info@sebi.gov.in", "", [("EMAIL_ADDRESS", "curator@harbour-museum.example")]),
+    # companies and people
+    ("The lighthouse was leased by Gull & Anchor Marine Private Limited until spring", "", [("ORGANIZATION", "Gull & Anchor Marine Private Limited")]),
+    ("Account holder: Coral Reef Bank Limited, Kochi", "", [("ORGANIZATION", "Coral Reef Bank Limited")]),
+    ("a long term bank loan and a Commercial Bank licence", "", []),
+    ("Contact Person: Padma Trivedi Registration No.: KL/2291", "", [("PERSON", "Padma Trivedi")]),
+    ("Contact Persons: Roger Spencer/ Jaya Sen, Fax: none", "", [("PERSON", "Roger Spencer"), ("PERSON", "Jaya Sen")]),
+    ("Iravati Phadnis, Chief Engineer and Compliance Officer, met the Deputy Director", "", [("PERSON", "Iravati Phadnis")]),
+    ("Mr Oluwaseun Adeyemi of Zephyr Analytics/ Tidal Logistics spoke", "", [("PERSON", "Oluwaseun Adeyemi"), ("ORGANIZATION", "Zephyr Analytics"), ("ORGANIZATION", "Tidal Logistics")]),
+    ("The Harbour Committee Report and the Lease Agreement follow the Shipping Act.", "", []),
+    ("Dues are paid to the Reserve Bank of India and to BSE Limited.", "", []),
+    # addresses
+    ("Store: Shed 9, Jetty Road, Willingdon Island, Kochi – 682 003, Kerala, India; open daily", "", [("ADDRESS", "Shed 9, Jetty Road, Willingdon Island, Kochi – 682 003, Kerala, India")]),
+    ("Return it to 77 Pebble Lane, Rockport, ME 04856 by post.", "", [("ADDRESS", "77 Pebble Lane, Rockport, ME 04856")]),
+    ("Berth BRT-660214 is free", "", []), ("tonnage in Fiscal 2024 rose by 310 200 units", "", []),
 ]
 
 
@@ -67,14 +74,14 @@ def detection_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- passes over documents
 
 PAGES = [
-    (1, 0, "Contact Person: Rashi Patil; E-mail: rashi.patil@mail.com", "c1"), (1, 1, "RASHI PATIL is the promoter of Brightline Logistics Private Limited.", "c1"),
-    (1, 2, "Later Brightline and (Rashi  Patil) came, not rashi patil", "c1"), (1, 3, "signed by Rashi", "c2"), (1, 4, "Patil on behalf of all", "c2"), (1, 5, "signed by Rashi", "c3"), (1, 6, "Patil elsewhere", "c4"),
-    (1, 7, "Plot 12, Shanti Road", "c5"), (1, 8, "Pune – 410 501", "c5"), (1, 9, "Maharashtra, India", "c5"), (1, 10, "Registrar of Companies", "c6"), (1, 11, "100 Marine Road, Mumbai 400 002", "c6"),
-    (2, 0, "Brightline is another here", "c1"),
+    (1, 0, "Contact Person: Naveen Pillai; E-mail: naveen.pillai@quay.example", "c1"), (1, 1, "NAVEEN PILLAI founded Seabright Salvage Private Limited.", "c1"),
+    (1, 2, "Since then Seabright and (Naveen  Pillai) have moved, but naveen pillai is no name", "c1"), (1, 3, "countersigned Naveen", "c2"), (1, 4, "Pillai for the crew", "c2"), (1, 5, "countersigned Naveen", "c3"), (1, 6, "Pillai aside", "c4"),
+    (1, 7, "Godown 3, Lantern Road", "c5"), (1, 8, "Alappuzha – 688 012", "c5"), (1, 9, "Kerala, India", "c5"), (1, 10, "Ministry of Finance", "c6"), (1, 11, "5 Compass Street, Kollam 691 001", "c6"),
+    (2, 0, "Seabright is a colour here", "c1"),
 ]
 PASSES = [
-    (1, 2, "Brightline", C.SHORT_FORM), (1, 2, "Rashi  Patil", C.PROPAGATED), (1, 3, "Rashi", C.PROPAGATED), (1, 4, "Patil", C.CONTINUATION), (1, 7, "Plot 12, Shanti Road", C.ADDRESS_BLOCK),
-    (1, 8, "Pune – 410 501", "address"), (1, 9, "Maharashtra, India", C.ADDRESS_BLOCK),
+    (1, 2, "Seabright", C.SHORT_FORM), (1, 2, "Naveen  Pillai", C.PROPAGATED), (1, 3, "Naveen", C.PROPAGATED), (1, 4, "Pillai", C.CONTINUATION), (1, 7, "Godown 3, Lantern Road", C.ADDRESS_BLOCK),
+    (1, 8, "Alappuzha – 688 012", "address"), (1, 9, "Kerala, India", C.ADDRESS_BLOCK),
 ]
 
 
@@ -89,20 +96,20 @@ def document_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "unit_id", value_of(F.col("text"), F.col("s")).alias("found"), F.col("s.source").alias("source"))
 
 
-VOCABULARY = [(1, 0, "Selling", True), (1, 1, "Basis", True), (1, 2, "Rajesh Hegde", False), (1, 3, "Green Option", False), (2, 4, "Green Option", True)]
+VOCABULARY = [(1, 0, "Cooking", True), (1, 1, "Bridges", True), (1, 2, "Uma Nair", False), (1, 3, "Reed Basket", False), (2, 4, "Reed Basket", True), (1, 5, "LNG Boat", True), (1, 6, "LNG", False)]
 
 
 @query(expected([(k, ok) for _, k, _, ok in VOCABULARY], "k, is_vocabulary", "INTEGER BOOLEAN"))
 def vocabulary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _short(spark, [x[:3] for x in VOCABULARY], "doc_id int, k int, value string")
-    return docpass.vocabulary_spans(rows, _short(spark, [(2, "green")], "doc_id int, word string")).select("k", "is_vocabulary")
+    return docpass.vocabulary_spans(rows, _short(spark, [(2, "reed"), (2, "basket"), (1, "basket")], "doc_id int, word string")).select("k", "is_vocabulary")
 
 
 # ---- text and replacement
 
 KEYS = [
-    ("PHONE_NUMBER", "+91 22 4009 4400", "2240094400"), ("PERSON", "Kushal  Subba\tHegde", "kushal subba hegde"), ("URL", "https://www.A.example/", "a.example"), ("URL", "www.a. example", "a.example"),
-    ("CREDIT_CARD", "4111-1111 1111 1111", "4111111111111111"), ("ORGANIZATION", "Acme Works Ltd.", "acme works ltd"),
+    ("PHONE_NUMBER", "+91 484 266 0193", "4842660193"), ("PERSON", "Tara  Joy\tGeorge", "tara joy george"), ("URL", "http://www.Quay.example/", "quay.example"), ("URL", "www.quay. example", "quay.example"),
+    ("CREDIT_CARD", "5105-1051 0510 5100", "5105105105105100"), ("ORGANIZATION", "Spindrift Works Ltd.", "spindrift works ltd"),
 ]
 
 
@@ -112,7 +119,7 @@ def normal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", replace.norm_key(F.col("t"), F.col("v")).alias("key"))
 
 
-NAMES = [("Nuvama Wealth Private Limited", "Nuvama Wealth", " Private Limited"), ("Kirt & Pandya LLP", "Kirt & Pandya", " LLP"), ("WATERLOO PARK PRIVATE LIMITED", "WATERLOO PARK", " Private Limited"), ("Plain Name", "Plain Name", "")]
+NAMES = [("Spindrift Ropes Private Limited", "Spindrift Ropes", " Private Limited"), ("Gull & Anchor LLP", "Gull & Anchor", " LLP"), ("EBB AND FLOW PVT LTD", "EBB AND FLOW", " Pvt Ltd"), ("Coral Bank of India", "Coral", " Bank of India"), ("Lone Buoy", "Lone Buoy", "")]
 
 
 @query(expected([(k, x[1], x[2]) for k, x in enumerate(NAMES)], "id, bare, ending", "INTEGER VARCHAR VARCHAR"))
@@ -121,27 +128,27 @@ def company_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", text.strip_org_suffix(F.col("v")).alias("bare"), text.org_suffix(F.col("v")).alias("ending"))
 
 
-@query(expected([("a B C d x.y", 2, 5, "PERSON"), ("a B C d x.y", 8, 11, "URL")], "text, start, stop, type", "VARCHAR INTEGER INTEGER VARCHAR"))
+@query(expected([("met Uma Sen at q.z", 4, 11, "PERSON"), ("met Uma Sen at q.z", 15, 18, "URL")], "text, start, stop, type", "VARCHAR INTEGER INTEGER VARCHAR"))
 def marked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _short(spark, [("a [[PERSON:B C]] d [[URL:x.y]]",)], "v string").select(text.parse_marks(F.col("v")).alias("m"))
+    rows = _short(spark, [("met [[PERSON:Uma Sen]] at [[URL:q.z]]",)], "v string").select(text.parse_marks(F.col("v")).alias("m"))
     return rows.select("m.text", F.explode("m.entities").alias("e")).select("text", "e.start", F.col("e.end").alias("stop"), "e.type")
 
 
-@query(expected([("Dear X, call me",)], "out", "VARCHAR"))
+@query(expected([("Ahoy Z, ring us",)], "out", "VARCHAR"))
 def spliced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.array(F.struct(F.lit(5).alias("start"), F.lit(10).alias("end"), F.lit("X").alias("fake")), F.struct(F.lit(17).alias("start"), F.lit(28).alias("end"), F.lit("me").alias("fake")))
-    return _short(spark, [("Dear Meera, call 0123456789X",)], "v string").select(splice(F.col("v"), r).alias("out"))
+    r = F.array(F.struct(F.lit(5).alias("start"), F.lit(10).alias("end"), F.lit("Z").alias("fake")), F.struct(F.lit(17).alias("start"), F.lit(28).alias("end"), F.lit("us").alias("fake")))
+    return _short(spark, [("Ahoy Roger, ring 0123456789X",)], "v string").select(splice(F.col("v"), r).alias("out"))
 
 
-@query(expected([("Contact ", 0), ("John Doe", 1), ("", 2), (" today", 3)], "text, k", "VARCHAR INTEGER"))
+@query(expected([("Ask for ", 0), ("Ian Webb", 1), ("", 2), (" later", 3)], "text, k", "VARCHAR INTEGER"))
 def rewritten_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range over two runs and a tab: the fake goes to the first run, the tab goes."""
-    segments = [("text", 0, 8, "Contact "), ("text", 8, 13, "Rashi"), ("tab", 13, 14, "\t"), ("text", 14, 19, "Patil"), ("text", 19, 25, " today")]
-    rows = _short(spark, [(segments, [(8, 19, "John Doe")])], "s array<struct<kind:string,start:int,end:int,text:string>>, r array<struct<start:int,end:int,fake:string>>")
+    segments = [("text", 0, 8, "Ask for "), ("text", 8, 13, "Nikhi"), ("tab", 13, 14, "\t"), ("text", 14, 19, "Menon"), ("text", 19, 25, " later")]
+    rows = _short(spark, [(segments, [(8, 19, "Ian Webb")])], "s array<struct<kind:string,start:int,end:int,text:string>>, r array<struct<start:int,end:int,fake:string>>")
     return rows.select(F.posexplode(replace.rewrite_segments(F.col("s"), F.col("r"))).alias("k", "g")).select("g.text", "k")
 
 
-FAKED = [("CREDIT_CARD", "4111 1111 1111 1111"), ("CREDIT_CARD", "5500 0000 0000 0004"), ("IN_AADHAAR", "2345 6789 0123"), ("US_SSN", "536-22-8741"), ("IP_ADDRESS", "10.24.8.113"), ("IN_PAN", "ABCPE1234F"), ("PHONE_NUMBER", "+91 22 4009 4400")]
+FAKED = [("CREDIT_CARD", "5105 1051 0510 5100"), ("CREDIT_CARD", "6011 0009 9013 9424"), ("IN_AADHAAR", "3675 9834 6012"), ("US_SSN", "219-07-6631"), ("IP_ADDRESS", "172.16.40.2"), ("IN_PAN", "BQRPT5521L"), ("PHONE_NUMBER", "+91 48 4266 0193")]
 SHAPES = {"CREDIT_CARD": r"^\d{4} \d{4} \d{4} \d{4}$", "IN_AADHAAR": r"^[2-9]\d{3} \d{4} \d{4}$", "US_SSN": r"^9\d{2}-\d{2}-\d{4}$", "IP_ADDRESS": r"^(192\.0\.2|198\.51\.100|203\.0\.113)\.\d+$", "IN_PAN": r"^[A-Z]{3}P[A-Z]\d{4}[A-Z]$", "PHONE_NUMBER": r"^\+91 \d\d \d{4} \d{4}$"}
 
 
@@ -156,7 +163,8 @@ def fake_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(expected([(True, True, True)], "mirrors, same_site, capitals", "BOOLEAN BOOLEAN BOOLEAN"))
 def mirrored_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A person's fake name is in the fake of their mail address, whose host is that of the fake site."""
-    rows = [("1", 1, 0, 0, 5, "PERSON", "x", "Sarthak Malwadkar", "Sarthak Malwadkar"), ("1", 1, 1, 0, 5, "PERSON", "x", "SARTHAK MALWADKAR", "SARTHAK MALWADKAR"), ("1", 1, 2, 0, 5, "EMAIL_ADDRESS", "x", "sarthak.malwadkar@acme.com", "sarthak.malwadkar@acme.com"), ("1", 1, 3, 0, 5, "URL", "x", "www.acme.com", "www.acme.com")]
+    named = lambda k, kind, value: ("1", 1, k, 0, 5, kind, "x", value, value)
+    rows = [named(0, "PERSON", "Leela Mahajan"), named(1, "PERSON", "LEELA MAHAJAN"), named(2, "EMAIL_ADDRESS", "leela.mahajan@quay.example"), named(3, "URL", "www.quay.example")]
     spans = _short(spark, rows, "scope_id string, doc_id int, unit_id int, start int, end int, entity_type string, source string, raw string, original string")
     spans = spans.withColumn("key", replace.norm_key(F.col("entity_type"), F.col("original")))
     out = replace.faked(spans, C.RunConfig()).agg(*(F.max(F.when(F.col("unit_id") == k, F.col("fake"))).alias(n) for k, n in enumerate(("person", "capitals", "mail", "url"))))
@@ -173,7 +181,7 @@ def gold_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.match_by_hash(g, u, ["unit_id"]).select("gold_id", "unit_id")
 
 
-CARD_LINES = [("INCOME TAX DEPARTMENT", 40, 30), ("Name KAREN FOSTER", 40, 110), ("Father's Name GEORGE FOSTER", 40, 160), ("Date of Birth 28/07/1979", 40, 210), ("Signature", 560, 330)]
+CARD_LINES = [("DRIVING LICENCE", 40, 30), ("Name HELEN PORTER", 40, 110), ("Father's Name ARTHUR PORTER", 40, 160), ("Date of Birth 19/09/1982", 40, 210), ("Signature", 560, 330)]
 
 
 def _card_lines(spark: SparkSession) -> DataFrame:
