@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from umbra import config as C
@@ -121,6 +123,32 @@ def test_fakes_are_unique(spark):
     assert len({m.fake.lower() for m in made}) == 400 and rows.count() == 200
 
 
+def test_mentions_against_brute_force(spark):
+    """Also a unit of 100,000 words; what moves with a word isn't the text."""
+    long = " ".join(f"w{k % 977}" for k in range(99_990)) + " then Tara Sen, tara sen, TARA  SEN-Roy, Mc.Tara Sen and O'Neil & Sons (Kochi) left"
+    rows = [(1, 0, long), (1, 1, "Tara Sen Tara Sen Roy xTara Sen Tara\nSen"), (2, 0, "Tara Sen"), (1, 2, "see www.Tara Sen or Tara Sen@x or (Tara Sen)."), (3, 0, "")]
+    keys = [(1, "tara sen", "A"), (1, "tara sen roy", "B"), (1, "o'neil & sons (kochi)", "C"), (1, "gone", "D")]
+    units = spark.createDataFrame(rows, "doc_id long, unit_id int, text string")
+    known = spark.createDataFrame(keys, "doc_id long, key string, kind string")
+
+    def brute(guard):
+        out = set()
+        left, right = (r"(?<![\w@./-])", r"(?![\w@-]|\.\w)") if guard else (r"(?<!\w)", r"(?!\w)")
+        for d, u, t in rows:
+            own = sorted(((k, x) for e, k, x in keys if e == d), key=lambda k: -len(k[0]))
+            for m in re.finditer(f"{left}(?i:{'|'.join(re.escape(k).replace(chr(92) + ' ', chr(92) + 's+') for k, _ in own)}){right}", t) if own else ():
+                key = " ".join(m[0].lower().split())
+                if m[0] != m[0].lower():
+                    out.add((d, u, m.start(), m.end(), key, dict(own)[key]))
+        return out
+
+    for guard in (False, True):
+        found = docpass.mentions(units, known, ["kind"], guard)
+        assert {tuple(r) for r in found.collect()} == brute(guard) and len(brute(guard)) > 4
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan
+
+
 def test_mails_of_one_host_have_different_fakes(spark):
     """2,000 addresses of one host, of people whose fakes may share words; and names that could mirror each other."""
     rows = spark.range(2000).selectExpr("'1' as scope_id", "1 as doc_id", "int(id) as unit_id", "0 as start", "5 as end", "'EMAIL_ADDRESS' as entity_type", "'x' as source", "'u' || id || '@one.example' as raw")

@@ -28,15 +28,16 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern (that can't match nothing) as array<struct<start,end,value>>.
+def matches(text: Column, pattern: str | Column) -> Column:
+    """All matches of a pattern (that can't match nothing; a column: another one for each row) as
+    array<struct<start,end,value>>.
 
     The pieces between matches and the matches alternate, so places are running sums of their lengths. Texts without a
     match cost one search.
     """
-    p = F.lit(pattern)
+    p = pattern if isinstance(pattern, Column) else F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    gaps = F.transform(F.split(text, p, F.lit(-1)), F.length)
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def places(g: Column, m: Column) -> Column:
@@ -47,7 +48,7 @@ def matches(text: Column, pattern: str) -> Column:
         pairs = F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda a, b: F.struct(a.alias("gap"), b.alias("value")))
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
-    return F.when(text.rlike(pattern), let(gaps, lambda g: let(found, lambda m: places(g, m)))).otherwise(empty)
+    return F.when(F.rlike(text, p), let(gaps, lambda g: let(found, lambda m: places(g, m)))).otherwise(empty)
 
 
 def given(text: Column, condition, body) -> Column:

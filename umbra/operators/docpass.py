@@ -1,7 +1,8 @@
 """Passes over a document's units, in their fixed order: each adds spans to, or removes spans from, the units' spans.
 
 units: doc_id, unit_id (dense, in reading order), text, container_id, spans. Everything is keyed by document; names are
-matched to texts by an equality join on their first word, so work grows with the text, not with text times names.
+matched to texts by an equality join on their first word, in which a text is the set of its words; only texts that may
+hold a name move, once. So work grows with the text, not with text times names.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.names import ADDRESS_CUE
-from ..functions.spans import let, no_spans, overlaps, resolve_overlaps, span, value_of
+from ..functions.spans import let, matches, no_spans, overlaps, resolve_overlaps, span, value_of
 from ..functions.text import is_title, squeezed, stems, strip_org_suffix, tokens
 
 LOWER_WORD = r"(?U)(?<![\w@./:-])[a-z][a-z]+(?:-[a-z]+)*(?![\w@]|\.\w)"
@@ -132,35 +133,40 @@ def known_names(units: DataFrame) -> DataFrame:
 PIECE = r"(?U)\w+|[^\w\s]"
 
 
+def pieces_of(text: Column | str) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def pattern_of(key: Column) -> Column:
+    """A pattern for a key's pieces one after the other, whatever blanks are between them; words are whole ones."""
+    quoted = lambda p: F.when(F.rlike(p, F.lit(r"(?U)^\w")), F.concat(F.lit(r"\b"), p, F.lit(r"\b"))).otherwise(F.concat(F.lit("\\"), p))
+    return F.array_join(F.transform(pieces_of(key), quoted), r"\s*")
+
+
+def candidates(texts: DataFrame, keys: DataFrame, by: list[str], extra: list[str]) -> DataFrame:
+    """``by`` columns of texts and _keys, the keys (doc_id, key, extra) whose first piece a text has. Narrow on both sides:
+    a text is here the set of its pieces, and the text itself doesn't move."""
+    first = F.get(pieces_of("key"), F.lit(0))
+    words = texts.select(*by, F.explode(F.array_distinct(F.transform(pieces_of("text"), F.lower))).alias("_first"))
+    return words.join(keys.select("doc_id", "key", *extra, first.alias("_first")), ["doc_id", "_first"]).groupBy(*by).agg(F.collect_set(F.struct("key", *extra)).alias("_keys"))
+
+
 def mentions(units: DataFrame, keys: DataFrame, extra: list[str], guard_links: bool = False) -> DataFrame:
     """doc_id, unit_id, start, end, key and the ``extra`` columns of keys: where a key's pieces follow each other in a text.
 
     Leftmost first, of those the longest; none within another; not where the text is all lower case; bounded by what
-    isn't a word character (with ``guard_links`` nor part of a mail or site address). Only documents with keys are cut up.
+    isn't a word character (with ``guard_links`` nor part of a mail or site address). A unit's text moves once, to meet
+    the keys that may be in it, and is searched for all of them at once.
     """
-    cut = keys.withColumn("_pieces", F.regexp_extract_all("key", F.lit(PIECE), F.lit(0))).where(F.size("_pieces") > 0)
-    cut = cut.select("doc_id", "key", "_pieces", *extra, F.element_at("_pieces", 1).alias("_first"))
-    rows = units.select("doc_id", "unit_id", "text").join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
-    pieces = rows.withColumn("_all", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).withColumn("_gaps", F.transform(F.split("text", PIECE, -1), F.length))
-    starts = F.aggregate(
-        F.zip_with(F.slice("_gaps", F.lit(1), F.size("_all")), "_all", lambda g, p: F.struct(g.alias("g"), F.length(p).alias("n"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["g"])).alias("out")), lambda acc: acc["out"],
-    )
-    placed = pieces.withColumn("_starts", starts).withColumn("_low", F.transform("_all", F.lower))
-    each = placed.select("*", F.posexplode("_low").alias("_k", "_first"))
-    hit = each.join(cut, ["doc_id", "_first"]).where(F.slice("_low", F.col("_k") + 1, F.size("_pieces")) == F.col("_pieces"))
-    start = F.get("_starts", F.col("_k"))
-    last = F.col("_k") + F.size("_pieces") - 1
-    hit = hit.withColumn("start", start).withColumn("end", F.get("_starts", last) + F.length(F.get("_all", last)))
-    raw = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    before, after = F.substring(F.col("text"), F.col("start"), F.lit(1)), F.substring(F.col("text"), F.col("end") + 1, F.lit(2))
-    before = F.when(F.col("start") == 0, F.lit("")).otherwise(before)
-    left, right = (r"(?U)^[\w@./-]$", r"(?U)^(?:[\w@-]|\.\w)") if guard_links else (r"(?U)^\w$", r"(?U)^\w")
-    hit = hit.where(~before.rlike(left) & ~after.rlike(right) & (raw != F.lower(raw)) & (F.lower(squeezed(raw)) == F.col("key")))
-    found = hit.groupBy("doc_id", "unit_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "end", "key", *extra))).alias("m"))
-    kept = F.aggregate("m", F.slice("m", F.lit(1), F.lit(0)), lambda acc, x: F.when(F.exists(acc, lambda y: x["start"] < y["end"]), acc).otherwise(F.concat(acc, F.array(x))))
-    return found.select("doc_id", "unit_id", F.explode(kept).alias("m")).select("doc_id", "unit_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.key").alias("key"), *(F.col(f"m.{x}").alias(x) for x in extra))
+    found = candidates(units, keys, ["doc_id", "unit_id"], extra)
+    rows = units.select("doc_id", "unit_id", "text").join(found, ["doc_id", "unit_id"])
+    left, right = (r"(?<![\w@./-])", r"(?![\w@-]|\.\w)") if guard_links else (r"(?<!\w)", r"(?!\w)")
+    longest = F.transform(F.array_sort(F.transform("_keys", lambda k: F.struct((-F.length(k["key"])).alias("n"), k["key"].alias("key")))), lambda k: pattern_of(k["key"]))
+    pattern = F.concat(F.lit(f"(?iuU){left}(?:"), F.array_join(F.array_distinct(longest), "|"), F.lit(f"){right}"))
+    hit = rows.withColumn("_p", pattern).select("doc_id", "unit_id", "_keys", F.explode(matches(F.col("text"), F.col("_p"))).alias("m"))
+    key = F.lower(squeezed(F.col("m.value")))
+    hit = hit.where(F.col("m.value") != F.lower("m.value")).select("doc_id", "unit_id", "m", F.get(F.filter("_keys", lambda k: k["key"] == key), F.lit(0)).alias("k")).where("k is not null")
+    return hit.select("doc_id", "unit_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("k.key").alias("key"), *(F.col(f"k.{x}").alias(x) for x in extra))
 
 
 def _attach(units: DataFrame, rows: DataFrame, struct: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.spans import matches
 from ..functions.text import mask, squeezed, tokens
-from .docpass import PIECE
+from .docpass import candidates, pattern_of
 
 TOKEN = r"(?U)\w+(?:[.'’@-]\w+)*|[^\w\s]"
 
@@ -93,17 +93,16 @@ def leaks(gold: DataFrame, redacted: DataFrame) -> DataFrame:
     """Gold values that can still be read in redacted texts: entity_type, checked, leaked.
 
     gold: doc_id, entity_type, value; redacted: doc_id, text. Values of under four characters and those of generic,
-    company or state words only aren't checked; each value of a document once. Both sides are cut into pieces and met
-    by their first piece, so no value is searched for in texts that can't hold it.
+    company or state words only aren't checked; each value of a document once. Values meet the documents that have their
+    first piece, as sets of pieces, and then these documents' texts, once.
     """
     generic = F.array(*map(F.lit, sorted(C.GENERIC | C.ORG_WORDS | {w for s in C.STATES for w in s.split()} | {"india", "of", "and", "&"})))
     value = squeezed(F.col("value"))
     wanted = gold.select("doc_id", "entity_type", F.lower(value).alias("key")).where(F.length("key") >= 4)
     wanted = wanted.where(~F.forall(tokens(F.col("key")), lambda t: F.array_contains(generic, F.rtrim(t, F.lit("."))))).dropDuplicates(["doc_id", "key"])
-    pieces = wanted.withColumn("_p", F.regexp_extract_all("key", F.lit(PIECE), F.lit(0))).where(F.size("_p") > 0).withColumn("_first", F.element_at("_p", 1))
-    texts = redacted.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), F.lower).alias("_all"))
-    each = texts.select("doc_id", "_all", F.posexplode("_all").alias("_k", "_first"))
-    found = each.join(pieces, ["doc_id", "_first"]).where(F.slice("_all", F.col("_k") + 1, F.size("_p")) == F.col("_p")).select("doc_id", "key").distinct().withColumn("_hit", F.lit(1))
+    hold = candidates(redacted, wanted.select("doc_id", "key"), ["doc_id"], [])
+    read = lambda k: F.rlike(F.col("text"), F.concat(F.lit("(?iuU)"), pattern_of(k["key"])))
+    found = redacted.select("doc_id", "text").join(hold, "doc_id").select("doc_id", F.explode(F.filter("_keys", read)).alias("k")).select("doc_id", "k.key").distinct().withColumn("_hit", F.lit(1))
     rows = wanted.join(found, ["doc_id", "key"], "left")
     return rows.groupBy("entity_type").agg(F.count("*").alias("checked"), F.count("_hit").alias("leaked"))
 
