@@ -133,6 +133,24 @@ def unpacked_documents(table: pa.Table) -> list[pa.Table]:
     return [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in table.column("payload").to_pylist()]
 
 
+def leaner(run):
+    """A function of one table or two, whose worker gives its memory back before and after each call."""
+
+    def one(table: pa.Table) -> pa.Table:
+        lean()
+        out = run(table)
+        lean()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
+        out = run(left, right)
+        lean()
+        return out
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 def dealt_by(df: DataFrame, buckets: int):
     """Grouped by bucket, each bucket a task of its own."""
     return df.repartitionById(buckets, "bucket").groupBy("bucket")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import repeats as R
-from .common import lean, narrow, pieces, saved, text_bytes
+from .common import narrow, pieces, saved, text_bytes
 
 WINDOW = 13
 #: Words of the first level.
@@ -141,7 +141,6 @@ def _ask(sizes: list[int], level: int, buckets: int):
     last = level == len(sizes) - 1
 
     def asked(left: pa.Table, survived: np.ndarray | None) -> pa.Table:
-        lean()
         held = []
         for piece, _ in pieces_of(left, sizes[-1]):
             at = piece.places(sizes, level, survived)
@@ -169,7 +168,6 @@ def _answer(last: bool):
     """Which windows two ids have, to each chunk that asked; at the last level with the least id."""
 
     def run(table: pa.Table) -> pa.Table:
-        lean()
         chunk, (*keys, several) = R.origins(table, LAST_ASKED if last else ASKED)
         if not len(chunk):
             return R.rows([])
@@ -195,7 +193,6 @@ def _answer(last: bool):
 
 def _apply(window: int, both: bool, finish, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
         _, (one, two, least) = R.origins(right, LAST_ANSWERED)
         order = np.argsort(one, kind="stable")
         one, two, least = one[order], two[order], least[order]
@@ -228,9 +225,9 @@ def _repeated(docs: DataFrame, *, window: int, finish, result: str, kinds: list[
     told = None
     for level in range(len(sizes)):
         ask = _ask(sizes, level, n)
-        asked = packed.applyInArrow(ask, R.ROW) if told is None else packed.cogroup(R.dealt_by(told, n)).applyInArrow(ask, R.ROW)
-        told = R.dealt_by(asked, n).applyInArrow(_answer(level == len(sizes) - 1), R.ROW)
-    return packed.cogroup(R.dealt_by(told, n)).applyInArrow(_apply(window, both, finish, schema), ddl)
+        asked = packed.applyInArrow(R.leaner(ask), R.ROW) if told is None else packed.cogroup(R.dealt_by(told, n)).applyInArrow(R.leaner(ask), R.ROW)
+        told = R.dealt_by(asked, n).applyInArrow(R.leaner(_answer(level == len(sizes) - 1)), R.ROW)
+    return packed.cogroup(R.dealt_by(told, n)).applyInArrow(R.leaner(_apply(window, both, finish, schema)), ddl)
 
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", carry: list[str] | None = None, same_if_untouched: bool = False, window: int = WINDOW, bucket_bytes: int = R.BUCKET_BYTES) -> DataFrame:

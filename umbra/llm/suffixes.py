@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import repeats as R
-from .common import lean, narrow, pieces, text_bytes
+from .common import narrow, pieces, text_bytes
 
 LENGTH, PERIOD, CROWD = 100, 57, 64
 BUCKET_BYTES = 8 << 20
@@ -81,12 +81,14 @@ class Suffixes:
         sizes = np.array([len(x) for x in texts], np.int64)
         self.data = np.frombuffer(edge + edge.join(texts) + edge + edge, np.uint8)
         self.begins = length + np.concatenate([[0], np.cumsum(sizes + length)])[: len(texts)]
+        cover = A.positional(period, period)
+        below = np.searchsorted(cover, np.arange(period))  # members of the cover below a remainder
         some = np.flatnonzero(sizes >= length)
         last = sizes[some] - self.prefix + 1
-        local = np.arange(int(last.sum())) - np.repeat(np.cumsum(last) - last, last)
-        chosen = np.flatnonzero(np.isin(np.arange(period), A.positional(period, period))[local % period])
-        self.which = np.repeat(some, last)[chosen]
-        self.at = local[chosen]
+        counts = last // period * len(cover) + below[last % period]
+        k = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.which = np.repeat(some, counts)
+        self.at = k // len(cover) * period + cover[k % len(cover)]
         self.head = self.word(0).view(">u8").astype("<u8")
         self.tail = self.classes(8, self.prefix)
 
@@ -132,13 +134,14 @@ def tagged(found: Suffixes, buckets: int):
     where the ranges of fingerprints start."""
     keys = A.joined(found.head, found.tail)
     # Ranges are taken from the upper half of a mixed key (see by_print), tags from the lower half of the key.
-    to = R.by_print(keys, buckets)
-    order = np.lexsort((keys & np.uint64(0xFFFFFFFF), to))
-    tags, to = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), to[order]
-    new = R.heads(to, tags)
+    asked = R.by_print(keys, buckets).astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+    order = np.argsort(asked)
+    asked = asked[order]
+    new = R.heads(asked)
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(new) - 1
-    return own, tags[new], np.bincount(own, minlength=int(new.sum())), np.searchsorted(to[new], np.arange(buckets + 1))
+    asked = asked[new]
+    return own, asked.astype(np.uint32), np.bincount(own, minlength=len(asked)), np.searchsorted(asked, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -158,14 +161,13 @@ ALONE, TIED, CROWDED = range(3)
 
 
 def _ask(plan: Plan):
-    """A chunk's tags, once each, in order, with whether it has one several times."""
+    """A chunk's tags, once each, in order and as differences, with whether it has one several times."""
 
     def run(left: pa.Table) -> pa.Table:
-        lean()
         _, tags, counts, starts = tagged(Suffixes(_texts(left)[2], plan.length, plan.period), plan.buckets)
         chunk = left.column("bucket")[0].as_py()
         several = (counts > 1).astype(np.uint8)
-        return R.rows([(k, chunk, R.pack(tags[a:b], several[a:b])) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a])
+        return R.rows([(k, chunk, R.pack(np.diff(tags[a:b], prepend=np.uint32(0)), several[a:b])) for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if b > a])
 
     return run
 
@@ -174,10 +176,13 @@ def _answer(plan: Plan):
     """For each tag of a question, in its order, whether it is alone, tied or crowded: four answers a byte."""
 
     def run(table: pa.Table) -> pa.Table:
-        lean()
-        chunk, (tags, several) = R.origins(table, ASKED)
-        if not len(tags):
+        chunk, (steps, several) = R.origins(table, ASKED)
+        if not len(steps):
             return R.rows([])
+        at = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1, len(chunk)]
+        total = np.cumsum(steps, dtype=np.uint64)
+        before = np.r_[np.uint64(0), total[at[1:-1] - 1]]
+        tags = (total - np.repeat(before, np.diff(at))).astype(np.uint32)
         order = np.argsort(tags, kind="stable")
         group = np.cumsum(R.heads(tags[order])) - 1
         chunks = np.bincount(group)
@@ -185,7 +190,6 @@ def _answer(plan: Plan):
         told = np.empty(len(tags), np.uint8)
         told[order] = state[group]
         bucket = table.column("bucket")[0].as_py()
-        at = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1, len(chunk)]
         return R.rows([(int(chunk[a]), bucket, R.pack(_quartered(told[a:b]))) for a, b in zip(at[:-1], at[1:], strict=True)])
 
     return run
@@ -209,7 +213,6 @@ def _entries(plan: Plan):
     """Suffixes that aren't alone; of those of one tie and class only a chunk's first."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
         ids, salts, texts = _texts(left)
         found = Suffixes(texts, plan.length, plan.period)
         own, tags, _, starts = tagged(found, plan.buckets)
@@ -263,7 +266,6 @@ def _surroundings(plan: Plan, ids, salts, at, rest) -> list[tuple[int, int, byte
 
 def _compare(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
-        lean()
         out = [(b, k, p) for b, k, p in zip(*(x.to_pylist() for x in table.columns), strict=True) if k == RANGES]
         held = R.gathered(table, ENTRIES, ENTRY)
         if len(held[0]):
@@ -287,7 +289,6 @@ def _compare(plan: Plan):
 
 def _fetch(plan: Plan):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
         out = R.ranges(RANGES, plan.buckets, *R.gathered(right, RANGES, R.RANGE))
         tie, ids, salts, at, crowded = R.gathered(right, ENTRIES, UNDECIDED)
         if len(tie) and left.num_rows:
@@ -353,7 +354,6 @@ def _windows(plan: Plan, texts, wanted, at) -> list[tuple[int, int, bytes]]:
 
 def _decide(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
-        lean()
         held = [R.gathered(table, RANGES, R.RANGE)]
         arrays = R.gathered(table, WINDOWS, ["<u8", "<u8", "<i8", "<u4", "<u4"])
         if len(arrays[0]):
@@ -403,7 +403,6 @@ def _decide_contexts(plan: Plan, tie, ids, salts, at, made):
 
 def _apply(finish, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
         return R.finished(left, R.by_text(*R.gathered(right, RANGES, R.RANGE)), finish, schema)
 
     return run
@@ -429,9 +428,9 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     ddl, schema = R.shape(rows, "n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary", [pa.int64(), pa.int64(), span, pa.binary()])
     packed = R.dealt_by(R.packed_documents(rows, n), n)
-    answered = R.dealt_by(packed.applyInArrow(_ask(plan), R.ROW), n).applyInArrow(_answer(plan), R.ROW)
-    entries = packed.cogroup(R.dealt_by(answered, n)).applyInArrow(_entries(plan), R.ROW)
-    compared = R.dealt_by(entries, n).applyInArrow(_compare(plan), R.ROW)
-    fetched = packed.cogroup(R.dealt_by(compared, n)).applyInArrow(_fetch(plan), R.ROW)
-    decided = R.dealt_by(fetched, n).applyInArrow(_decide(plan), R.ROW)
-    return packed.cogroup(R.dealt_by(decided, n)).applyInArrow(_apply(_kept, schema), ddl)
+    answered = R.dealt_by(packed.applyInArrow(R.leaner(_ask(plan)), R.ROW), n).applyInArrow(R.leaner(_answer(plan)), R.ROW)
+    entries = packed.cogroup(R.dealt_by(answered, n)).applyInArrow(R.leaner(_entries(plan)), R.ROW)
+    compared = R.dealt_by(entries, n).applyInArrow(R.leaner(_compare(plan)), R.ROW)
+    fetched = packed.cogroup(R.dealt_by(compared, n)).applyInArrow(R.leaner(_fetch(plan)), R.ROW)
+    decided = R.dealt_by(fetched, n).applyInArrow(R.leaner(_decide(plan)), R.ROW)
+    return packed.cogroup(R.dealt_by(decided, n)).applyInArrow(R.leaner(_apply(_kept, schema)), ddl)
