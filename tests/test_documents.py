@@ -130,6 +130,48 @@ def test_command_line(spark, tmp_path, capsys):
     assert "leela menon" in (tmp_path / "m.json").read_text()
 
 
+def test_documents_of_one_name_and_a_card(spark, tmp_path):
+    """Both documents are written, each in its folder; the card in one of them has black boxes, and only where it should."""
+    image, words, boxes = gold.card(spark)
+    r = image.first()
+    card = images.encode_png(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels))
+    known = [tuple(w) for w in words.collect()]
+
+    def reader(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [(i, *w[1:]) for i, c in zip(b.image_id, b.content, strict=True) if bytes(c) == card for w in known]
+            yield pd.DataFrame(found, columns=["image_id", "word_id", "text", "left", "top", "width", "height", "conf"])
+
+    for folder, content in (("a", document(p(run("Contact Person: Leela Menon")))), ("b", document(p(run("Nothing here"))))):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        changed = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(changed, "w") as new:
+            for n in old.namelist():
+                if n == "[Content_Types].xml":
+                    new.writestr(n, '<Types xmlns="urn:t"><Default Extension="bin" ContentType="application/x"/><Override PartName="/custom/card.bin" ContentType="image/png"/></Types>')
+                else:
+                    new.writestr(n, old.read(n))
+            if folder == "a":
+                new.writestr("custom/card.bin", card)
+        (tmp_path / "in" / folder / "x.docx").write_bytes(changed.getvalue())
+    report = cli.redact_documents(spark, str(tmp_path / "in"), str(tmp_path / "out"), C.RunConfig(), reader=reader)
+    assert (report["documents"], report["images"], report["images_modified"], report["images_skipped"]) == (2, 3, 1, 2)
+    assert texts((tmp_path / "out" / "b" / "x.docx").read_bytes()) == ["Nothing here"]
+    out = (tmp_path / "out" / "a" / "x.docx").read_bytes()
+    assert "Leela" not in texts(out)[0]
+    z = zipfile.ZipFile(io.BytesIO(out))
+    assert z.read("word/media/image1.png") == PNG
+    px = images.decode_png(z.read("custom/card.bin"))
+    for b in boxes.collect():
+        l, t, r_, b_ = map(int, b.box)
+        black = (px[t:b_, l:r_] == 0).all(2).mean()
+        assert black >= 0.9 if b.pii else black < 0.5, b.text
+    with pytest.raises(ValueError, match="2 documents would be written to x.docx"):
+        docx.save(docx.read_binary(spark, str(tmp_path / "in")), str(tmp_path / "flat"))
+
+
 def test_images_of_documents(spark):
     df = spark.createDataFrame([(1, "a.docx", document(BODY))], "doc_id bigint, path string, content binary")
     rows = docx.images(df).withColumn("format", images.image_format(F.col("content"))).collect()

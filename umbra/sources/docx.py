@@ -148,12 +148,26 @@ def text_units(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, UNITS)
 
 
+CONTENT_TYPES = "[Content_Types].xml"
+
+
+def image_parts(z: zipfile.ZipFile) -> list[str]:
+    """The parts whose content type is an image's, by their own entry or their name's ending; and what is in the folder
+    for media without any type."""
+    names = sorted(set(z.namelist()))
+    root = ET.fromstring(z.read(CONTENT_TYPES)) if CONTENT_TYPES in names else ET.Element("Types")
+    of_part = {x.get("PartName", "").lstrip("/"): x.get("ContentType", "") for x in root if x.tag.endswith("Override")}
+    of_ending = {x.get("Extension", "").lower(): x.get("ContentType", "") for x in root if x.tag.endswith("Default")}
+    kind = lambda n: of_part.get(n) or of_ending.get(n.rpartition(".")[2].lower(), "image/" if n.startswith("word/media/") else "")
+    return [n for n in names if kind(n).startswith("image/")]
+
+
 def images(docs: DataFrame) -> DataFrame:
     """A row for each image part of the documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(d, p, f"{d}/{n}", z.read(n)) for d, p, c in zip(batch.doc_id, batch.path, batch.content, strict=True) for z in [_open(c)] for n in sorted(set(z.namelist())) if n.startswith("word/media/")]
+            out = [(d, p, f"{d}/{n}", z.read(n)) for d, p, c in zip(batch.doc_id, batch.path, batch.content, strict=True) for z in [_open(c)] for n in image_parts(z)]
             yield pd.DataFrame(out, columns=["doc_id", "path", "image_id", "content"])
 
     return docs.mapInPandas(run, IMAGES)
@@ -297,18 +311,30 @@ def rewritten(docs: DataFrame, redacted: DataFrame, mails: DataFrame | None = No
     return out.mapInPandas(run, "doc_id bigint, path string, content binary")
 
 
-def save(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes each document below a folder that the executors reach, under its own name; returns path and bytes."""
+def _plain(path: Column) -> Column:
+    """A path without its scheme, however many slashes that has."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+
+
+def save(docs: DataFrame, folder: str, root: str | None = None) -> DataFrame:
+    """Writes each document below a folder that the executors reach, at its path below ``root`` (or under its own name);
+    returns path and bytes. Two documents of one place end the run before anything is written."""
+    below = _plain(F.lit((root or "").rstrip("/") + "/"))
+    inside = F.lit(bool(root)) & F.startswith(_plain(F.col("path")), below)
+    target = F.when(inside, F.substring(_plain(F.col("path")), F.length(below) + 1, F.length("path"))).otherwise(F.substring_index("path", "/", -1))
+    docs = docs.select(target.alias("path"), "content")
+    if twice := docs.groupBy("path").count().where("count > 1").take(1):
+        raise ValueError(f"{twice[0]['count']} documents would be written to {twice[0]['path']}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
         for b in batches:
             done = []
             for path, content in zip(b.path, b.content, strict=True):
-                target = f"{base}/{path.rsplit('/', 1)[-1]}"
+                target = f"{base}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(target + ".part") as f:
                     f.write(content)
                 if store.get_file_info(target).type != fs.FileType.NotFound:
@@ -317,7 +343,7 @@ def save(docs: DataFrame, folder: str) -> DataFrame:
                 done.append((target, len(content)))
             yield pd.DataFrame(done, columns=["path", "bytes"])
 
-    return docs.select("path", "content").mapInPandas(run, "path string, bytes long")
+    return docs.mapInPandas(run, "path string, bytes long")
 
 
 def private_links(links: Column) -> Column:
