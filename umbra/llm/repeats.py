@@ -123,7 +123,7 @@ def packed_documents(docs: DataFrame, buckets: int) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as writer:
                     writer.write_batch(part)
-                blob = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+                blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
                 yield pa.RecordBatch.from_arrays([pa.array([bucket[order[a]]], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "payload"])
 
     return docs.mapInArrow(run, "bucket int, payload binary")

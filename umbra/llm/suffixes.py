@@ -310,18 +310,20 @@ def _fetch(plan: Plan):
 
 
 def _contexts(plan: Plan, texts, wanted, tie, ids, salts, at) -> list[tuple[int, int, bytes]]:
-    """The bytes around suffixes, 0xFF (in no UTF-8 text) outside the document."""
+    """The bytes before and after the beginnings of suffixes (which are equal in a tie), 0xFF (in no UTF-8 text) outside
+    the document."""
     picked, made = [], []
     for key, which in wanted.items():
         if len(which):
             edge = np.full(plan.length, 255, np.uint8)
             text = np.concatenate([edge, np.frombuffer(texts[key], np.uint8), edge])
-            made.append(np.lib.stride_tricks.sliding_window_view(text, plan.context)[at[which].astype(np.int64) + plan.prefix])
+            around = np.lib.stride_tricks.sliding_window_view(text, plan.context)[at[which].astype(np.int64) + plan.prefix]
+            made.append(np.delete(around, slice(plan.before, plan.before + plan.prefix), 1))
             picked.append(which)
     if not made:
         return []
     which, made = np.concatenate(picked), np.concatenate(made)
-    return R.split(R.by_print(tie[which], plan.buckets), CONTEXTS, [tie[which], ids[which], salts[which], at[which], made.view(f"V{plan.context}").reshape(-1)])
+    return R.split(R.by_print(tie[which], plan.buckets), CONTEXTS, [tie[which], ids[which], salts[which], at[which], made.view(f"V{2 * plan.before}").reshape(-1)])
 
 
 def _windows(plan: Plan, texts, wanted, at) -> list[tuple[int, int, bytes]]:
@@ -360,7 +362,7 @@ def _decide(plan: Plan):
             known, arrays = _settled(*arrays)
             _, _, ids, salts, start = (x[known] for x in arrays)
             held.append((ids, salts, start, start + np.uint32(plan.length)))
-        tie, ids, salts, at, made = R.gathered(table, CONTEXTS, ["<u8", "<i8", "<u4", "<u4", f"V{plan.context}"])
+        tie, ids, salts, at, made = R.gathered(table, CONTEXTS, ["<u8", "<i8", "<u4", "<u4", f"V{2 * plan.before}"])
         if len(tie):
             order = np.lexsort((at, salts, ids, tie))
             tie, ids, salts, at, made = (x[order] for x in (tie, ids, salts, at, made))
@@ -378,7 +380,7 @@ def _decide_contexts(plan: Plan, tie, ids, salts, at, made):
     """Rows are sorted by tie, id, salt and place. All strings of a context overlap in the prefix, so the union of the
     repeated ones is one range."""
     n, width = len(tie), plan.context
-    data = np.frombuffer(made.tobytes(), np.uint8).reshape(n, width)
+    data = np.insert(np.frombuffer(made.tobytes(), np.uint8).reshape(n, -1), [plan.before] * plan.prefix, 0, axis=1)
     prints = A.Fingerprints(A.BYTE_VALUES[data.reshape(-1)], plan.length)
     inside = data != 255
     left, right = inside.argmax(1), width - inside[:, ::-1].argmax(1)
