@@ -99,4 +99,6 @@ def test_odd_documents(spark, docs):
 
 
 def test_run(spark):
+    before = len(cp.common.WRITTEN)
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 100
+    assert [x.rpartition("/")[2].split("-")[:3] for x in cp.common.WRITTEN[before:]] == [["umbra", "stage", "tokens"]]

@@ -190,6 +190,29 @@ def test_quality_odd_tables(spark, docs, none):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
 
 
+def test_ridge_and_calibration_against_plain_ones(spark):
+    """Weights of one least-squares problem over all rows, and levels by the min-max formula of isotonic regression."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    x = rules.saved(quality.features(spark.read.parquet(f"{d}/documents.parquet")), "test")
+    model = quality.fit(x, labels, train=quality.remainder("doc_id") != 0)
+    rows = x.join(labels, "doc_id").where(quality.remainder("doc_id") != 0).collect()
+    a, y = np.array([r.x for r in rows]), np.array([r.quality for r in rows], float)
+    z = np.clip((a - a.mean(0)) / (a.std(0) + 1e-6), -5, 5)
+    z = np.c_[np.sqrt(2 / len(model.phases)) * np.cos(z @ model.directions + model.phases), np.ones(len(z))]
+    n, dim = z.shape
+    ridge = quality.RIDGE * n / (dim - 1)
+    plain = np.linalg.lstsq(np.r_[z, np.sqrt(ridge) * np.eye(dim)], np.r_[y, np.zeros(dim)], rcond=None)[0]
+    assert np.abs(z @ plain - model.lifted(a) @ model.weights).max() < 1e-4
+    raw = np.clip(z @ plain, -0.5, 1.5)
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = np.unique(at)
+    ones, counts = np.array([y[at == k].sum() for k in bins]), np.array([(at == k).sum() for k in bins])
+    mean = lambda i, j: ones[i : j + 1].sum() / counts[i : j + 1].sum()
+    levels = [max(min(mean(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    assert len(model.levels) == len(levels) and np.abs(model.levels - levels).max() < 1e-6
+
+
 def test_monotone():
     assert quality.monotone(np.array([2, 0, 2, 4]), np.array([1, 0, 0, 4])).tolist() == [0.25, 0.25, 1.0]
 

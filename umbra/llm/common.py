@@ -28,9 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this session has written.
+WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/umbra-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{shared_dir(spark)}/umbra-{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def dropped(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes folders of a range of WRITTEN; for when what was read from them is done with."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in WRITTEN[since:until]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del WRITTEN[since:until]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
