@@ -81,7 +81,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Only the last stage's table stays in the shared folder."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = len(common.WRITTEN)
         docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage wrote on its way isn't needed any more, nor is the stage before; its own result is written last.
+        common.dropped(spark, max(0, before - (name != STAGES[0][0])), len(common.WRITTEN) - 1)
     return docs

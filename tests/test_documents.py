@@ -240,6 +240,15 @@ def test_pixels(spark):
     noise = np.full((320, 320), 255, np.uint8)
     noise[96:192, 96:192] = np.random.default_rng(1).integers(0, 2, (96, 96)) * 255
     assert len(images.texture(noise)) == 1
+    noise[128:144, 128:144] = 255  # a gap in the middle is closed, two regions apart aren't joined, a bar is no code
+    assert len(images.texture(noise)) == 1
+    shaded = np.linspace(60, 255, 320).astype(np.uint8)[None, :].repeat(320, 0)
+    assert images.texture(shaded) == []
+    bar = np.full((320, 320), 255, np.uint8)
+    bar[96:128, 32:288] = np.random.default_rng(2).integers(0, 2, (32, 256)) * 255
+    assert images.texture(bar) == []
+    raw_noise = spark.createDataFrame([("q", 320, 320, 1, noise.tobytes())], images.RAW)
+    assert images.textures(raw_noise).count() == 1
     rep = images.reports(raw, spark.createDataFrame([], images.LINES), spark.createDataFrame([], "image_id string, is_id boolean"), boxes)
     assert {r.image_id: (r.modified, r.skipped, r.boxes and r.boxes[0].box) for r in rep.collect()} == {"i": (True, False, [10, 10, 20, 10]), "j": (False, False, None)}
 

@@ -31,8 +31,9 @@ def redact_documents(spark: SparkSession, source: str, target: str, config: C.Ru
     from .operators import replace
     from .plans import pictures, pipeline
     from .sources import docx, sinks
-    from .staging import saved
+    from .staging import WRITTEN, dropped, saved
 
+    before = len(WRITTEN)
     docs = docx.read_binary(spark, source)
     units = saved(docx.text_units(docs), "units")
     redacted, found, made = pipeline.redact(units, config)
@@ -51,6 +52,7 @@ def redact_documents(spark: SparkSession, source: str, target: str, config: C.Ru
         Path(report_path).write_text(json.dumps(report, indent=2, sort_keys=True))
     if mapping_path:
         sinks.write_mapping(made, hosts, mapping_path)
+    dropped(spark, before)
     return report
 
 

@@ -307,17 +307,43 @@ def code_boxes(codes: DataFrame, public_host: Callable[[Column], Column], textur
     return boxes
 
 
+def _around(values: np.ndarray, reach: int) -> np.ndarray:
+    """Means of the squares around each place, cut off at the edges."""
+    sums = np.pad(values.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    y, x = (np.arange(n) for n in values.shape)
+    t, b, l, r = (y - reach).clip(0), (y + reach + 1).clip(max=values.shape[0]), (x - reach).clip(0), (x + reach + 1).clip(max=values.shape[1])
+    return (sums[b][:, r] - sums[t][:, r] - sums[b][:, l] + sums[t][:, l]) / np.outer(b - t, r - l)
+
+
+def closed(cells: np.ndarray) -> np.ndarray:
+    """Morphological closing by a square of three: gaps of one cell are filled."""
+    wide = np.pad(_around(cells.astype(float), 1) > 0, 1, constant_values=True)
+    return _around(wide.astype(float), 1)[1:-1, 1:-1] > 1 - 1e-9
+
+
+def textures(images: DataFrame) -> DataFrame:
+    """Code-like textures of raw images: image_id, l, t, r, b."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, *b) for i, h, w, c, d in zip(batch.image_id, batch.height, batch.width, batch.channels, batch.data, strict=True) for b in texture(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c)))]
+            yield pd.DataFrame(found, columns=["image_id", "l", "t", "r", "b"])
+
+    return images.where("data is not null").select("image_id", "height", "width", "channels", "data").mapInPandas(run, "image_id string, l int, t int, r int, b int")
+
+
 def texture(pixels: np.ndarray, cell: int = 16) -> list[tuple[int, int, int, int]]:
-    """Square regions that change between dark and light as often as printed codes do."""
+    """Square, filled regions that change between dark and light as often as printed codes do; darkness is told from what
+    is around, and gaps in a region are closed."""
     grey = pixels[..., :3].mean(2) if pixels.ndim == 3 else pixels.astype(float)
     h, w = (x // cell * cell for x in grey.shape)
     if min(h, w) < 4 * cell:
         return []
-    dark = grey[:h, :w] < grey.mean()
+    dark = grey[:h, :w] < _around(grey, 2 * cell)[:h, :w] - 4
     flips = np.zeros((h, w))
     flips[:, 1:] += dark[:, 1:] != dark[:, :-1]
     flips[1:] += dark[1:] != dark[:-1]
-    dense = flips.reshape(h // cell, cell, w // cell, cell).mean((1, 3)) > 0.3
+    dense = closed(flips.reshape(h // cell, cell, w // cell, cell).mean((1, 3)) > 0.3)
     out, seen = [], np.zeros_like(dense)
     for i, j in zip(*np.nonzero(dense), strict=True):
         if seen[i, j]:

@@ -51,8 +51,9 @@ def redact(docs: DataFrame, known: DataFrame, config: C.RunConfig | None = None,
     if faces:
         large = images.large_enough(raw.where(F.col("data").isNotNull())).select("image_id")
         boxes = boxes.unionByName(images.expanded_faces(content.join(large, "image_id", "left_semi").mapInPandas(faces, place)))
-    if codes:
-        boxes = boxes.unionByName(images.code_boxes(content.mapInPandas(codes, f"{place}, payload string"), is_public_host, None, identity))
+    known_codes = content.mapInPandas(codes, f"{place}, payload string") if codes else spark.createDataFrame([], f"{place}, payload string")
+    cards = raw.join(identity.where("is_id"), "image_id", "left_semi")
+    boxes = boxes.unionByName(images.code_boxes(known_codes, is_public_host, images.textures(cards), identity))
     boxes = stage(boxes.distinct(), "boxes")
     painted = images.paint(raw.where(F.col("data").isNotNull()), boxes, config.pad)
     changed = images.encoded(painted).join(pictures.select("doc_id", "image_id"), "image_id").select("doc_id", "image_id", "content")

@@ -20,8 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this session has written.
+WRITTEN: list[str] = []
+
+
+def dropped(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders written from a place in WRITTEN on; for when what was read from them is done with."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in WRITTEN[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del WRITTEN[since:]
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read again."""
     path = f"{shared_dir(df.sparkSession)}/umbra-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
