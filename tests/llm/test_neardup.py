@@ -131,7 +131,7 @@ def test_a_hot_band_makes_one_entry_a_batch(spark):
     """A third of all texts are near copies of each other: what a bucket of bands holds, and the longest list of a key."""
     base = prose(9, 150)
     df = spark.createDataFrame([(k, near(base, k, 1) if k % 3 == 0 else prose(k, 60), 0) for k in range(900)], "doc_id long, text string, hash long").repartition(6)
-    made = df.mapInArrow(neardup._sign(4, 5, 48, 8), neardup.ROW).collect()
+    made = df.mapInArrow(neardup._sign(4, 5, 48, 8), neardup.SIGNED).collect()
     n = defaultdict(int)
     for r in made:
         if r.kind == neardup.BAND_ROWS:

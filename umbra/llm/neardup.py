@@ -19,9 +19,9 @@ classes is lost. A crowd of over UNIT members is dealt to several tasks, each wi
 largest component and a block of all: n members, m of them outside, cost n * m / UNIT copies of their shingles. That is
 the price of exactness for texts that are many, alike enough to share bands, and not alike enough to be one class.
 
-Scale: signatures are computed where texts are read. A task sends a band's first member on, not all, so a band that a
-third of all texts share makes one entry a task. Texts are shuffled once, each distinct one of a task once and then each
-once, to meet their pairs. Components are found by alternating star contractions of the links, as tables in the shared
+Scale: texts are read once; what a batch has signed and its distinct texts, compressed, are written to the shared folder.
+A batch sends a band's first member on, not all, so a band that a third of all texts share makes one entry a batch. Texts
+move, each once, to meet their pairs. Components are found by alternating star contractions of the links, as tables in the shared
 folder; edges of hubs meet them by a broadcast of at most 2 * HUBS rows, others by a join. The driver holds none of this.
 
 Defined cases: words are runs between Unicode white space of the lower-cased text; a text of one to four words is one
@@ -55,6 +55,8 @@ TAKEN = 500
 UNIT = 2000
 #: Rows that share a key from which the key is a hub: the greater of these and a HUBS-th of all rows.
 HUB, HUBS = 10_000, 100_000
+#: What a batch writes: blobs as in ROW, and texts with their member.
+SIGNED = f"{ROW}, member long"
 BAND_ROWS, MEMBERS, PAIRS, TEXTS = range(4)
 
 
@@ -127,11 +129,12 @@ def banded(docs: list[np.ndarray], bands: int, depth: int) -> tuple[np.ndarray,
 
 
 def _sign(buckets: int, words: int, bands: int, depth: int):
-    """Rows (doc_id, text, hash) as blobs of members and of their bands: the first member of each band of a batch goes on,
-    others are paired with it."""
+    """Rows (doc_id, text, hash) as blobs of members and of their bands (the first member of each band of a batch goes on,
+    others are paired with it), and the distinct texts."""
 
     @lean_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             if not whole.num_rows:
                 continue
@@ -158,7 +161,15 @@ def _sign(buckets: int, words: int, bands: int, depth: int):
                 pair = ~new & (key != key[first_rows(new)])
                 out += [(0, PAIRS, pack(key[first_rows(new)][pair], key[pair]))] if pair.any() else []
                 out += split(by_print(band[new], buckets), BAND_ROWS, [band[new], key[new]])
-            yield rows(out).to_batches()[0]
+            made = rows(out)
+            yield made.append_column("member", pa.nulls(made.num_rows, pa.int64())).to_batches()[0]
+            for start in range(0, len(order), TAKEN):
+                some = order[start : start + TAKEN]
+                to = by_print(keys[some, 0], buckets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to), pa.array(np.full(len(some), TEXTS, np.int32)), pa.array([packer.compress(texts[k]) for k in some], pa.binary()), pa.array(np.ascontiguousarray(keys[some, 0]).view(np.int64))],
+                    ["bucket", "kind", "payload", "member"],
+                )
             lean()
 
     return run
@@ -201,30 +212,9 @@ def _unpacked(kinds: list[str], names: list[str]):
 # ---- texts
 
 
-def _pack_texts(buckets: int):
-    """Texts by bucket of their member, each once a task."""
-
-    @lean_after
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            members, made = [], []
-            for x in batch.column(1).cast(pa.binary()).to_pylist():
-                one = _key(x)[0] if x else 0
-                if one and one not in seen:
-                    seen.add(one)
-                    members.append(one)
-                    made.append(packer.compress(x))
-            members = np.array(members, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(by_print(members, buckets)), pa.array(members.view(np.int64)), pa.array(made, pa.binary())], ["bucket", "member", "payload"])
-
-    return run
-
-
-def packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
+def packed_texts(signed: DataFrame, buckets: int) -> DataFrame:
     """bucket, member and compressed text of each member, grouped by bucket."""
-    made = docs.mapInArrow(_pack_texts(buckets), "bucket int, member long, payload binary").repartitionById(buckets, "bucket")
+    made = signed.where(F.col("kind") == TEXTS).select("bucket", "member", "payload").repartitionById(buckets, "bucket")
     return made.groupBy("bucket", "member").agg(F.first("payload").alias("payload")).groupBy("bucket")
 
 
@@ -492,11 +482,11 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     text = F.coalesce("text", F.lit(""))
     whole = whole.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     buckets = pieces(text_bytes(whole), bucket_bytes)
-    packed = packed_texts(whole, buckets)
-    signed = saved(whole.mapInArrow(_sign(buckets, words, bands, depth), ROW), "signed")
+    signed = saved(whole.mapInArrow(_sign(buckets, words, bands, depth), SIGNED), "signed")
+    packed = packed_texts(signed, buckets)
     blobs = lambda k, kinds, names: signed.where(F.col("kind") == k).select("payload").mapInArrow(_unpacked(kinds, names), ", ".join(f"{x} long" for x in names))
 
-    grouped = dealt_by(signed.where(F.col("kind") == BAND_ROWS), buckets).applyInArrow(_group, "a long, b long")
+    grouped = dealt_by(signed.where(F.col("kind") == BAND_ROWS).drop("member"), buckets).applyInArrow(_group, "a long, b long")
     pairs = saved(grouped.union(blobs(PAIRS, ["<u8", "<u8"], ["a", "b"])).distinct(), "pairs")
     roots = components(verified(packed, pairs, buckets, words, least))
     more = rejoined(packed, open_members(pairs, roots), buckets, words, least)
