@@ -235,9 +235,7 @@ def join_split_names(units: DataFrame, known: DataFrame) -> DataFrame:
 
 def run(units: DataFrame, stage=lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """All passes in order; returns the units and the known names. ``stage`` may write intermediate results (df, name)."""
-    units = stage(drop_vocabulary_names(units), "vocabulary")
-    units = drop_public_body_addresses(extend_address_blocks(units))
-    units = stage(units, "addresses")
+    units = stage(drop_public_body_addresses(extend_address_blocks(drop_vocabulary_names(units))), "addresses")
     known = stage(known_names(units), "known")
     units = stage(propagate_known(units, known), "known_names")
     units = stage(propagate_short_forms(units, stage(short_forms(units, known), "short")), "short_forms")
