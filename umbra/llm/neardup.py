@@ -54,7 +54,7 @@ TAKEN = 500
 #: Members of a crowd that a task compares with as many others.
 UNIT = 2000
 #: Rows that share a key from which the key is a hub: the greater of these and a HUBS-th of all rows.
-HUB, HUBS = 10_000, 100_000
+HUB, HUBS = 500, 100_000
 #: What a batch writes: blobs as in ROW, and texts with their member.
 SIGNED = f"{ROW}, member long"
 BAND_ROWS, MEMBERS, PAIRS, TEXTS = range(4)
