@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.spans import matches
 from ..functions.text import mask, squeezed, tokens
+from ..staging import numbered, saved
 from .docpass import candidates, pattern_of
 
 TOKEN = r"(?U)\w+(?:[.'’@-]\w+)*|[^\w\s]"
@@ -73,12 +74,24 @@ def errors(labels: DataFrame, kind: str) -> DataFrame:
     return rows.orderBy(F.desc("n"), "entity_type", "masked")
 
 
+#: Rows that a task numbers.
+RANGE_ROWS = 1_000_000
+
+
+def _occurrences(rows: DataFrame, order: str) -> DataFrame:
+    """rows (with sha1) with _n, the number of the row among those of its digest; empty and boilerplate texts may be many."""
+    rows = saved(rows, "digests")
+    return numbered(rows, ["sha1"], [order], max(1, -(-rows.count() // RANGE_ROWS)), "by-digest").withColumnRenamed("at", "_n").drop("of")
+
+
 def match_by_hash(gold: DataFrame, units: DataFrame, columns: list[str]) -> DataFrame:
     """Gold units joined to units of equal text digest; equal texts are used up in order. Unmatched gold keeps nulls."""
     left = gold.withColumn("sha1", F.coalesce("sha1", F.sha1("text")) if "text" in gold.columns else F.col("sha1"))
-    left = left.withColumn("_n", F.row_number().over(Window.partitionBy("sha1").orderBy("gold_id")))
-    right = units.withColumn("sha1", F.sha1("text")).withColumn("_n", F.row_number().over(Window.partitionBy("sha1").orderBy("unit_id")))
-    return left.join(right.select("sha1", "_n", *columns), ["sha1", "_n"], "left").drop("_n")
+    names = left.columns
+    left, without = left.where("sha1 is not null"), left.where("sha1 is null").withColumn("_n", F.lit(None).cast("bigint"))
+    right = units.withColumn("sha1", F.sha1("text")).where("sha1 is not null").select("sha1", F.col("unit_id").alias("_order"), *columns)
+    left = _occurrences(left, "gold_id").select(*names, "_n").unionByName(without)
+    return left.join(_occurrences(right, "_order").drop("_order"), ["sha1", "_n"], "left").drop("_n")
 
 
 def match_by_index(gold: DataFrame, units: DataFrame) -> DataFrame:
