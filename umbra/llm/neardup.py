@@ -44,12 +44,12 @@ from pyspark.sql import functions as F
 
 from .anchors import MULTIPLIER, mixed
 from .common import NULL_ID, lean, lean_after, narrow, pieces, saved, text_bytes
-from .repeats import ROW, by_print, dealt_by, first_rows, gathered, heads, pack, rows, split, unpack
+from .repeats import ROW, by_print, dealt_by, first_rows, gathered, heads, leaner, pack, rows, split, unpack
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, DEPTH = 48, 8
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 TAKEN = 500
 #: Members of a crowd that a task compares with as many others.
 UNIT = 2000
@@ -189,7 +189,6 @@ def _key(text: bytes) -> tuple[int, int]:
 
 def _group(table: pa.Table) -> pa.Table:
     """Of each bucket: pairs of a band's first member with each other one."""
-    lean()
     band, key = gathered(table, BAND_ROWS, ["<u8", "<u8"])
     order = np.lexsort((key, band))
     band, key = band[order], key[order]
@@ -235,7 +234,6 @@ def _fetch_texts(buckets: int):
     """Pairs (a, b) meet the text of a and move, with it, to the bucket of b."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
         a, b = _pairs_of(right)
         out = []
         if len(a):
@@ -274,7 +272,6 @@ def _verify(words: int, least: float):
     """Pairs whose texts are similar enough."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
         a, b = gathered(right, PAIRS, ["<i8", "<i8"])
         found_a, found_b = [], []
         if len(a):
@@ -311,8 +308,8 @@ def _verify(words: int, least: float):
 def verified(packed, pairs: DataFrame, buckets: int, words: int, least: float) -> DataFrame:
     """The pairs (a, b) that are similar; saved in the shared folder. packed: texts grouped by bucket."""
     keyed = pairs.mapInArrow(_with_bucket(buckets), "bucket int, a long, b long")
-    moved = packed.cogroup(dealt_by(keyed, buckets)).applyInArrow(_fetch_texts(buckets), ROW)
-    return saved(packed.cogroup(dealt_by(moved, buckets)).applyInArrow(_verify(words, least), "a long, b long"), "links")
+    moved = packed.cogroup(dealt_by(keyed, buckets)).applyInArrow(leaner(_fetch_texts(buckets)), ROW)
+    return saved(packed.cogroup(dealt_by(moved, buckets)).applyInArrow(leaner(_verify(words, least)), "a long, b long"), "links")
 
 
 def _with_bucket(buckets: int):
@@ -351,7 +348,6 @@ def _fetch_sets(words: int, buckets: int):
     """Members of units meet their texts and move, as sets of shingles, to their units."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lean()
         if not right.num_rows:
             return rows([])
         unit, side, member, root = (right.column(x).to_numpy() for x in ("unit", "side", "member", "root"))
@@ -380,7 +376,6 @@ def _link_units(least: float):
     """Links between components within each unit: one for each two components."""
 
     def run(table: pa.Table) -> pa.Table:
-        lean()
         by: dict[int, list[tuple[int, int, int, np.ndarray]]] = {}
         for blob in table.column("payload").to_pylist():
             cut = 8 + int(np.frombuffer(blob, "<u8", 1)[0])
@@ -429,8 +424,8 @@ def rejoined(packed, members: DataFrame, buckets: int, words: int, least: float)
             yield pa.RecordBatch.from_arrays([pa.array(by_print(x.column(2).to_numpy().view(np.uint64), buckets)), *x.columns], ["bucket", *x.schema.names])
 
     keyed = members.mapInArrow(run, "bucket int, unit long, side int, member long, root long")
-    sets = packed.cogroup(dealt_by(keyed, buckets)).applyInArrow(_fetch_sets(words, buckets), ROW)
-    return saved(dealt_by(sets, buckets).applyInArrow(_link_units(least), "a long, b long"), "links")
+    sets = packed.cogroup(dealt_by(keyed, buckets)).applyInArrow(leaner(_fetch_sets(words, buckets)), ROW)
+    return saved(dealt_by(sets, buckets).applyInArrow(leaner(_link_units(least)), "a long, b long"), "links")
 
 
 # ---- components
@@ -486,7 +481,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     packed = packed_texts(signed, buckets)
     blobs = lambda k, kinds, names: signed.where(F.col("kind") == k).select("payload").mapInArrow(_unpacked(kinds, names), ", ".join(f"{x} long" for x in names))
 
-    grouped = dealt_by(signed.where(F.col("kind") == BAND_ROWS).drop("member"), buckets).applyInArrow(_group, "a long, b long")
+    grouped = dealt_by(signed.where(F.col("kind") == BAND_ROWS).drop("member"), buckets).applyInArrow(leaner(_group), "a long, b long")
     pairs = saved(grouped.union(blobs(PAIRS, ["<u8", "<u8"], ["a", "b"])).distinct(), "pairs")
     roots = components(verified(packed, pairs, buckets, words, least))
     more = rejoined(packed, open_members(pairs, roots), buckets, words, least)
