@@ -152,6 +152,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col="doc_id", t
             for part in _parts(batch):
                 found = [coder.encode(x or "") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        coder.known.clear()  # an idle worker keeps the model alone
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
