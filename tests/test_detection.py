@@ -188,3 +188,21 @@ def test_leaks(spark):
     g = spark.createDataFrame([(1, "PERSON", "Uma Nair"), (1, "PERSON", "Oscar Webb"), (1, "ORGANIZATION", "Limited"), (1, "PERSON", "Jo")], "doc_id int, entity_type string, value string")
     r = spark.createDataFrame([(1, "UMA  NAIR stays"), (1, "Webb goes")], "doc_id int, text string")
     assert [tuple(x) for x in scoring.leaks(g, r).collect()] == [("PERSON", 2, 1)]
+
+
+BESIDE = [
+    ("on 4913187196670932 53.121.55.90 it", [("CREDIT_CARD", "4913187196670932"), ("IP_ADDRESS", "53.121.55.90")]),
+    ("the 4495589438270767 42.73.240.87 the", [("CREDIT_CARD", "4495589438270767"), ("IP_ADDRESS", "42.73.240.87")]),
+    ("room 42 4913187196670932, 7", [("CREDIT_CARD", "4913187196670932")]),
+    ("9331 4913 1871 9667 0932 53", [("CREDIT_CARD", "4913 1871 9667 0932")]),
+    ("12 3782-822463-10005 6", [("CREDIT_CARD", "3782-822463-10005")]),
+    ("6304 9850 2809 0561 515 and 55555 55555 55444 4", [("CREDIT_CARD", "6304 9850 2809 0561 515"), ("CREDIT_CARD", "55555 55555 55444 4")]),
+    ("5555 5555 5555 4445 12, 49131871966709324913, 0.4913187196670932", []),
+]
+
+
+def test_cards_beside_numbers(spark):
+    rows = spark.createDataFrame([(k, t, "en") for k, (t, _) in enumerate(BESIDE)], "doc_id long, text string, lang string")
+    config = C.RunConfig(entities=("CREDIT_CARD", "IP_ADDRESS"))
+    got = [[(s.entity_type, r.text[s.start : s.end]) for s in r.spans] for r in recognizers.detect(rows, config, names_too=False).orderBy("doc_id").collect()]
+    assert got == [w for _, w in BESIDE]
