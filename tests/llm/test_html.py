@@ -159,6 +159,20 @@ def test_wide_elements_are_generalised():
     assert len(w.item.items[0].items) <= 200
 
 
+def test_no_place_of_a_wide_element_is_lost():
+    """The template's 'related work' stands after 160 other kinds of elements, half of them on some pages only."""
+    letters = [chr(97 + k % 26) + chr(97 + k // 26) for k in range(160)]
+    kinds = lambda k: [x for n, x in enumerate(letters) if n < 80 or n % 8 == k]
+    pages = ["<body><article>" + "".join(f"<div class='c{x}'>Text {x} of {k}</div>" for x in kinds(k)) + "<div class='related-work'>See also our other works</div></article></body>" for k in range(8)]
+    w = H.Wrapper.of(H.parse(pages[0]))
+    for x in pages[1:]:
+        w = w.with_(H.Wrapper.of(H.parse(x)))
+    known = set(H.Evidence(w).labels)
+    assert {f"div.class=c{x}" for x in letters} | {"div.class=related-work"} <= known
+    for k, x in enumerate(pages):
+        assert H.extract(H.parse(x), w).split("\n") == [f"Text {n} of {k}" for n in kinds(k)]
+
+
 def plain(page: str) -> str:
     m = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)
     blocks = re.split("</?(?:p|h1)>", re.sub(r"<[^>]*\Z", "", m[1])) if m else []

@@ -22,10 +22,9 @@ a class or id that says nothing else, go on any page. A form that holds an artic
 Scale: wrappers are inferred in the tasks that read the pages, one for each host and task, and merged in steps (64
 neighbouring tasks, 4,096, all), so a host with a third of all pages neither meets in one task nor is sampled. The pages
 then meet their wrappers by host; a host with more than HOT buckets of pages is dealt over as many buckets as it fills,
-and executors get 12 bytes for each such host, of which there are at most one for each HOT buckets of input. A wrapper's
-size is bounded: equal neighbours are one item, an element with over MOST different items is generalised to one repeated
-item of each kind, and of these only the MOST kinds that most pages have stay. That can only hide evidence: a place that
-no wrapper knows is judged by its own page.
+and executors get 12 bytes for each such host, of which there are at most one for each HOT buckets of input. In a wrapper
+equal neighbours are one item, and an element with over MOST different items is generalised to one repeated item of each
+kind, aligned by kind. No kind is left out, so a wrapper grows with the different labels of its host's pages.
 
 Defined cases: a null or empty page gives an empty text; a page without any article gives what its wrapper holds, or
 empty; a null url is a host of its own; character references are decoded once; white space inside a block becomes one
@@ -318,19 +317,26 @@ def collapsed(items: list[Item]) -> list[Item]:
                 item.many = True
                 out[k : k + n * width] = [item]
             k += 1
-    if len(out) > MOST:  # generalised: one repeated item of each kind
-        by: dict = {}
-        for x in out:
-            by[x.kind] = merge(by[x.kind], x, True) if x.kind in by else x
-        out = sorted(by.values(), key=lambda x: -x.seen)[:MOST]
-    return out
+    return list(generalised(out).values()) if len(out) > MOST else out
+
+
+def generalised(items: list[Item]) -> dict:
+    """One repeated item of each kind, of as many kinds as there are."""
+    by: dict = {}
+    for x in items:
+        by[x.kind] = merge(by[x.kind], x, True) if x.kind in by else x
+    return by
 
 
 def aligned(a: list[Item], b: list[Item], together: bool) -> list[Item]:
-    """Items in order by a longest common run of kinds; what only one has stays as it is, seen on fewer pages."""
+    """Items in order by a longest common run of kinds, or by kind alone where there are many; what only one has stays as
+    it is, seen on fewer pages."""
     if [x.kind for x in a] == [x.kind for x in b]:
         return [merge(x, y, together) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
+    if max(n, m) > MOST:
+        one, two = generalised(a), generalised(b)
+        return [merge(x, two[k], together) if k in two else x for k, x in one.items()] + [x for k, x in two.items() if k not in one]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -583,13 +589,26 @@ def host_of(url: str | None) -> str:
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One wrapper for each host of a task's pages, with their bytes."""
-    found: dict[str, Wrapper] = {}
+    #: Wrappers of 1, 2, 4 ... pages, so that a large one isn't built anew for each page.
+    found: dict[str, list[tuple[int, Wrapper]]] = {}
     size: dict[str, int] = {}
 
+    def add(some: list, made: Wrapper) -> None:
+        n = 1
+        while some and some[-1][0] == n:
+            made, n = some.pop()[1].with_(made), 2 * n
+        some.append((n, made))
+
+    def whole(some: list) -> Wrapper:
+        made = some[-1][1]
+        for _, x in reversed(some[:-1]):
+            made = x.with_(made)
+        return made
+
     def out():
         task = TaskContext.get().partitionId()
         return pa.RecordBatch.from_arrays(
-            [pa.array(size.keys(), pa.string()), pa.array([task] * len(size), pa.int32()), pa.array([found[x].dumps() if x in found else None for x in size], pa.binary()), pa.array(size.values(), pa.int64())],
+            [pa.array(size.keys(), pa.string()), pa.array([task] * len(size), pa.int32()), pa.array([whole(found[x]).dumps() if x in found else None for x in size], pa.binary()), pa.array(size.values(), pa.int64())],
             ["host", "task", "wrapper", "bytes"],
         )
 
@@ -598,8 +617,7 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             size[host] = size.get(host, 0) + len(page or "")
             if page:
-                made = Wrapper.of(parse(page))
-                found[host] = found[host].with_(made) if host in found else made
+                add(found.setdefault(host, []), Wrapper.of(parse(page)))
         if len(size) > 20_000:
             yield out()
             found.clear()
