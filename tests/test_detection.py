@@ -3,8 +3,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from umbra import config as C
+from umbra.functions import names
 from umbra.operators import docpass, recognizers, replace, scoring
-from umbra.plans import cases, pipeline
+from umbra.plans import cases, pipeline, queries
 from umbra.sources import gold
 
 
@@ -206,3 +207,14 @@ def test_cards_beside_numbers(spark):
     config = C.RunConfig(entities=("CREDIT_CARD", "IP_ADDRESS"))
     got = [[(s.entity_type, r.text[s.start : s.end]) for s in r.spans] for r in recognizers.detect(rows, config, names_too=False).orderBy("doc_id").collect()]
     assert got == [w for _, w in BESIDE]
+
+
+def test_round_trip_hides_cards_beside_numbers(spark, tmp_path):
+    """A card that is found in one line mustn't stay readable in another, where a number follows it."""
+    rows = [(1, "pay 4913187196670932 now\n4913187196670932 53.121.55.90"), (2, "plain\n \nlines"), (3, None), (4, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r)[::2] for r in queries.redaction_round_trip(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(1, 0), (2, 0)]
+
+
+def test_contacts_without_a_label():
+    assert names.contacts("Grace Webb called") == []
